@@ -114,6 +114,8 @@ def sync_refs(
         gone = held.join(purged.select(*REPO_KEY), list(REPO_KEY), "left_semi")
         wanted = wanted.join(purged.select(*REPO_KEY), list(REPO_KEY), "left_anti").union(gone)
     wanted = store.stage(wanted.distinct(), version, "targets")
+    if wanted.isEmpty():
+        return old_version
     tips = catalog.select_refs(catalog.resolved_tips(sources.branches), sources.repositories)
     tips = tips.join(wanted, REF_KEY, "left_semi")
     if purged is not None:

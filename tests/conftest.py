@@ -10,4 +10,5 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from lodeseek.session import local_session
 
-    return local_session("tests", cores="8")
+    small = {"spark.default.parallelism": "2", "spark.sql.shuffle.partitions": "4"}
+    return local_session("tests", cores="8", **small)
