@@ -147,8 +147,8 @@ def _with(names: str, body: str, **extra: str) -> str:
 
     for name in names.split():
         visit(name)
-    parts = [f"{n} AS ({extra.get(n, TABLES[n])})" for n in order]
-    parts += [f"{n} AS ({sql})" for n, sql in extra.items() if n not in order]
+    parts = [f"{n} AS ({extra.get(n, TABLES.get(n))})" for n in order]
+    parts += [f"{n} AS MATERIALIZED ({sql})" for n, sql in extra.items() if n not in order]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 

@@ -202,17 +202,18 @@ def union_types(spark: SparkSession, d: str) -> DataFrame:
 # --- tokenizers: every term with its documents and occurrences
 
 def _terms(df: DataFrame, tokens: Column) -> DataFrame:
-    return df.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """Lower-casing after the explode stays inside generated code."""
+    return df.select(F.explode(tokens).alias("t")).select(F.lower("t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def tok_code(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(_files(spark, d), CONTENTS.tokens)
+    return _terms(_files(spark, d), tx.surface_tokens("contents", "code"))
 
 
 @query
 def tok_author(spark: SparkSession, d: str) -> DataFrame:
-    both = F.concat(tx.tokens("authorname", "name"), tx.tokens("authoremail", "email"))
+    both = F.concat(tx.surface_tokens("authorname", "name"), tx.surface_tokens("authoremail", "email"))
     return _terms(_commits(spark, d), both)
 
 
@@ -223,12 +224,12 @@ def tok_ref(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tok_path(spark: SparkSession, d: str) -> DataFrame:
-    return _terms(_files(spark, d).unionByName(src.page_files(spark, d)), PATH.tokens)
+    return _terms(_files(spark, d).unionByName(src.page_files(spark, d)), tx.surface_tokens("path", "path"))
 
 
 @query
 def tok_message(spark: SparkSession, d: str) -> DataFrame:
-    both = F.concat(tx.tokens("subject", "message"), tx.tokens("body", "message"))
+    both = F.concat(tx.surface_tokens("subject", "message"), tx.surface_tokens("body", "message"))
     return _terms(src.message_commits(spark, d).unionByName(_commits(spark, d)), both)
 
 

@@ -18,9 +18,13 @@ SEPARATORS = {
 }
 
 
+# The same separators as Java reads them fastest; its ``\\W`` is exactly ``[^A-Za-z0-9_]``.
+_FAST = {**SEPARATORS, **dict.fromkeys(("code", "name", "email"), r"\W+")}
+
+
 def surface_tokens(column: Column | str, analyzer: str) -> Column:
     """Tokens as written, in order, empties dropped."""
-    return F.filter(F.split(text(column), SEPARATORS[analyzer]), lambda t: t != "")
+    return F.filter(F.split(text(column), _FAST[analyzer]), lambda t: t != "")
 
 
 def tokens(column: Column | str, analyzer: str) -> Column:
@@ -62,11 +66,11 @@ def linecount(contents: Column | str) -> Column:
 def lines(contents: Column | str) -> Column:
     """Lines of a text without the empty ones at its end; an empty text is one empty line."""
     contents = text(contents)
-    # Cutting the terminators at the end first leaves no empty last line to drop.
+    # Cutting the terminators at the end first leaves no empty last line to drop. With one kind
+    # of terminator left the split needs no pattern.
     kept = F.rtrim(contents, F.lit("\r\n"))
-    return F.when((contents != "") & (kept == ""), literals([])).otherwise(
-        F.split(kept, "\r?\n|\r")
-    )
+    plain = F.replace(F.replace(kept, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.when((contents != "") & (kept == ""), literals([])).otherwise(F.split(plain, "\n"))
 
 
 def is_text(content: Column | str) -> Column:

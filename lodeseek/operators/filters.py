@@ -116,12 +116,17 @@ def readable(df: DataFrame, grants: DataFrame, user: str | None) -> DataFrame:
     """Documents of repositories the user may read; ``None`` is an administrator.
 
     No broadcast is forced: Spark broadcasts the grants while they are small and otherwise
-    shuffles, where adaptive execution splits the documents of a huge repository.
+    shuffles, where adaptive execution splits the documents of a huge repository. On a bucketed
+    table the join names the buckets too, so only those of readable repositories are scanned.
     """
     if user is None:
         return df
     mine = grants.filter(F.col("user_id") == user).select(*REPO_KEY)
-    return df.join(mine, list(REPO_KEY), "left_semi")
+    if "bucket" not in df.columns:
+        return df.join(mine, list(REPO_KEY), "left_semi")
+    first = keys.repo_bucket() * keys.SLICES
+    mine = mine.withColumn("bucket", F.explode(F.sequence(first, first + (keys.SLICES - 1))))
+    return df.join(mine, [*REPO_KEY, "bucket"], "left_semi")
 
 
 def valid_hits(df: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -134,6 +139,12 @@ def no_highlight(extensions: str) -> Column:
     return F.lower(text("extension")).isin([e.lower() for e in split_list(extensions)])
 
 
+def bucket_list_filter(projects: str | None, repositories: str | None) -> Column | None:
+    """Partition predicate for the repositories that two lists name together."""
+    named = [(p, r) for p in split_list(projects) for r in split_list(repositories)]
+    return any_of(bucket_filter(p, r) for p, r in named) if named else None
+
+
 def bucket_filter(project: str, repository: str) -> Column:
     """Partition predicate for one repository over a bucketed table."""
     first = keys.repo_bucket(F.lit(project), F.lit(repository)) * keys.SLICES

@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions.columns import all_of, any_of, let, literals, text
 from lodeseek.functions.text import SEPARATORS, surface_tokens, token_string, tokens
-from lodeseek.operators.filters import COMMIT, FILE
 from lodeseek.settings import Limits
 
-_WORD, _GAP = "[A-Za-z0-9_]", "[^A-Za-z0-9_]+"
-_START, _END = f"(?<!{_WORD})", f"(?!{_WORD})"
+# Java's \\w is ASCII, the alphabet of code tokens.
+_END = r"(?!\w)"
+
+
+def _start(first: str) -> str:
+    """A pattern of fixed length at the start of a token. The look-behind comes after it, so the
+    search only looks back where the pattern was found."""
+    return rf"(?i){first}(?<!\w{first})"
 
 
 @dataclass(frozen=True)
@@ -48,29 +53,30 @@ class Field:
             pattern = r"\W+"
         return [t.lower() for t in re.split(pattern, query) if t]
 
-    def _code_find(self, words: str, pattern: str) -> Column:
-        # The cheap substring test spares most texts the pattern.
-        return F.lower(self.text).contains(words) & self.text.rlike(pattern)
+    def _may_have(self, token: str) -> Column:
+        # A cheap test before the text is cut. Lower-casing a whole text may differ from
+        # lower-casing its tokens in the final form of a Greek letter only.
+        return F.lower(self.text).contains(token) if token.isascii() else F.lit(True)
 
     def has(self, token: str) -> Column:
         if self.analyzer == "exact":
             return self.text == token
         if self.analyzer == "code":
-            return self._code_find(token, f"(?i){_START}{token}{_END}")
-        return F.array_contains(self.tokens, token)
+            return self.text.rlike(_start(token) + _END)
+        return self._may_have(token) & F.array_contains(self.tokens, token)
 
     def count(self, token: str) -> Column:
         if self.analyzer == "exact":
             return (self.text == token).cast("int")
         if self.analyzer == "code":
-            return F.regexp_count(self.text, F.lit(f"(?i){_START}{token}{_END}"))
+            return F.regexp_count(self.text, F.lit(_start(token) + _END))
         return F.size(F.filter(self.tokens, lambda t: t == token))
 
     def length(self) -> Column:
         if self.analyzer == "exact":
             return F.lit(1)
         if self.analyzer == "code":
-            return F.regexp_count(self.text, F.lit(f"{_WORD}+"))
+            return F.regexp_count(self.text, F.lit(r"\w+"))
         return F.size(self.tokens)
 
     def has_run(self, run: Sequence[str]) -> Column:
@@ -78,16 +84,17 @@ class Field:
         if len(run) == 1:
             return self.has(run[0])
         if self.analyzer == "code":
-            return self._code_find(run[0], f"(?i){_START}{_GAP.join(run)}{_END}")
-        return token_string(self.tokens).contains("\0" + "\0".join(run) + "\0")
+            return self.text.rlike(_start(run[0]) + "".join(rf"\W+{t}" for t in run[1:]) + _END)
+        joined = token_string(self.tokens).contains("\0" + "\0".join(run) + "\0")
+        return all_of(self._may_have(t) for t in run) & joined
 
     def count_run(self, run: Sequence[str]) -> Column:
         if len(run) == 1:
             return self.count(run[0])
         if self.analyzer == "code":
             # The tail stays in a look-ahead so that overlapping runs all count.
-            rest = "".join(f"{_GAP}{t}" for t in run[1:])
-            return F.regexp_count(self.text, F.lit(f"(?i){_START}{run[0]}(?={rest}{_END})"))
+            rest = "".join(rf"\W+{t}" for t in run[1:])
+            return F.regexp_count(self.text, F.lit(f"{_start(run[0])}(?={rest}{_END})"))
 
         def starts(toks: Column) -> Column:
             here = lambda t, i: all_of(F.get(toks, i + k) == w for k, w in enumerate(run))
@@ -105,8 +112,12 @@ class Field:
         if self.analyzer == "code":
             if not re.fullmatch(r"[A-Za-z0-9_?*]+", wildcard):
                 return F.lit(False)
-            body = wildcard.replace("?", _WORD).replace("*", f"{_WORD}*")
-            return self.text.rlike(f"(?i){_START}{body}{_END}") if body else F.lit(False)
+            # No boundary is needed on a side where the pattern has a star.
+            parts = [p.replace("?", r"\w") for p in wildcard.split("*")]
+            inner = [p for p in parts if p] or [r"\w"]
+            head = _start(inner[0]) if parts[0] else "(?i)" + inner[0]
+            tail = "".join(rf"\w*{p}" for p in inner[1:])
+            return self.text.rlike(head + tail + (_END if parts[-1] else ""))
         body = "".join({"?": ".", "*": ".*"}.get(c, re.escape(c)) for c in wildcard.lower())
         return self.any_token(lambda t: t.rlike(rf"(?s)\A(?:{body})\z"))
 
@@ -161,6 +172,7 @@ class Condition:
     """A text condition; combine with ``All``, ``AnyOf`` and ``Not``."""
 
     field: str | None = None
+    optional = False  # whether a document may match without matching every part
 
     def test(self, fields: Sequence[Field]) -> Column:
         """True for rows where some chosen field meets the condition."""
@@ -276,6 +288,9 @@ class NumberRange(Condition):
     high: str | float | None = None
     boost: float = 1.0
 
+    def among(self, fields: Sequence[Field]) -> list[Field]:
+        return []
+
     def test(self, fields: Sequence[Field]) -> Column:
         value = F.col(self.column)
         low = value >= F.lit(self.low).try_cast("double") if self.low is not None else F.lit(True)
@@ -337,6 +352,7 @@ class Everything(Condition):
 class All(Condition):
     def __init__(self, *parts: Condition) -> None:
         self.parts = parts
+        self.optional = any(p.optional for p in parts)
 
     def test(self, fields: Sequence[Field]) -> Column:
         return all_of(p.test(fields) for p in self.parts)
@@ -346,6 +362,10 @@ class All(Condition):
 
 
 class AnyOf(All):
+    def __init__(self, *parts: Condition) -> None:
+        super().__init__(*parts)
+        self.optional = True
+
     def test(self, fields: Sequence[Field]) -> Column:
         return any_of(p.test(fields) for p in self.parts)
 
@@ -369,13 +389,31 @@ def all_terms(query: str | None) -> Condition:
 
 def matched_forms(condition: Condition, field: Field, limit: int) -> Column:
     """Distinct tokens of the field as written that the condition hit, in order of first use."""
-    hits = [t for leaf in condition.leaves() for t in [_form_test(leaf, field)] if t is not None]
-    if not hits:
-        return literals([])
-    forms = F.filter(surface_tokens(field.name, field.analyzer), lambda t: any_of(h(t) for h in hits))
+    leaves = [leaf for leaf in condition.leaves() if leaf.among([field])]
+    patterns = [_form_pattern(leaf, field) for leaf in leaves]
+    if field.analyzer == "code" and all(p is not None for p in patterns):
+        pattern = "|".join(p for p in patterns if p)
+        forms = F.regexp_extract_all(field.text, F.lit(f"(?i){pattern}"), F.lit(0)) if pattern else literals([])
+    else:
+        tests = [t for leaf in leaves for t in [_form_test(leaf, field)] if t is not None]
+        if not tests:
+            return literals([])
+        forms = F.filter(surface_tokens(field.name, field.analyzer), lambda t: any_of(test(t) for test in tests))
     return F.slice(F.array_distinct(forms), 1, limit)
 
 
+def _form_pattern(leaf: Condition, field: Field) -> str | None:
+    """Pattern of whole code tokens that a part hits; empty if there are none, None if it has no pattern."""
+    if isinstance(leaf, (Term, Phrase)):
+        return "|".join(rf"{t}(?!\w)(?<!\w{t})" for t in field.analyze(leaf.words))
+    if isinstance(leaf, Wildcard):
+        if not re.fullmatch(r"[A-Za-z0-9_?*]+", leaf.pattern):
+            return ""
+        body = leaf.pattern.replace("?", r"\w").replace("*", r"\w*")
+        return rf"(?<!\w){body}(?!\w)"
+    return None
+
+
 def _form_test(leaf: Condition, field: Field) -> Callable[[Column], Column] | None:
     if field not in leaf.among([field]):
         return None
@@ -397,5 +435,3 @@ def _form_test(leaf: Condition, field: Field) -> Callable[[Column], Column] | No
         return lambda t: within_edits(F.lower(t), leaf.word.lower(), limit)
     return None
 
-
-FIELDS_OF = {FILE: file_fields, COMMIT: lambda limits: commit_fields(limits)}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.functions.columns import any_of
+from lodeseek.functions.text import surface_tokens
 from lodeseek.operators.match import Field
 
 TERM_BUCKETS = 256
@@ -22,9 +23,11 @@ TERM_BUCKETS = 256
 def postings(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """(field, term, doc_id, pos), positions from 0."""
     per_field = [
-        df.select(F.lit(f.name).alias("field"), "doc_id", F.posexplode(f.tokens).alias("pos", "term")) for f in fields
+        df.select(F.lit(f.name).alias("field"), "doc_id", F.posexplode(surface_tokens(f.name, f.analyzer)).alias("pos", "term"))
+        for f in fields
     ]
-    return reduce(DataFrame.unionByName, per_field).select("field", "term", "doc_id", "pos")
+    rows = reduce(DataFrame.unionByName, per_field)
+    return rows.select("field", F.lower("term").alias("term"), "doc_id", "pos")
 
 
 def vocabulary(df: DataFrame, fields: Sequence[Field]) -> DataFrame:

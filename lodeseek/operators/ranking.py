@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions.columns import any_of
-from lodeseek.operators.match import Condition, Field, Phrase
+from lodeseek.functions.columns import all_of, any_of
+from lodeseek.operators.match import Condition, Field, NumberRange, Phrase
 
 Part = tuple[DataFrame, Sequence[Field]]
 
@@ -59,40 +59,62 @@ def _idf(stats: Column, field: Field, token: str) -> Column:
     return 1 + F.log(stats["n"] / (stats[_name(field, token)] + 1))
 
 
-def _leaf_score(leaf: Condition, field: Field, stats: Column) -> Column:
-    boost = field.boost * leaf.boost
-    wanted = leaf.weighted(field)
+class _Measures:
+    """Expressions that a score needs, each computed once per row under a name of its own."""
+
+    def __init__(self) -> None:
+        self.columns: dict[str, Column] = {}
+
+    def __call__(self, key: str, value: Callable[[], Column]) -> Column:
+        if key not in self.columns:
+            self.columns[key] = value()
+        return F.col(f"`{key}`")
+
+
+def _leaf_in_field(leaf: Condition, field: Field, stats: Column, measure: _Measures) -> tuple[Column, Column]:
+    """(weight, matched) of one part of the condition in one field."""
+    boost, wanted = field.boost * leaf.boost, list(dict.fromkeys(leaf.weighted(field)))
     if not wanted:
-        value = F.lit(1.0)
-    elif isinstance(leaf, Phrase):
-        idf = sum((_idf(stats, field, t) for t in wanted), F.lit(0.0))
-        value = F.sqrt(leaf.frequency(field)) * idf * idf / F.sqrt(field.length())
+        matched = measure(f"is {leaf!r} {field.name}", lambda: leaf.in_field(field))
+        return F.when(matched, boost).otherwise(0.0), matched
+    length = measure(f"length {field.name}", field.length)
+    if isinstance(leaf, Phrase):
+        if leaf.slop:
+            tf = measure(f"is {leaf!r} {field.name}", lambda: leaf.in_field(field).cast("int"))
+        else:
+            tf = measure(f"run {leaf!r} {field.name}", lambda: leaf.frequency(field))
+        idf = sum((_idf(stats, field, t) for t in leaf.weighted(field)), F.lit(0.0))
+        value, matched = F.sqrt(tf) * idf * idf, tf > 0
     else:
-        value = sum(
-            (F.sqrt(field.count(t)) * F.pow(_idf(stats, field, t), F.lit(2)) for t in dict.fromkeys(wanted)),
-            F.lit(0.0),
-        ) / F.sqrt(field.length())
-    return F.when(leaf.in_field(field), value * boost).otherwise(0.0)
+        tfs = {t: measure(f"tf {field.name} {t}", lambda t=t: field.count(t)) for t in wanted}
+        value = sum((F.sqrt(tf) * F.pow(_idf(stats, field, t), F.lit(2)) for t, tf in tfs.items()), F.lit(0.0))
+        matched = all_of(tf > 0 for tf in tfs.values())
+    return F.when(matched, value / F.sqrt(length) * boost).otherwise(0.0), matched
 
 
-def score(condition: Condition, fields: Sequence[Field], stats: Column | None) -> Column:
-    """Sum over the condition's parts of the best field's weight.
+def with_score(df: DataFrame, condition: Condition, fields: Sequence[Field], stats: Column | None) -> DataFrame:
+    """Adds ``score``: the sum over the condition's parts of the best field's weight.
 
     Where parts are optional the sum is scaled by the share of parts that matched.
     """
     leaves = condition.leaves()
-    if not leaves or stats is None:
-        return F.lit(1.0)
-    total, matched = F.lit(0.0), F.lit(0)
+    if not leaves or stats is None and any(leaf.weighted(f) for leaf in leaves for f in leaf.among(fields)):
+        return df.withColumn("score", F.lit(1.0))
+    measure = _Measures()
+    total, hits = F.lit(0.0), F.lit(0)
     for leaf in leaves:
-        own = leaf.among(fields)
-        if not own or not hasattr(leaf, "in_field"):
+        parts = [_leaf_in_field(leaf, f, stats, measure) for f in leaf.among(fields)]
+        if isinstance(leaf, NumberRange):
+            matched = leaf.test(fields)
+            parts = [(F.when(matched, leaf.boost).otherwise(0.0), matched)]
+        if not parts:
             continue
-        weights = [_leaf_score(leaf, f, stats) for f in own]
-        best = F.greatest(*weights) if len(weights) > 1 else weights[0]
-        total = total + best
-        matched = matched + leaf.test(fields).cast("int")
-    return F.round(total * matched / F.lit(float(len(leaves))), 6)
+        weights = [weight for weight, _ in parts]
+        total = total + (F.greatest(*weights) if len(weights) > 1 else weights[0])
+        hits = hits + any_of(matched for _, matched in parts).cast("int")
+    share = hits / F.lit(float(len(leaves))) if condition.optional else F.lit(1.0)
+    measured = df.select(*df.columns, *[value.alias(key) for key, value in measure.columns.items()])
+    return measured.select(*df.columns, F.round(total * share, 6).alias("score"))
 
 
 def page_of(hits: DataFrame, page: int | str | None, page_size: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.operators.filters import COMMIT, FILE
@@ -80,61 +80,68 @@ def total_hits(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count(F.lit(1)).alias("total_hits"))
 
 
-_FACETS = ("authoremail", "extension", "charcount", "linecount")
+RANKED = {"authoremail": "author", "extension": "extension"}
+MEASURED = ("charcount", "linecount")
 
 
 def facet_counts(matches: DataFrame) -> DataFrame:
-    """Counts per value of each facet, from one scan of the matches."""
-    facets = {
-        "authoremail": F.col("authoremail"), "extension": F.col("extension"),
-        "charcount": F.col("charcount").cast("string"), "linecount": F.col("linecount").cast("string"),
-    }
-    pairs = F.array(*[F.struct(F.lit(f).alias("facet"), facets[f].alias("key")) for f in _FACETS])
-    return (
-        matches.select(F.explode(pairs).alias("pair")).select("pair.*").filter("key is not null")
-        .groupBy("facet", "key").agg(F.count(F.lit(1)).alias("count"))
-    )
+    """(facet, key, count) for each value of each facet, from one scan of the matches."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("key")) for f in (*RANKED, *MEASURED)])
+    rows = matches.select(F.explode(pairs).alias("pair")).select("pair.*").filter("key is not null")
+    # The facet comes out as an aggregate, so a filter on it stays above the shuffle and all
+    # readers of this frame share that one shuffle.
+    counted = rows.groupBy("facet", "key").agg(F.max("facet").alias("name"), F.count(F.lit(1)).alias("count"))
+    return counted.select(F.col("name").alias("facet"), "key", "count")
 
 
-def statistics(matches: DataFrame, per_facet: DataFrame | None = None) -> DataFrame:
+def statistics(matches: DataFrame) -> DataFrame:
     """The whole block as rows of (section, key, value).
 
-    ``matches`` has doc_type, authoremail (commits), extension, charcount and linecount (files).
-    Pass a stored ``facet_counts`` to spare the branches their common scan.
+    ``matches`` has authoremail (commits), extension, charcount and linecount (files).
     """
-    per_facet = facet_counts(matches) if per_facet is None else per_facet
-
-    def of(facet: str) -> DataFrame:
-        return per_facet.filter(F.col("facet") == facet).select("key", "count")
-
-    def rows(df: DataFrame, section: str, **values: Column) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in values.items()])
-        return df.select(F.lit(section).alias("section"), F.explode(pairs).alias("p")).select("section", "p.*")
-
-    blocks = []
-    for facet, name in (("authoremail", "author"), ("extension", "extension")):
-        blocks.append(rows(of(facet).agg(F.count(F.lit(1)).alias("n")), f"{name}Cardinality", value=F.col("n")))
-        ranked = ranking(of(facet))
-        blocks.append(ranked.select(
-            F.lit(f"{name}Ranking").alias("section"), "key", F.col("count").cast("double").alias("value")
-        ))
-    for facet in ("charcount", "linecount"):
-        per_value = of(facet).select(F.col("key").cast("bigint").alias("v"), "count")
-        n, total = F.sum("count"), F.sum(F.col("v") * F.col("count"))
-        summary = per_value.agg(
-            n.alias("n"), total.alias("total"), F.min("v").alias("low"), F.max("v").alias("high"),
-            F.percentile("v", [p / 100 for p in PERCENTILES], F.col("count")).alias("value"),
-        )
-        blocks.append(rows(
-            summary, facet, count=F.col("n"), sum=F.col("total"), min=F.col("low"), max=F.col("high"),
-            average=F.round(F.col("total") / F.col("n"), 6),
-            **{f"p{p:g}": F.round(F.col("value")[i], 6) for i, p in enumerate(PERCENTILES)},
-        ))
-    commits = of("authoremail").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
-    blocks.append(rows(commits, "commitcount", value=F.col("n")))
-    files = of("charcount").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
-    blocks.append(rows(files, "filecount", value=F.col("n")))
-    out = blocks[0]
-    for block in blocks[1:]:
-        out = out.unionByName(block)
-    return out
+    counted = facet_counts(matches)
+    value, facet = F.col("key").try_cast("bigint"), F.col("facet")
+    measured = F.when(facet.isin(*MEASURED), value)
+    summary = counted.groupBy("facet").agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("count").alias("n"), F.min(measured).alias("low"),
+        F.max(measured).alias("high"), F.sum(measured * F.col("count")).alias("total"),
+        F.percentile(measured, [p / 100 for p in PERCENTILES], F.col("count")).alias("shares"),
+    )
+    best = Window.partitionBy("facet").orderBy(F.desc("count"), "key")
+    # Each task keeps its own first rows before the shuffle, so no facet meets in one task whole.
+    top_rows = counted.withColumn("place", F.row_number().over(best)).filter(
+        (F.col("place") <= RANKING_SIZE) & facet.isin(*RANKED)
+    ).select("facet", "key", "count")
+    section = F.concat(F.create_map(*[F.lit(x) for pair in RANKED.items() for x in pair])[facet], F.lit("Ranking"))
+    shown = top_rows.groupBy("facet").agg(F.sum("count").alias("shown"))
+    other = shown.join(summary.select("facet", "n"), "facet").select(
+        "facet", F.lit("Other").alias("key"), (F.col("n") - F.col("shown")).alias("count")).filter("count > 0")
+    ranked = top_rows.unionByName(other).select(section.alias("section"), "key", F.col("count").cast("double").alias("value"))
+    return _summary_rows(summary).unionByName(ranked)
+
+
+def _summary_rows(summary: DataFrame) -> DataFrame:
+    def rows(**values: Column) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in values.items()])
+
+    def block(section: str, pairs: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), pairs.alias("rows"))
+
+    # A facet without any value has no row yet; it counts as zero.
+    names = F.array(*[F.lit(f) for f in (*RANKED, *MEASURED)])
+    every = summary.agg(F.map_from_entries(F.collect_list(F.struct("facet", F.struct("keys", "n", "low", "high", "total", "shares")))).alias("m"))
+    every = every.select(F.explode(names).alias("facet"), "m").select("facet", F.col("m")[F.col("facet")].alias("s"))
+    n = F.coalesce(F.col("s.n"), F.lit(0))
+    figures = rows(
+        count=n, sum=F.col("s.total"), min=F.col("s.low"), max=F.col("s.high"),
+        average=F.round(F.col("s.total") / F.col("s.n"), 6),
+        **{f"p{p:g}": F.round(F.col("s.shares")[i], 6) for i, p in enumerate(PERCENTILES)},
+    )
+    blocks = F.when(F.col("facet") == "charcount", F.array(block("charcount", figures), block("filecount", rows(value=n))))
+    blocks = blocks.when(F.col("facet") == "linecount", F.array(block("linecount", figures)))
+    for facet, name in RANKED.items():
+        own = [block(f"{name}Cardinality", rows(value=F.coalesce(F.col("s.keys"), F.lit(0))))]
+        own += [block("commitcount", rows(value=n))] if facet == "authoremail" else []
+        blocks = blocks.when(F.col("facet") == facet, F.array(*own))
+    exploded = every.select(F.explode(blocks).alias("b")).select("b.section", F.explode("b.rows").alias("r"))
+    return exploded.select("section", "r.key", "r.value")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.functions import keys
 from lodeseek.operators import filters as flt
 from lodeseek.operators import hits as shape
 from lodeseek.operators import ranking, snippets, statistics
@@ -14,7 +15,8 @@ from lodeseek.operators.match import Condition, Field, all_terms, commit_fields,
 from lodeseek.settings import Limits
 
 # Columns of a match: enough for paging and statistics, and no text.
-NARROW = ("doc_type", "doc_id", "project", "repository", "score", "authoremail", "extension", "charcount", "linecount")
+FACET_TYPES = {"authoremail": "string", "extension": "string", "charcount": "int", "linecount": "int"}
+NARROW = ("doc_type", "doc_id", "project", "repository", "score", *FACET_TYPES)
 
 
 @dataclass(frozen=True)
@@ -85,6 +87,8 @@ def _filtered(df: DataFrame, doc_type: str, corpus: Corpus, request: Search) ->
         flt.extension_filter(request.extensions, doc_type), flt.author_filter(request.authors, doc_type),
         flt.date_filter(request.after, request.before, doc_type), flt.ref_filter(request.refs),
     )
+    if "bucket" in df.columns:
+        df = flt.keep(df, flt.bucket_list_filter(request.projects, request.repositories))
     if request.user is not None:
         if corpus.grants is None:
             raise ValueError("a search for one user needs the grants table")
@@ -100,14 +104,10 @@ def search(corpus: Corpus, request: Search, scored: bool = True) -> DataFrame:
     found = []
     for doc_type, df, fields in _parts(corpus, request):
         df = _filtered(df, doc_type, corpus, request).filter(request.condition.test(fields))
-        own = set(df.columns)
-        score = ranking.score(request.condition, fields, stats) if scored else F.lit(1.0)
-        values = {"doc_type": F.lit(doc_type), "score": score}
-        kinds = {"authoremail": "string", "extension": "string", "charcount": "int", "linecount": "int"}
-        found.append(df.select(*[
-            (values[c] if c in values else F.col(c) if c in own else F.lit(None).cast(kinds[c])).alias(c)
-            for c in NARROW
-        ]))
+        df = ranking.with_score(df, request.condition, fields, stats) if scored else df.withColumn("score", F.lit(1.0))
+        df = df.withColumn("doc_type", F.lit(doc_type))
+        missing = {c: F.lit(None).cast(kind) for c, kind in FACET_TYPES.items() if c not in df.columns}
+        found.append(df.withColumns(missing).select(*NARROW))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -123,7 +123,10 @@ def search_page(corpus: Corpus, request: Search) -> DataFrame:
 def _of_page(df: DataFrame, page: DataFrame, doc_type: str) -> DataFrame:
     # A page has at most limits.page_size <= 1000 narrow rows, whatever matched.
     ids = page.filter(F.col("doc_type") == doc_type).select("doc_id", "project", "repository", "score")
-    return df.join(F.broadcast(ids), ["doc_id", "project", "repository"])
+    key = ["doc_id", "project", "repository"]
+    if "bucket" in df.columns:  # only the buckets of the page are scanned
+        ids, key = ids.withColumn("bucket", keys.bucket("doc_id")), [*key, "bucket"]
+    return df.join(F.broadcast(ids), key)
 
 
 def search_snippets(corpus: Corpus, request: Search, page: DataFrame | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ def local_session(name: str = "lodeseek", cores: str = "*", **extra: str) -> Spa
         **RECOMMENDED,
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         **extra,
     }

@@ -73,3 +73,30 @@ def test_one_repository_reads_its_buckets(spark, store):
     assert "bucket" in partition
     assert store.repository("files", "en", "src3").count() == store.read("files").filter(
         (F.col("project") == "en") & (F.col("repository") == "src3")).count()
+
+
+def test_readable_buckets_are_pruned_at_run_time(spark, store):
+    grants = spark.createDataFrame(
+        [("u", "en", "src3")], "user_id string, project string, repository string")
+    grants.write.mode("overwrite").parquet(store.root + "/grants")
+    corpus = plan.Corpus(store.read("files"), store.read("commits"), grants=spark.read.parquet(store.root + "/grants"))
+    found = plan.search(corpus, plan.Search(query="", user="u", code=True), scored=False)
+    assert "dynamicpruning" in explain(found)
+    assert found.count() == store.repository("files", "en", "src3").count() > 0
+
+
+def test_named_repositories_prune_buckets(spark, store):
+    corpus = plan.Corpus(store.read("files"), store.read("commits"))
+    request = plan.Search(query="", projects="en", repositories="src3,src4", code=True)
+    found = plan.search(corpus, request, scored=False)
+    assert re.search(r"PartitionFilters: \[.*bucket", explain(found))
+    assert found.count() == store.read("files").filter("project = 'en' and repository in ('src3', 'src4')").count()
+
+
+def test_snippets_of_stored_tables(spark, store):
+    corpus = plan.Corpus(store.read("files"), store.read("commits"))
+    request = plan.Search(query="the", code=True)
+    rows = plan.search_snippets(corpus, request).collect()
+    assert len(rows) == min(50, store.read("files").filter(F.col("contents").rlike(r"(?i)\bthe\b")).count())
+    assert all(r["source_lines"] and not r["is_preview"] for r in rows)
+
