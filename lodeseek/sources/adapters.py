@@ -20,8 +20,18 @@ OLD_TIP, NEW_TIP = "old", "new"
 CUT = "2024-01-20"  # commits from this day on are on the new tip only
 
 
+# Known columns spare a job per read that would look them up in the files.
+COLUMNS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "pages": "page_id bigint, url string, html string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _pick(number: Column, *values: str) -> Column:
