@@ -12,8 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions import keys
 from lodeseek.functions.columns import any_of, literals, text
+from lodeseek.functions.keys import Buckets
 from lodeseek.functions.text import ref_tokens, tokens
 from lodeseek.schemas import REPO_KEY
 from lodeseek.settings import split_list
@@ -112,20 +112,20 @@ def keep(df: DataFrame, *conditions: Column | None) -> DataFrame:
     return df
 
 
-def readable(df: DataFrame, grants: DataFrame, user: str | None) -> DataFrame:
+def readable(df: DataFrame, grants: DataFrame, user: str | None, buckets: Buckets | None = None) -> DataFrame:
     """Documents of repositories the user may read; ``None`` is an administrator.
 
     No broadcast is forced: Spark broadcasts the grants while they are small and otherwise
-    shuffles, where adaptive execution splits the documents of a huge repository. On a bucketed
-    table the join names the buckets too, so only those of readable repositories are scanned.
+    shuffles, where adaptive execution splits the documents of a huge repository. On a table
+    with ``buckets`` the join names them too, so only those of readable repositories are scanned.
     """
     if user is None:
         return df
     mine = grants.filter(F.col("user_id") == user).select(*REPO_KEY)
-    if "bucket" not in df.columns:
+    if buckets is None:
         return df.join(mine, list(REPO_KEY), "left_semi")
-    first = keys.repo_bucket() * keys.SLICES
-    mine = mine.withColumn("bucket", F.explode(F.sequence(first, first + (keys.SLICES - 1))))
+    first = buckets.first()
+    mine = mine.withColumn("bucket", F.explode(F.sequence(first, first + (buckets.slices - 1))))
     return df.join(mine, [*REPO_KEY, "bucket"], "left_semi")
 
 
@@ -139,13 +139,13 @@ def no_highlight(extensions: str) -> Column:
     return F.lower(text("extension")).isin([e.lower() for e in split_list(extensions)])
 
 
-def bucket_list_filter(projects: str | None, repositories: str | None) -> Column | None:
+def bucket_list_filter(projects: str | None, repositories: str | None, buckets: Buckets) -> Column | None:
     """Partition predicate for the repositories that two lists name together."""
     named = [(p, r) for p in split_list(projects) for r in split_list(repositories)]
-    return any_of(bucket_filter(p, r) for p, r in named) if named else None
+    return any_of(bucket_filter(p, r, buckets) for p, r in named) if named else None
 
 
-def bucket_filter(project: str, repository: str) -> Column:
+def bucket_filter(project: str, repository: str, buckets: Buckets) -> Column:
     """Partition predicate for one repository over a bucketed table."""
-    first = keys.repo_bucket(F.lit(project), F.lit(repository)) * keys.SLICES
-    return F.col("bucket").between(first, first + (keys.SLICES - 1))
+    first = buckets.first(F.lit(project), F.lit(repository))
+    return F.col("bucket").between(first, first + (buckets.slices - 1))

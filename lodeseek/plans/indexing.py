@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import keys
 from lodeseek.operators import deltas
+from lodeseek.operators.match import commit_fields, file_fields
+from lodeseek.operators.postings import vocabulary
 from lodeseek.schemas import CHECKPOINTS, REPO_KEY
 from lodeseek.settings import Limits
 from lodeseek.sources import catalog, snapshots
@@ -105,10 +107,11 @@ def sync_refs(
         return None
     version = store.latest() + 1
     old_version = version - 1
-    files, commits = store.read("files", old_version), store.read("commits", old_version)
-    marks = store.read("checkpoints", old_version)
     wanted = targets.select(*REF_KEY)
+    if purged is not None and purged.isEmpty():
+        purged = None
     if purged is not None:
+        files, commits, marks = (store.around(t, purged, old_version) for t in ("files", "commits", "checkpoints"))
         held = snapshots.indexed_tree(files).select(*REF_KEY).union(snapshots.indexed_reach(commits).select(*REF_KEY))
         held = held.union(marks.select(*REF_KEY))
         gone = held.join(purged.select(*REPO_KEY), list(REPO_KEY), "left_semi")
@@ -116,6 +119,7 @@ def sync_refs(
     wanted = store.stage(wanted.distinct(), version, "targets")
     if wanted.isEmpty():
         return old_version
+    files, commits, marks = (store.around(t, wanted, old_version) for t in ("files", "commits", "checkpoints"))
     tips = catalog.select_refs(catalog.resolved_tips(sources.branches), sources.repositories)
     tips = tips.join(wanted, REF_KEY, "left_semi")
     if purged is not None:
@@ -136,7 +140,7 @@ def sync_refs(
     replaced: dict[str, list[int] | None] = {}
     for table, docs in (("files", files), ("commits", commits)):
         change = changes[table]
-        replaced[table] = _buckets(change, "doc_id")
+        replaced[table] = _buckets(store, change, "doc_id")
         if not replaced[table]:
             continue
         touched = docs.filter(F.col("bucket").isin(replaced[table])).drop("bucket")
@@ -146,7 +150,7 @@ def sync_refs(
             if table == "files" else snapshots.build_commits(missing, sources.log)
         )
         store.write(table, deltas.update_documents(touched, change).unionByName(new), version)
-    replaced["checkpoints"] = _buckets(wanted, "ref")
+    replaced["checkpoints"] = _buckets(store, wanted, "ref")
     if replaced["checkpoints"]:
         kept = marks.filter(F.col("bucket").isin(replaced["checkpoints"])).join(wanted, REF_KEY, "left_anti")
         fresh = tips.select(*REF_KEY, F.col("tip").alias("hash"))
@@ -155,9 +159,18 @@ def sync_refs(
     return version
 
 
-def _buckets(df: DataFrame, unit: str) -> list[int]:
-    # At most REPO_BUCKETS * SLICES numbers.
-    return sorted(r["b"] for r in df.select(keys.bucket(unit).alias("b")).distinct().collect())
+def _buckets(store: DocumentStore, df: DataFrame, unit: str) -> list[int]:
+    # At most one number per bucket of the store.
+    return sorted(r["b"] for r in df.select(store.buckets.of(unit).alias("b")).distinct().collect())
+
+
+def index_vocabulary(store: DocumentStore, version: int | None = None) -> None:
+    """Writes the document frequencies of a version, for scores that need no scan of the texts."""
+    version = store.latest() if version is None else version
+    limits = Limits()
+    words = vocabulary(store.read("files", version), file_fields(limits)).unionByName(
+        vocabulary(store.read("commits", version), commit_fields(limits)))
+    store.write_vocabulary(words, version)
 
 
 def update_all(store: DocumentStore, sources: Sources, limits: Limits) -> int | None:

@@ -7,12 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.functions import keys
+from lodeseek.functions.keys import Buckets
 from lodeseek.operators import filters as flt
 from lodeseek.operators import hits as shape
 from lodeseek.operators import ranking, snippets, statistics
 from lodeseek.operators.match import Condition, Field, all_terms, commit_fields, file_fields, matched_forms
 from lodeseek.settings import Limits
+from lodeseek.sources.store import DocumentStore
 
 # Columns of a match: enough for paging and statistics, and no text.
 FACET_TYPES = {"authoremail": "string", "extension": "string", "charcount": "int", "linecount": "int"}
@@ -58,6 +59,21 @@ class Corpus:
     grants: DataFrame | None = None
     vocabulary: DataFrame | None = None
     documents: int | None = None  # number of documents behind ``vocabulary``
+    buckets: Buckets | None = None  # how stored tables are split
+
+
+def stored_corpus(
+    store: DocumentStore, repositories: DataFrame | None = None, grants: DataFrame | None = None,
+    version: int | None = None,
+) -> Corpus:
+    """The tables of a stored version, with its vocabulary where one was written."""
+    version = store.latest() if version is None else version
+    vocabulary = store.vocabulary(version)
+    documents = None
+    files, commits = store.read("files", version), store.read("commits", version)
+    if vocabulary is not None:
+        documents = files.count() + commits.count()  # counted from file footers
+    return Corpus(files, commits, repositories, grants, vocabulary, documents, store.buckets)
 
 
 def _parts(corpus: Corpus, request: Search) -> list[tuple[str, DataFrame, list[Field]]]:
@@ -87,12 +103,12 @@ def _filtered(df: DataFrame, doc_type: str, corpus: Corpus, request: Search) ->
         flt.extension_filter(request.extensions, doc_type), flt.author_filter(request.authors, doc_type),
         flt.date_filter(request.after, request.before, doc_type), flt.ref_filter(request.refs),
     )
-    if "bucket" in df.columns:
-        df = flt.keep(df, flt.bucket_list_filter(request.projects, request.repositories))
+    if corpus.buckets:
+        df = flt.keep(df, flt.bucket_list_filter(request.projects, request.repositories, corpus.buckets))
     if request.user is not None:
         if corpus.grants is None:
             raise ValueError("a search for one user needs the grants table")
-        df = flt.readable(df, corpus.grants, request.user)
+        df = flt.readable(df, corpus.grants, request.user, corpus.buckets)
     if corpus.repositories is not None:
         df = flt.valid_hits(df, corpus.repositories)
     return df
@@ -120,12 +136,12 @@ def search_page(corpus: Corpus, request: Search) -> DataFrame:
     return ranking.page_of(search(corpus, request).select(*columns), request.page, request.limits.page_size)
 
 
-def _of_page(df: DataFrame, page: DataFrame, doc_type: str) -> DataFrame:
+def _of_page(df: DataFrame, page: DataFrame, doc_type: str, buckets: Buckets | None) -> DataFrame:
     # A page has at most limits.page_size <= 1000 narrow rows, whatever matched.
     ids = page.filter(F.col("doc_type") == doc_type).select("doc_id", "project", "repository", "score")
     key = ["doc_id", "project", "repository"]
-    if "bucket" in df.columns:  # only the buckets of the page are scanned
-        ids, key = ids.withColumn("bucket", keys.bucket("doc_id")), [*key, "bucket"]
+    if buckets:  # only the buckets of the page are scanned
+        ids, key = ids.withColumn("bucket", buckets.of("doc_id")), [*key, "bucket"]
     return df.join(F.broadcast(ids), key)
 
 
@@ -133,7 +149,7 @@ def search_snippets(corpus: Corpus, request: Search, page: DataFrame | None = No
     """File hits of the page with their snippets; contents are read for these hits only."""
     limits = request.limits
     page = search_page(corpus, request) if page is None else page
-    files = _of_page(corpus.files, page, flt.FILE)
+    files = _of_page(corpus.files, page, flt.FILE, corpus.buckets)
     code = request.switches[0]
     forms = matched_forms(request.condition, Field("contents", "code"), limits.max_fragments) if code else None
     with_lines = snippets.with_snippets(files, forms, 1, limits.max_preview_lines, limits.max_match_lines)
@@ -144,7 +160,7 @@ def search_snippets(corpus: Corpus, request: Search, page: DataFrame | None = No
 def search_commits(corpus: Corpus, request: Search, page: DataFrame | None = None) -> DataFrame:
     """Commit hits of the page."""
     page = search_page(corpus, request) if page is None else page
-    commits = _of_page(corpus.commits, page, flt.COMMIT)
+    commits = _of_page(corpus.commits, page, flt.COMMIT, corpus.buckets)
     return commits.select(*shape.commit_hit_columns(), "score")
 
 

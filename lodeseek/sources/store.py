@@ -13,18 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lodeseek.functions import keys
+from lodeseek.functions.keys import Buckets
 from lodeseek.operators.filters import bucket_filter, one_repository
 from lodeseek.schemas import TABLES
 
-_MANIFEST = "table string, bucket int, written int"
+_MANIFEST = "table string, bucket int, written int, groups int, slices int"
 
 
 class DocumentStore:
-    """``root`` is a folder all executors reach."""
+    """``root`` is a folder all executors reach. A store keeps the buckets it was begun with."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: Buckets = Buckets()) -> None:  # noqa: B008
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def versions(self) -> list[int]:
         """Published versions, oldest first."""
@@ -39,11 +39,14 @@ class DocumentStore:
         return max(self.versions(), default=0)
 
     def _manifest(self, version: int) -> list[tuple[str, int, int]]:
-        # At most one row per table and bucket: 3 * REPO_BUCKETS * SLICES.
+        # At most one row per table and bucket.
         if version == 0:
             return []
         folder = f"{self.root}/versions/version={version}"
-        return [tuple(r) for r in self.spark.read.schema(_MANIFEST).parquet(folder).collect()]
+        rows = self.spark.read.schema(_MANIFEST).parquet(folder).collect()
+        if any((r["groups"], r["slices"]) != (self.buckets.groups, self.buckets.slices) for r in rows):
+            raise ValueError(f"{self.root} was written with other buckets than {self.buckets}")
+        return [(r["table"], r["bucket"], r["written"]) for r in rows]
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table as of a version (the newest by default), with its ``bucket`` column."""
@@ -53,13 +56,24 @@ class DocumentStore:
         if not rows:
             return self.spark.createDataFrame([], schema).withColumn("bucket", F.lit(0))
         base = f"{self.root}/{table}"
-        paths = sorted(f"{base}/version={written}/bucket={b}" for _, b, written in rows)
+        writers = {written for _, _, written in rows}
+        if len(writers) == 1 and version in writers:  # all of it was written at once
+            paths = [f"{base}/version={version}"]
+        else:
+            paths = sorted(f"{base}/version={written}/bucket={b}" for _, b, written in rows)
         df = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
         return df.select(*schema.names, "bucket")
 
+    def around(self, table: str, repositories: DataFrame, version: int) -> DataFrame:
+        """Rows in the buckets that some repositories may use."""
+        groups = repositories.select(self.buckets.group().alias("g")).distinct()
+        first = [r["g"] * self.buckets.slices for r in groups.collect()]  # at most ``groups`` numbers
+        near = [f + i for f in first for i in range(self.buckets.slices)]
+        return self.read(table, version).filter(F.col("bucket").isin(near))
+
     def repository(self, table: str, project: str, repository: str) -> DataFrame:
         """One repository's rows; only its neighbouring buckets are read."""
-        return self.read(table).filter(bucket_filter(project, repository)).filter(one_repository(project, repository))
+        return self.read(table).filter(bucket_filter(project, repository, self.buckets)).filter(one_repository(project, repository))
 
     def write(self, table: str, df: DataFrame, version: int) -> None:
         """Writes bucket folders of a version that is not published yet.
@@ -69,7 +83,7 @@ class DocumentStore:
         """
         unit = "ref" if table == "checkpoints" else "doc_id"
         names = TABLES[table].names
-        rows = df.select(*names).withColumn("bucket", keys.bucket(unit)).hint("rebalance", "bucket")
+        rows = df.select(*names).withColumn("bucket", self.buckets.of(unit)).hint("rebalance", "bucket")
         ordered = rows.sortWithinPartitions("bucket", "project", "repository", unit)
         ordered.write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.root}/{table}/version={version}")
 
@@ -94,7 +108,8 @@ class DocumentStore:
             if buckets is not None:
                 gone = set(buckets)
                 rows += [r for r in before if r[0] == table and r[1] not in gone]
-        manifest = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
+        split = (self.buckets.groups, self.buckets.slices)
+        manifest = self.spark.createDataFrame([(*r, *split) for r in rows], _MANIFEST).coalesce(1)
         manifest.write.mode("errorifexists").parquet(f"{self.root}/versions/version={version}")
 
     def create_views(self, prefix: str = "search", version: int | None = None) -> None:
@@ -103,6 +118,32 @@ class DocumentStore:
         for table in TABLES:
             self.read(table, version).createOrReplaceTempView(f"{prefix}_{table}")
 
+    def write_vocabulary(self, words: DataFrame, version: int) -> None:
+        """(field, term, df) of a version, sorted so that a query reads few row groups."""
+        ordered = words.hint("rebalance", "field").sortWithinPartitions("field", "term")
+        ordered.write.mode("errorifexists").partitionBy("field").parquet(f"{self.root}/vocabulary/version={version}")
+
+    def vocabulary(self, version: int) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.root}/vocabulary/version={version}")
+        except AnalysisException:
+            return None
+
+    def expire(self, oldest: int) -> int:
+        """Removes versions before ``oldest`` and the bucket folders only they use."""
+        versions = self.versions()
+        if oldest > max(versions, default=0):
+            raise ValueError("the newest version cannot be removed")
+        kept = {r for v in versions if v >= oldest for r in self._manifest(v)}
+        old = [v for v in versions if v < oldest]
+        folders = {f"{t}/version={w}/bucket={b}" for v in old for t, b, w in set(self._manifest(v)) - kept}
+        folders |= {f"{part}/version={v}" for v in old for part in ("staging", "vocabulary")}
+        # The manifests go first: a version without one does not exist, whatever files are left.
+        for folder in [f"versions/version={v}" for v in old] + sorted(folders):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return len(old)
+
     def stage(self, df: DataFrame, version: int, name: str) -> DataFrame:
         """Writes an intermediate table beside the version being built and reads it back."""
         folder = f"{self.root}/staging/version={version}/{name}"

@@ -51,7 +51,7 @@ def store(spark, tmp_path_factory):
 
 def test_page_of_stored_table_reads_contents_once_for_matching(spark, store):
     """Filters on stored columns are pushed; a file-name search reads no contents at all."""
-    corpus = plan.Corpus(store.read("files"), store.read("commits"))
+    corpus = plan.stored_corpus(store)
     request = plan.Search(query="java", filenames=True, projects="en", extensions="java")
     text = explain(plan.search_page(corpus, request))
     assert "contents" not in text
@@ -61,7 +61,7 @@ def test_page_of_stored_table_reads_contents_once_for_matching(spark, store):
 
 
 def test_statistics_of_stored_table_read_no_text(spark, store):
-    corpus = plan.Corpus(store.read("files"), store.read("commits"))
+    corpus = plan.stored_corpus(store)
     text = explain(plan.search_statistics(corpus, plan.Search(query="")))
     for schema in re.findall("ReadSchema: (.*)", text):
         assert not set(re.findall(r"(\w+):", schema)) & {"contents", "body", "subject", "path"}
@@ -79,14 +79,14 @@ def test_readable_buckets_are_pruned_at_run_time(spark, store):
     grants = spark.createDataFrame(
         [("u", "en", "src3")], "user_id string, project string, repository string")
     grants.write.mode("overwrite").parquet(store.root + "/grants")
-    corpus = plan.Corpus(store.read("files"), store.read("commits"), grants=spark.read.parquet(store.root + "/grants"))
+    corpus = plan.stored_corpus(store, grants=spark.read.parquet(store.root + "/grants"))
     found = plan.search(corpus, plan.Search(query="", user="u", code=True), scored=False)
     assert "dynamicpruning" in explain(found)
     assert found.count() == store.repository("files", "en", "src3").count() > 0
 
 
 def test_named_repositories_prune_buckets(spark, store):
-    corpus = plan.Corpus(store.read("files"), store.read("commits"))
+    corpus = plan.stored_corpus(store)
     request = plan.Search(query="", projects="en", repositories="src3,src4", code=True)
     found = plan.search(corpus, request, scored=False)
     assert re.search(r"PartitionFilters: \[.*bucket", explain(found))
@@ -94,9 +94,22 @@ def test_named_repositories_prune_buckets(spark, store):
 
 
 def test_snippets_of_stored_tables(spark, store):
-    corpus = plan.Corpus(store.read("files"), store.read("commits"))
+    corpus = plan.stored_corpus(store)
     request = plan.Search(query="the", code=True)
     rows = plan.search_snippets(corpus, request).collect()
     assert len(rows) == min(50, store.read("files").filter(F.col("contents").rlike(r"(?i)\bthe\b")).count())
     assert all(r["source_lines"] and not r["is_preview"] for r in rows)
 
+
+
+def test_stored_vocabulary_gives_the_same_scores(spark, store):
+    from lodeseek.plans.indexing import index_vocabulary
+
+    request = plan.Search(query="the en", page=0)
+    scores = lambda c: {r["doc_id"]: r["score"] for r in plan.search(c, request).select("doc_id", "score").collect()}
+    assert store.vocabulary(1) is None
+    scanned = scores(plan.stored_corpus(store))
+    index_vocabulary(store)
+    corpus = plan.stored_corpus(store)
+    assert corpus.vocabulary is not None and scores(corpus) == scanned and scanned
+    assert "field#" in explain(plan.search(corpus, request)).split("Subqueries")[1]

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 
 from helpers import DEVELOP, MASTER, TOPIC, World, random_world, refs_by_id
 from lodeseek import schemas
+from lodeseek.functions.keys import Buckets
 from lodeseek.plans import indexing
 from lodeseek.settings import Limits
 from lodeseek.sources.store import DocumentStore
@@ -148,3 +149,20 @@ def test_size_and_binary_limits(spark, store):
     assert set(rows) == {"fits", "latin"}
     assert rows["latin"]["contents"] == "A\t\n�"
     assert refs_by_id(store.read("files")) == world.files(max_size=1024)
+
+
+def test_bucket_numbers_are_kept_and_versions_expire(spark, tmp_path):
+    world = random_world(random.Random(8))
+    store = DocumentStore(spark, str(tmp_path / "s"), Buckets(4, 3))
+    indexing.full_build(store, world.sources(spark), LIMITS)
+    assert {r["bucket"] for r in store.read("files").select("bucket").distinct().collect()} <= set(range(12))
+    with pytest.raises(ValueError, match="buckets"):
+        DocumentStore(spark, store.root).read("files")
+    world.trees["proj", "one", MASTER] = {"z.py": b"zz"}
+    indexing.update_all(store, world.sources(spark), LIMITS)
+    check(store, world)
+    with pytest.raises(ValueError):
+        store.expire(3)
+    assert store.expire(2) == 1
+    assert store.versions() == [2]
+    check(store, world)
