@@ -515,6 +515,7 @@ ORACLE: dict[str, str] = {
       GROUP BY doc_id, project, repository, hash"""),
     # events
     "stream_coalesce": _with("refevents", _LATEST),
+    "stream_pending": _with("refevents", _LATEST),
     "stream_route": _with("refevents branches", f"""SELECT project, repository, ref,
       CASE WHEN change_type = 'DELETE' THEN 'reindex' ELSE 'update' END AS action FROM ({_LATEST})
       LEFT JOIN (SELECT project, repository, ref, true AS known FROM branches) USING (project, repository, ref)

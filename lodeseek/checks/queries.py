@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from lodeseek.operators.match import (
     commit_fields, file_fields, matched_forms,
 )
 from lodeseek.plans import indexing, search as plan
+from lodeseek.session import shared_dir
 from lodeseek.settings import Limits
 from lodeseek.sources import adapters as src
 from lodeseek.sources import catalog, snapshots
@@ -739,3 +741,15 @@ def stream_route(spark: SparkSession, d: str) -> DataFrame:
     changes = updates.coalesce_events(src.ref_events(spark, d))
     routed = updates.route_events(changes, src.branches(spark, d))
     return routed.select("project", "repository", "ref", "action")
+
+
+@query
+def stream_pending(spark: SparkSession, d: str) -> DataFrame:
+    """The last change of every ref, kept by a streaming query over the events."""
+    run = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    raw = spark.readStream.schema(src.COLUMNS["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = updates.pending_changes(src.shape_ref_events(raw), f"{run}/state", f"{run}/progress")
+    stream.awaitTermination()
+    state = spark.read.parquet(f"{run}/state")
+    newest = state.agg(F.max("batch")).scalar()
+    return state.filter(F.col("batch") == newest).drop("batch")

@@ -58,7 +58,7 @@ class Corpus:
     repositories: DataFrame | None = None
     grants: DataFrame | None = None
     vocabulary: DataFrame | None = None
-    documents: int | None = None  # number of documents behind ``vocabulary``
+    documents: dict[str, int] | None = None  # per type, behind ``vocabulary``
     buckets: Buckets | None = None  # how stored tables are split
 
 
@@ -72,7 +72,7 @@ def stored_corpus(
     documents = None
     files, commits = store.read("files", version), store.read("commits", version)
     if vocabulary is not None:
-        documents = files.count() + commits.count()  # counted from file footers
+        documents = {flt.FILE: files.count(), flt.COMMIT: commits.count()}  # from file footers
     return Corpus(files, commits, repositories, grants, vocabulary, documents, store.buckets)
 
 
@@ -92,7 +92,8 @@ def _statistics(corpus: Corpus, request: Search) -> Column | None:
     if not any(leaf.weighted(f) for leaf in condition.leaves() for _, fs in parts for f in leaf.among(fs)):
         return None
     if corpus.vocabulary is not None and corpus.documents is not None:
-        return ranking.vocabulary_statistics(corpus.vocabulary, corpus.documents, parts, condition)
+        documents = sum(corpus.documents[doc_type] for doc_type, _, _ in _parts(corpus, request))
+        return ranking.vocabulary_statistics(corpus.vocabulary, documents, parts, condition)
     return ranking.term_statistics(parts, condition)
 
 

@@ -1,0 +1,45 @@
+"""Commits that refs reach, for repositories that come as parent edges."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodeseek.operators.deltas import REF_KEY
+from lodeseek.schemas import REPO_KEY
+from lodeseek.session import shared_dir
+
+_KEY = [*REF_KEY, "hash"]
+
+
+def reachable(tips: DataFrame, parents: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(project, repository, ref, hash) of every commit reached from the tips.
+
+    ``tips`` has (project, repository, ref, tip), ``parents`` has (project, repository, hash,
+    parent). ``known`` are commits reached before, which stay reached: the walk stops at them,
+    so a push costs as many rounds as it is deep. All refs of all repositories walk together.
+    Each round is a written table, which cuts the lineage and survives a lost executor.
+    """
+    spark = tips.sparkSession
+    folder = f"{shared_dir(spark)}/reach-{uuid.uuid4()}"
+    edges = parents.select(*REPO_KEY, "hash", "parent")
+    schema = tips.select(*REF_KEY, F.col("tip").alias("hash")).schema
+
+    def keep(step: DataFrame, number: int) -> DataFrame:
+        for done in seen:
+            step = step.join(done, _KEY, "left_anti")
+        step.select(*_KEY).distinct().write.parquet(f"{folder}/round={number}")
+        return spark.read.schema(schema).parquet(f"{folder}/round={number}")
+
+    seen = [] if known is None else [known.select(*_KEY)]
+    frontier, number = keep(tips.select(*REF_KEY, F.col("tip").alias("hash")), 0), 0
+    while not frontier.isEmpty():
+        number += 1
+        walked = spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/*").select(*_KEY)
+        seen = ([] if known is None else [known.select(*_KEY)]) + [walked]
+        step = frontier.join(edges, [*REPO_KEY, "hash"]).select(*REF_KEY, F.col("parent").alias("hash"))
+        frontier = keep(step, number)
+    walked = spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/*").select(*_KEY)
+    return walked if known is None else walked.union(known.select(*_KEY))

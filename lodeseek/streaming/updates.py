@@ -24,6 +24,21 @@ def coalesce_events(events: DataFrame) -> DataFrame:
     return events.groupBy(*REF_KEY).agg(last, F.count(F.lit(1)).alias("events"))
 
 
+def pending_changes(events: DataFrame, folder: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Keeps the last change of every ref as streaming state and writes it after each batch.
+
+    The state is one row per ref. Each batch writes a folder of its own, so a batch that is run
+    again replaces only itself; the one with the highest number is current.
+    """
+
+    def on_batch(state: DataFrame, number: int) -> None:
+        state.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    writer = coalesce_events(events).writeStream.outputMode("complete").foreachBatch(on_batch)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def route_events(changes: DataFrame, branches: DataFrame) -> DataFrame:
     """Changes with the action they ask for; changes to a ref that is no branch are dropped."""
     action = (

@@ -1,0 +1,38 @@
+"""Reachable commits against a plain walk."""
+
+import random
+
+from lodeseek.sources.history import reachable
+
+
+def walk(edges, tip):
+    out, todo = set(), [tip]
+    while todo:
+        h = todo.pop()
+        if h not in out:
+            out.add(h)
+            todo += edges.get(h, [])
+    return out
+
+
+def test_reachable(spark):
+    rng = random.Random(3)
+    edges, rows = {}, []
+    for repo in "ab":
+        for i in range(1, 25):
+            parents = {f"{repo}{rng.randrange(max(0, i - 6), i)}" for _ in range(rng.randint(1, 2))}
+            edges[f"{repo}{i}"] = sorted(parents)
+            rows += [("p", repo, f"{repo}{i}", p) for p in parents]
+    parents = spark.createDataFrame(rows, "project string, repository string, hash string, parent string")
+
+    def tips(pairs):
+        data = [("p", r, ref, tip) for r, ref, tip in pairs]
+        return spark.createDataFrame(data, "project string, repository string, ref string, tip string")
+
+    old, new = [("a", "m", "a9"), ("b", "m", "b8")], [("a", "m", "a20"), ("b", "m", "b8"), ("b", "x", "b24")]
+    expected = lambda ts: {(r, ref, h) for r, ref, t in ts for h in walk(edges, t)}
+    got = lambda df: sorted((x["repository"], x["ref"], x["hash"]) for x in df.collect())
+    first = reachable(tips(old), parents).cache()
+    assert got(first) == sorted(expected(old))
+    grown = reachable(tips(new), parents, known=first)
+    assert got(grown) == sorted(expected(new) | expected(old))

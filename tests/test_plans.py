@@ -105,7 +105,7 @@ def test_snippets_of_stored_tables(spark, store):
 def test_stored_vocabulary_gives_the_same_scores(spark, store):
     from lodeseek.plans.indexing import index_vocabulary
 
-    request = plan.Search(query="the en", page=0)
+    request = plan.Search(query="the en", code=True)
     scores = lambda c: {r["doc_id"]: r["score"] for r in plan.search(c, request).select("doc_id", "score").collect()}
     assert store.vocabulary(1) is None
     scanned = scores(plan.stored_corpus(store))
