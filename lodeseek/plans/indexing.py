@@ -145,10 +145,13 @@ def sync_refs(
             continue
         touched = docs.filter(F.col("bucket").isin(replaced[table])).drop("bucket")
         missing = deltas.documents_to_insert(touched, change).withColumn("refs", F.array_sort("add_refs"))
-        new = (
-            snapshots.build_files(missing, sources.blobs, limits)
-            if table == "files" else snapshots.build_commits(missing, sources.log)
-        )
+        if table == "files":
+            # Contents are fetched before they are decoded, so only those of new documents are.
+            missing = store.stage(missing, version, "new_files")
+            blobs = snapshots.needed_blobs(sources.blobs, missing, limits.max_file_size)
+            new = snapshots.build_files(missing, store.stage(blobs, version, "new_blobs"), limits)
+        else:
+            new = snapshots.build_commits(missing, sources.log)
         store.write(table, deltas.update_documents(touched, change).unionByName(new), version)
     replaced["checkpoints"] = _buckets(store, wanted, "ref")
     if replaced["checkpoints"]:

@@ -13,12 +13,27 @@ from lodeseek.settings import Limits
 # Fixed value: separator of the fields of a commit record.
 FIELD_SEPARATOR = "\u0002"
 
+# Length of the ``prefix`` column of a partitioned blob table.
+PREFIX_DIGITS = 3
+
 
 def within_size(blobs: DataFrame, max_file_size: int) -> DataFrame:
     """Blobs small enough to index; one of unknown size is not."""
     return blobs.filter(F.col("size") <= max_file_size)
 
 
+def needed_blobs(blobs: DataFrame, places: DataFrame, max_file_size: int) -> DataFrame:
+    """Raw contents of the blobs that some places need.
+
+    A blob table partitioned by ``prefix``, the first digits of the blob, is read only there.
+    """
+    wanted, key = places.select("blob").distinct(), ["blob"]
+    if "prefix" in blobs.columns:
+        wanted, key = wanted.withColumn("prefix", F.substring("blob", 1, PREFIX_DIGITS)), [*key, "prefix"]
+    found = within_size(blobs, max_file_size).join(wanted, key, "left_semi")
+    return found.select("blob", "size", "content")
+
+
 def text_blobs(blobs: DataFrame, max_file_size: int) -> DataFrame:
     """Indexable blobs, decoded and measured once however many paths share them."""
     decoded = within_size(blobs, max_file_size).select("blob", decode_text("content").alias("contents"))
@@ -59,10 +74,13 @@ def shape_commits(log: DataFrame) -> DataFrame:
 
 def build_commits(places: DataFrame, log: DataFrame) -> DataFrame:
     """Commit documents for (project, repository, hash, refs) rows."""
-    first = F.first(F.struct("commitdate", "authorname", "authoremail", "subject", "body")).alias("c")
-    known = shape_commits(log).groupBy(*REPO_KEY, "hash").agg(first).select(*REPO_KEY, "hash", "c.*")
-    joined = places.join(known, [*REPO_KEY, "hash"])
-    return joined.withColumn("doc_id", keys.commit_id()).select(*COMMITS.names)
+    key = [*REPO_KEY, "hash"]
+    # The join comes first: for few places the log is not shuffled, and for many the grouping
+    # finds the rows where the join left them.
+    fields = F.first(F.struct("refs", "commitdate", "authorname", "authoremail", "subject", "body"))
+    joined = places.select(*key, "refs").join(shape_commits(log), key)
+    once = joined.groupBy(*key).agg(fields.alias("c")).select(*key, "c.*")
+    return once.withColumn("doc_id", keys.commit_id()).select(*COMMITS.names)
 
 
 def commits_of_reach(reach: DataFrame) -> DataFrame:

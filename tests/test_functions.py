@@ -259,3 +259,19 @@ def test_primary_and_display_refs(spark):
     rows = df.select(keys.primary_ref(), keys.display_refs()).collect()
     assert [tuple(r) for r in rows] == [
         ("refs/heads/master", ["refs/heads/master", "refs/heads/z"]), ("a", ["a", "b"])]
+
+
+def test_needed_blobs_and_repeated_log_records(spark, tmp_path):
+    blobs = spark.createDataFrame([(c * 40, n, bytearray(b"x")) for c, n in (("a", 1), ("b", 1), ("c", 99))], schemas.BLOBS)
+    folder = str(tmp_path / "blobs")
+    blobs.withColumn("prefix", F.substring("blob", 1, snapshots.PREFIX_DIGITS)).write.partitionBy("prefix").parquet(folder)
+    places = spark.createDataFrame([("a" * 40,), ("a" * 40,), ("c" * 40,)], "blob string")
+    for table in (blobs, spark.read.parquet(folder)):
+        assert [r["blob"] for r in snapshots.needed_blobs(table, places, 10).collect()] == ["a" * 40]
+    plan = snapshots.needed_blobs(spark.read.parquet(folder), spark.read.parquet(folder).filter("size = 1"), 10)
+    assert plan.count() == 2
+
+    record = "\u0002".join(["f" * 40, "1704067200", "Ann", "a@x", "s"])
+    log = spark.createDataFrame([("p", "r", record), ("p", "r", record)], schemas.COMMIT_LOG)
+    at = spark.createDataFrame([("p", "r", "f" * 40, ["x"])], "project string, repository string, hash string, refs array<string>")
+    assert [r["doc_id"] for r in snapshots.build_commits(at, log).collect()] == ["p^r^" + "f" * 40]
