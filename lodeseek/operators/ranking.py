@@ -22,6 +22,11 @@ def _name(field: Field, token: str) -> str:
     return f"df {field.name} {token}"
 
 
+def _column(name: str) -> Column:
+    """A column whose name holds query text."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def term_statistics(parts: Sequence[Part], condition: Condition) -> Column:
     """Struct with the number of documents and the document frequency of every weighted token.
 
@@ -38,8 +43,8 @@ def term_statistics(parts: Sequence[Part], condition: Condition) -> Column:
     total = rows[0]
     for row in rows[1:]:
         total = total.unionByName(row)
-    total = total.agg(*[F.sum(f"`{c}`").alias(c) for c in ["n", *names]])
-    return total.select(F.struct(*[F.col(f"`{c}`") for c in total.columns]).alias("s")).scalar()
+    total = total.agg(*[F.sum(_column(c)).alias(c) for c in ["n", *names]])
+    return total.select(F.struct(*[_column(c) for c in total.columns]).alias("s")).scalar()
 
 
 def vocabulary_statistics(vocabulary: DataFrame, documents: int, parts: Sequence[Part], condition: Condition) -> Column:
@@ -52,7 +57,7 @@ def vocabulary_statistics(vocabulary: DataFrame, documents: int, parts: Sequence
         return F.coalesce(F.max(own), F.lit(0)).alias(_name(f, t))
 
     row = vocabulary.filter(here).agg(F.lit(documents).cast("bigint").alias("n"), *[df_of(f, t) for f, t in pairs])
-    return row.select(F.struct(*[F.col(f"`{c}`") for c in row.columns]).alias("s")).scalar()
+    return row.select(F.struct(*[_column(c) for c in row.columns]).alias("s")).scalar()
 
 
 def _idf(stats: Column, field: Field, token: str) -> Column:
@@ -68,7 +73,7 @@ class _Measures:
     def __call__(self, key: str, value: Callable[[], Column]) -> Column:
         if key not in self.columns:
             self.columns[key] = value()
-        return F.col(f"`{key}`")
+        return _column(key)
 
 
 def _leaf_in_field(leaf: Condition, field: Field, stats: Column, measure: _Measures) -> tuple[Column, Column]:

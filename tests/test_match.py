@@ -212,3 +212,22 @@ def test_forms(spark):
     assert forms(All(Prefix("bar"), Not(Term("foo")))) == ["bar_x", "Bar"]
     assert forms(Everything()) == []
     assert forms(Term("foo", field="path")) == []
+
+
+def test_query_text_is_never_syntax(spark):
+    """Quotes, backticks, dots and pattern characters in a query are just text."""
+    from lodeseek import Corpus, Search, schemas, search, search_snippets
+
+    files = spark.createDataFrame(
+        [("f1", "p", "r", ["x"], "b", "a`b/c'd.py", "py", "say `hi` (now) $1.5 \\\\ end", 20, 1)], schemas.FILES)
+    commits = spark.createDataFrame([("c1", "p", "r", ["x"], "h`1", None, "A", "a@x", "it's `hi`", "")], schemas.COMMITS)
+    corpus = Corpus(files, commits)
+    found = lambda q: sorted(r["doc_id"] for r in search(corpus, Search(query=q)).collect())
+    assert found("`hi`") == ["c1", "f1"]
+    assert found("(now) $1.5") == ["f1"]
+    assert found("h`1") == ["c1"]
+    assert found("a`b") == ["f1"]
+    assert found("[ *") == []
+    assert found(Phrase("it's `hi`")) == ["c1"]
+    assert found(AnyOf(Phrase("`hi` (now)", slop=1), Wildcard("h`?"))) == ["c1", "f1"]
+    assert search_snippets(corpus, Search(query="`hi`", code=True)).first()["source_lines"].startswith("say `hi`")
