@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodeseek.llm.ngram_join import ngram_jaccard_join
+from lodeseek.llm.substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,3 +56,37 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON r.node = d.doc_id
 """
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = substring_dedup(table(spark, folder, "documents").select("doc_id", "text"), window=20)
+    return cleaned.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op10_substring_dedup"] = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (
+    SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM cut WHERE len(w) >= 20)
+),
+later AS (
+    SELECT doc_id, p FROM (
+        SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM wins
+    ) WHERE k > 1
+),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM cut),
+marks AS (
+    SELECT x.doc_id, x.p, x.word, max(l.p) OVER (PARTITION BY x.doc_id ORDER BY x.p) AS last
+    FROM words x LEFT JOIN later l ON l.doc_id = x.doc_id AND l.p = x.p
+),
+kept AS (
+    SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE p - last < 20) AS gone,
+        string_agg(word, ' ' ORDER BY p) FILTER (WHERE last IS NULL OR p - last >= 20) AS text
+    FROM marks GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed,
+    sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
