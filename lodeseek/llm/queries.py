@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm.ngram_join import ngram_jaccard_join
+from lodeseek.llm.packing import pack, token_pieces
 from lodeseek.llm.substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +92,9 @@ SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed,
     sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = token_pieces(table(spark, folder, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
+    return pack(pieces, 1024).drop("ids")
