@@ -21,7 +21,8 @@ from lodeseek.llm.staging import gathered, long_array, on_executors, scattered,
 from lodeseek.llm.words import Words, mix, run_places, runs, whole_run
 
 HEAVY = 50_000  # n-grams that make up this share of all or more are ordered last; so many at most
-BLOCK = 1_000  # sets of a group that are compared in one task, twice as many at most
+MAPS = 5_000  # bit maps of a group that are compared in one task, twice as many at most
+BLOCK = 1_000  # the same for sets
 _TOP = np.uint64(1 << 63)
 
 
@@ -54,6 +55,23 @@ def _digests(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
+def parity_bits(values: np.ndarray) -> bytes:
+    """A bit for each remainder of the n-grams, set where an odd number has it.
+
+    Two such maps differ in at most as many bits as the sets have n-grams that are not common. The
+    length, a power of two of at least the set's size, halves by folding.
+    """
+    bits = max(64, 1 << int(len(values) - 1).bit_length()) if len(values) else 64
+    counts = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
 def _measured(width: int):
     """A row for each document, and the n-grams that are frequent within a record batch."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,15 +83,17 @@ def _measured(width: int):
             linked = there & (n > 0)
             yield pa.record_batch({
                 "doc_id": pa.array(ids, mask=~there), "n": pa.array(n), "d1": pa.array(d1, mask=~linked),
-                "d2": pa.array(d2, mask=~linked), "gram": pa.nulls(len(ids), pa.int64()),
-                "times": pa.nulls(len(ids), pa.int64()),
+                "d2": pa.array(d2, mask=~linked), "bits": pa.array(
+                    [parity_bits(values[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)],
+                    pa.binary()),
+                "gram": pa.nulls(len(ids), pa.int64()), "times": pa.nulls(len(ids), pa.int64()),
             })
             grams, times = np.unique(values, return_counts=True)
             keep = times >= max(3, len(values) // (2 * HEAVY))
             k = int(keep.sum())
             yield pa.record_batch({
                 "doc_id": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "d1": pa.nulls(k, pa.int64()),
-                "d2": pa.nulls(k, pa.int64()), "gram": pa.array(grams[keep].view(np.int64)),
+                "d2": pa.nulls(k, pa.int64()), "bits": pa.nulls(k, pa.binary()), "gram": pa.array(grams[keep].view(np.int64)),
                 "times": pa.array(times[keep]),
             })
     return measure
@@ -158,11 +178,84 @@ def _groups(percent: int):
     return meet
 
 
+def _near(percent: int):
+    """Classes of a group's members whose bit maps allow a link, named by their smallest document.
+
+    Batches are sorted by group. No pair is put out; members without a possible partner go.
+    """
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sizes, maps = None, [], [], []
+
+        def classes() -> pa.RecordBatch:
+            group = possible(np.array(sizes, np.int64), maps, percent)
+            docs = np.array(ids, np.int64)
+            name = np.full(len(docs), np.iinfo(np.int64).max)
+            np.minimum.at(name, group, docs)
+            keep = np.bincount(group, minlength=len(docs))[group] > 1
+            return pa.record_batch({"label": pa.array(name[group][keep]), "doc_id": pa.array(docs[keep])})
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            docs, counts, bits = batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6)
+            for row, key in enumerate(keys):
+                if key != now and len(ids) > 1:
+                    yield classes()
+                if key != now:
+                    now, ids, sizes, maps = key, [], [], []
+                ids.append(docs[row])
+                sizes.append(counts[row])
+                maps.append(np.frombuffer(bits[row].as_py(), np.uint64))
+        if len(ids) > 1:
+            yield classes()
+    return refine
+
+
+def possible(sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """A class for each set such that sets of different classes can't link, by sizes and bit maps."""
+    n = len(sizes)
+    group = np.arange(n)
+    if n == 2:  # most groups
+        size = min(len(maps[0]), len(maps[1]))
+        apart = int(np.bitwise_count(_folded(maps[0], size) ^ _folded(maps[1], size)).sum())
+        if (100 + percent) * apart <= (100 - percent) * int(sizes.sum()) and 100 * sizes.min() >= percent * sizes.max():
+            group[:] = 0
+        return group
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    lengths = np.array([len(m) for m in maps])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        by_length[int(length)] = (at, np.stack([maps[k] for k in at]))
+    done = np.zeros(n, bool)
+    for k in range(n):
+        counts = np.bincount(group, minlength=n)
+        if counts.max() == n:
+            break
+        if group[k] == counts.argmax() and counts[group[k]] > 1:
+            continue  # a link between two classes has an end outside the largest
+        done[k] = True
+        found = []
+        for length, (at, stack) in by_length.items():
+            open_ = at[group[at] != group[k]]
+            fits = open_[(100 * sizes[open_] >= percent * sizes[k]) & (percent * sizes[open_] <= 100 * sizes[k])]
+            if not len(fits):
+                continue
+            rows = stack[np.searchsorted(at, fits)]
+            size = min(length, lengths[k])
+            while rows.shape[1] > size:
+                half = rows.shape[1] // 2
+                rows = rows[:, :half] ^ rows[:, half:]
+            apart = np.bitwise_count(rows ^ _folded(maps[k], size)).sum(1)
+            # |difference| <= (1 - s) / (1 + s) * (sizes together) for a link
+            found.append(fits[(100 + percent) * apart <= (100 - percent) * (sizes[fits] + sizes[k])])
+        for g in np.unique(group[np.concatenate(found)]) if found else ():
+            group[group == g] = group[k]
+    return group
+
+
 def _members(width: int, heavy):
     """The ordered set of a document for each group and pair of blocks it belongs to."""
     schema = pa.schema([
-        ("common", pa.bool_()), ("label", pa.int64()), ("i", pa.int32()), ("j", pa.int32()),
-        ("doc_id", pa.int64()), ("grams", pa.binary()),
+        ("label", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("doc_id", pa.int64()), ("grams", pa.binary()),
     ])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +272,8 @@ def _members(width: int, heavy):
                 for g in groups:
                     if g["node"] != own:  # another text of the same id
                         continue
-                    blocks = g["blocks"]
-                    mine = own % blocks
-                    others = [0] if blocks == 1 else [k for k in range(blocks) if k != mine]
-                    for other in others:
-                        rows.append((g["common"], g["label"], min(mine, other), max(mine, other), doc, raw))
+                    for i, j in _blocks(own % g["blocks"], g["blocks"]):
+                        rows.append((g["label"], i, j, doc, raw))
                         held += len(raw)
                         if held > 16 << 20:
                             yield _record(rows, schema)
@@ -193,6 +283,13 @@ def _members(width: int, heavy):
     return send
 
 
+def _blocks(mine: int, blocks: int) -> list[tuple[int, int]]:
+    """The pairs of blocks that a member of block ``mine`` is compared in."""
+    if blocks == 1:
+        return [(0, 0)]
+    return [(min(mine, k), max(mine, k)) for k in range(blocks) if k != mine]
+
+
 def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema)
 
@@ -296,8 +393,8 @@ def _joined(percent: int):
             })
 
         for batch in batches:
-            keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-            docs, grams = batch.column(4).to_pylist(), batch.column(5)
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            docs, grams = batch.column(3).to_pylist(), batch.column(4)
             for row, key in enumerate(keys):
                 if key != now and len(ids) > 1:
                     yield links()
@@ -321,8 +418,8 @@ def ngram_jaccard_join(
     id takes part in no link and has a null component. Rows that repeat an id are one document whose
     texts all link. An empty table gives an empty result; other columns are ignored.
 
-    Shuffled are the prefixes (a fifth of the n-grams at 80 percent) and, for documents that share
-    a prefix n-gram, their texts and sets. An n-gram of a large part of all rows comes last in the order and
+    Shuffled are the prefixes (a fifth of the n-grams at 80 percent), for documents that share
+    a prefix n-gram a bit map, and for those whose maps allow a link their texts and sets. An n-gram of a large part of all rows comes last in the order and
     names its group itself; a group of more than ``BLOCK`` sets is cut into blocks, each pair of
     blocks being one task.
     """
@@ -331,7 +428,7 @@ def ngram_jaccard_join(
     parts = 4 * shuffle_partitions(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     both = staged(docs.mapInArrow(
-        _measured(width), "doc_id long, n long, d1 long, d2 long, gram long, times long"))
+        _measured(width), "doc_id long, n long, d1 long, d2 long, bits binary, gram long, times long"))
     measured = both.where("n is not null").select("doc_id", "n", "d1", "d2")
     total = measured.agg(F.sum("n")).first()[0] or 0
     frequent = (
@@ -342,21 +439,39 @@ def ngram_jaccard_join(
     order = np.argsort(grams)
     heavy = spark.sparkContext.broadcast((grams[order], order))
 
-    classes = staged(measured.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id")))
+    classes = staged(both.where("d1 is not null").groupBy("d1", "d2").agg(
+        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     prefixes = docs.mapInArrow(
         _prefixes(width, percent, parts, heavy), "part int, grams binary, sizes binary, nodes binary")
-    groups = staged(
+    groups = (
         prefixes.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part")
-        .mapInArrow(_groups(percent), "common boolean, label long, node long").distinct())
-    counts = groups.groupBy("common", "label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = (
+        .mapInArrow(_groups(percent), "common boolean, label long, node long").distinct()
+    )
+    groups = staged(groups)
+    counts = groups.groupBy("common", "label").agg(F.ceil(F.count("*") / MAPS).cast("int").alias("blocks"))
+    block = F.pmod("node", "blocks").cast("int")
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(block)).otherwise(
+        F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), block)))
+    mapped = (
         groups.join(counts, ["common", "label"])
-        .join(classes.select(F.col("d1").alias("node"), F.col("first_id").alias("doc_id")), "node")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("common", "label", "node", "blocks")).alias("groups"))
+        .join(classes.select(F.col("d1").alias("node"), F.col("first_id").alias("doc_id"), "n", "bits"), "node")
+        .select("common", "label", block.alias("own"), other.alias("other"), "doc_id", "n", "bits")
+        .select("common", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                "doc_id", "n", "bits")
     )
-    members = docs.join(wanted, "doc_id").mapInArrow(
-        _members(width, heavy), "common boolean, label long, i int, j int, doc_id long, grams binary")
     keys = ["common", "label", "i", "j"]
+    near = staged(mapped.repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(
+        _near(percent), "label long, doc_id long").distinct())
+
+    counts = near.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wanted = (
+        near.join(counts, "label")
+        .join(classes.select("d1", "first_id"), F.col("doc_id") == F.col("first_id"))
+        .groupBy("doc_id").agg(F.collect_list(F.struct("label", F.col("d1").alias("node"), "blocks")).alias("groups"))
+    )
+    members = docs.join(wanted, "doc_id").mapInArrow(
+        _members(width, heavy), "label long, i int, j int, doc_id long, grams binary")
+    keys = ["label", "i", "j"]
     links = members.repartition(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(
         _joined(percent), "a long, b long")
     reached = connected_components(links.union(_repeated_ids(measured, classes)))

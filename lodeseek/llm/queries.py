@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm.ngram_join import ngram_jaccard_join
+from lodeseek.llm.nbsvm import held_out
 from lodeseek.llm.packing import pack, token_pieces
+from lodeseek.llm.quality import quality_model, quality_scores
 from lodeseek.llm.substring_dedup import substring_dedup
+from lodeseek.llm.toxicity import toxicity_model, toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +101,21 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = token_pieces(table(spark, folder, "documents"), tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
     return pack(pieces, 1024).drop("ids")
+
+
+def _known(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "labels").where(~held_out("doc_id"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model(docs, _known(spark, folder))
+    return quality_scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, _known(spark, folder))
+    return toxicity_scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
