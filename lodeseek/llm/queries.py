@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm.ngram_join import ngram_jaccard_join
+from lodeseek.llm.line_dedup import line_dedup
 from lodeseek.llm.nbsvm import held_out
 from lodeseek.llm.packing import pack, token_pieces
 from lodeseek.llm.quality import quality_model, quality_scores
+from lodeseek.llm.spot_signatures import edited_fingerprints, fingerprint, likeness
 from lodeseek.llm.substring_dedup import substring_dedup
 from lodeseek.llm.toxicity import toxicity_model, toxicity_scores
 
@@ -119,3 +121,45 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity_model(docs, _known(spark, folder))
     return toxicity_scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup(table(spark, folder, "documents"), "source", "text", max_ratio=0.1, min_pages=10)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op2_line_dedup"] = r"""
+WITH split AS (
+    SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+        unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents
+),
+pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+often AS (
+    SELECT source, line FROM (
+        SELECT source, line, count(DISTINCT doc_id) AS n FROM split WHERE trim(line) <> '' GROUP BY source, line
+    ) JOIN pages USING (source) WHERE pages >= 10 AND n > 0.1 * pages
+),
+marked AS (
+    SELECT s.doc_id, s.line, s.p, o.line IS NOT NULL AS gone
+    FROM split s LEFT JOIN often o ON o.source = s.source AND o.line = s.line
+)
+SELECT d.doc_id, coalesce(n, 0)::INTEGER AS n_lines, coalesce(gone, 0)::INTEGER AS n_dropped,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN (
+    SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS gone,
+        string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone) AS kept
+    FROM marked GROUP BY doc_id
+) m ON m.doc_id = d.doc_id
+"""
+
+
+@query
+def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = edited_fingerprints(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        fingerprint(F.col("signatures")).alias("fingerprint"),
+        fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
+        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
+        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"))
