@@ -16,9 +16,11 @@ from lodeseek.llm.quality import quality_model, quality_scores
 from lodeseek.llm.spot_signatures import edited_fingerprints, fingerprint, likeness
 from lodeseek.llm.substring_dedup import substring_dedup
 from lodeseek.llm.toxicity import toxicity_model, toxicity_scores
+from lodeseek.llm.vantage_trees import nearest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+VANTAGE_FACTOR = 1.5  # see README for the recall it gives
 ORACLE: dict[str, str] = {}
 
 
@@ -163,3 +165,9 @@ def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
         likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
         likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"))
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=VANTAGE_FACTOR)

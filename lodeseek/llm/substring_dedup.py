@@ -22,6 +22,7 @@ from lodeseek.llm.words import Words, mix, run_places, runs
 # Perfect difference sets: each residue is the difference of two of the places. Fixed values.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 SLICE = 12 << 20
+RESULTS = 2_000_000  # places that a task holds before it sends them on
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -91,13 +92,29 @@ def _anchors(window: int, parts: int):
                 "keys": (keys[first] >> np.uint64(32)).astype(np.uint32), "docs": docs[first], "places": inside[first],
             }, NAMES)
             if here.any():
-                yield _blobs(_by_document(docs[here], parts), {"docs": docs[here], "places": inside[here]}, NAMES)
+                yield _blobs(_by_document(docs[here], max(1, parts // 4)), {"docs": docs[here], "places": inside[here]}, NAMES)
     return deal
 
 
+def _sent_on(results: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Documents and places by document, those of many parts together: a row for each task and target."""
+    docs, places, held = [], [], 0
+    for some, at in results:
+        docs.append(some)
+        places.append(at)
+        held += len(some)
+        if held >= RESULTS:
+            doc = np.concatenate(docs)
+            yield _blobs(_by_document(doc, parts), {"docs": doc, "places": np.concatenate(places)}, NAMES)
+            docs, places, held = [], [], 0
+    if held:
+        doc = np.concatenate(docs)
+        yield _blobs(_by_document(doc, parts), {"docs": doc, "places": np.concatenate(places)}, NAMES)
+
+
 def _repeated(parts: int):
     """Occurrences of anchors that occur more than once."""
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         kinds = {"keys": np.uint32, "docs": np.int64, "places": np.uint32}
         for part, held in gathered(batches, "part", kinds):
             docs, places = held["docs"], held["places"]
@@ -107,23 +124,21 @@ def _repeated(parts: int):
                 same = keys[1:] == keys[:-1]
                 keep = np.r_[False, same] | np.r_[same, False]
                 docs, places = docs[keep], places[keep]
-            if len(docs):
-                yield _blobs(_by_document(docs, parts), {"docs": docs, "places": places}, NAMES)
-    return meet
+            yield docs, places
+    return lambda batches: _sent_on(found(batches), parts)
 
 
 def _later(parts: int):
     """Windows whose words start earlier elsewhere."""
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         kinds = {"keys": np.uint64, "more": np.uint32, "docs": np.int64, "places": np.uint32}
         for part, held in gathered(batches, "part", kinds):
             docs, places = held["docs"], held["places"]
             if part >= 0:
                 _, later = _first_of_each([held["keys"], held["more"]], docs, places)
                 docs, places = docs[later], places[later]
-            if len(docs):
-                yield _blobs(_by_document(docs, parts), {"docs": docs, "places": places}, NAMES)
-    return meet
+            yield docs, places
+    return lambda batches: _sent_on(found(batches), parts)
 
 
 def _each_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +193,7 @@ def _windows(window: int, parts: int):
                 "keys": keys[first], "more": more[first], "docs": docs[first], "places": inside[first],
             }, NAMES)
             if len(later):
-                yield _blobs(_by_document(docs[later], parts), {"docs": docs[later], "places": inside[later]}, NAMES)
+                yield _blobs(_by_document(docs[later], max(1, parts // 4)), {"docs": docs[later], "places": inside[later]}, NAMES)
     return deal
 
 
@@ -246,9 +261,9 @@ def substring_dedup(
         return staged(seen.repartition(n, "part").sortWithinPartitions("part").mapInArrow(
             _each_document, "found_id long, places binary"))
 
-    hits = met(docs.mapInArrow(_anchors(window, parts), BLOBS), _repeated(parts))
+    hits = met(docs.mapInArrow(_anchors(window, parts), BLOBS), _repeated(n))
     near = docs.join(hits, docs.doc_id == hits.found_id).select("doc_id", "text", "places")
-    later = met(near.mapInArrow(_windows(window, parts), BLOBS), _later(parts))
+    later = met(near.mapInArrow(_windows(window, parts), BLOBS), _later(n))
 
     columns, text_at = df.columns, df.columns.index(text_col)
     plain = df.toDF(*[f"c{k}" for k in range(len(columns))])
