@@ -53,73 +53,88 @@ PARTS = "size int, part int, key long, ids binary, vectors binary"
 
 
 class Tree:
-    """Vectors in the order of the tree; a node is a range of them whose first one is its vantage point."""
+    """Vectors of one length in the order of the tree; a node is a range of them around a vantage point."""
 
     def __init__(self, lifted: np.ndarray, seed: int = 1) -> None:
         self.order = np.arange(len(lifted))
-        self.nodes: dict[tuple[int, int], tuple[int, float]] = {}  # range -> border of its halves, radius
-        self._lifted, self._rng = lifted, np.random.default_rng(seed)
+        self.nodes: dict[tuple[int, int], tuple[int, int, float]] = {}  # range -> vantage point, border, radius
+        rng = np.random.default_rng(seed)
         todo = [(0, len(lifted))]
         while todo:
             lo, hi = todo.pop()
             if hi - lo <= LEAF:
                 continue
-            middle, _ = self._split(lo, hi)
-            todo += [(lo + 1, middle), (middle, hi)]
+            rows = self.order[lo:hi]
+            # Of a few points, the one whose distances to others spread most tells inside from outside best.
+            trial = rng.choice(rows, 8, replace=False)
+            against = lifted[rng.choice(rows, min(128, len(rows)), replace=False)]
+            apart = np.linalg.norm(against[None] - lifted[trial][:, None], axis=2)
+            vantage = trial[int(np.argmax(apart.std(1)))]
+            far = np.linalg.norm(lifted[rows] - lifted[vantage], axis=1)
+            by = np.argsort(far, kind="stable")
+            middle = (lo + hi) // 2
+            self.order[lo:hi] = rows[by]
+            self.nodes[(lo, hi)] = (int(vantage), middle, float(far[by[middle - lo]]))
+            todo += [(lo, middle), (middle, hi)]
+        place = np.argsort(self.order)
+        self.nodes = {key: (int(place[v]), middle, radius) for key, (v, middle, radius) in self.nodes.items()}
         self.lifted = lifted[self.order]
 
-    def _split(self, lo: int, hi: int) -> tuple[int, float]:
-        rows = self.order[lo:hi]
-        # Of a few points, the one whose distances to others spread most tells inside from outside best.
-        trial = self._rng.choice(rows, min(8, len(rows)), replace=False)
-        against = self._lifted[self._rng.choice(rows, min(128, len(rows)), replace=False)]
-        spread = [np.std(np.linalg.norm(against - self._lifted[t], axis=1)) for t in trial]
-        vantage = trial[int(np.argmax(spread))]
-        rest = rows[rows != vantage]
-        far = np.linalg.norm(self._lifted[rest] - self._lifted[vantage], axis=1)
-        by = np.argsort(far, kind="stable")
-        half = len(rest) // 2
-        self.order[lo] = vantage
-        self.order[lo + 1:hi] = rest[by]
-        self.nodes[(lo, hi)] = (lo + 1 + half, float(far[by[half]]))
-        return self.nodes[(lo, hi)]
-
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of the ``k`` nearest found for each query, unsorted; -1 where there are fewer."""
-        near = np.full((len(queries), k), np.inf)
-        place = np.full((len(queries), k), -1)
-        lifted, nodes = self.lifted, self.nodes
-
-        def look(rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
-            points = lifted[lo:hi]
-            square = (queries[rows] ** 2).sum(1)[:, None] + (points ** 2).sum(1) - 2 * queries[rows] @ points.T
-            far = np.sqrt(np.maximum(square, 0))
-            both = np.concatenate([near[rows], far], 1)
-            names = np.concatenate([place[rows], np.broadcast_to(np.arange(lo, hi), far.shape)], 1)
-            if both.shape[1] > k:
-                best = np.argpartition(both, k - 1, axis=1)[:, :k]
-                both, names = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
-            near[rows], place[rows] = both, names
-            return far
-
-        def visit(rows: np.ndarray, lo: int, hi: int) -> None:
-            if not len(rows) or lo >= hi:
+    def search(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
+        """Places of the ``k`` nearest found for each query, unsorted; -1 where there are fewer.
+
+        ``queries`` are as long as the vectors, so a distance follows from the product. All queries go down to
+        their own leaf first; then one walk visits a node with those that can't leave it out.
+        """
+        lifted, nodes, count = self.lifted, self.nodes, len(queries)
+        twice = 2 * float((lifted[0] ** 2).sum()) if len(lifted) else 0.0
+        best = np.full((count, k), -np.inf)
+        place = np.full((count, k), -1)
+        own = np.full(count, -1)
+
+        def look(rows: np.ndarray, lo: int, hi: int) -> None:
+            dots = queries[rows] @ lifted[lo:hi].T
+            both = np.concatenate([best[rows], dots], 1)
+            names = np.concatenate([place[rows], np.broadcast_to(np.arange(lo, hi), dots.shape)], 1)
+            top = np.argpartition(both, both.shape[1] - k, axis=1)[:, -k:]
+            line = np.arange(len(rows))[:, None]
+            best[rows], place[rows] = both[line, top], names[line, top]
+
+        def distance(rows: np.ndarray, vantage: int) -> np.ndarray:
+            return np.sqrt(np.maximum(twice - 2 * (queries[rows] @ lifted[vantage]), 0))
+
+        def reach(rows: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(twice - 2 * best[rows].min(1), 0))
+
+        def descend(rows: np.ndarray, lo: int, hi: int) -> None:
+            if not len(rows):
                 return
             if (lo, hi) not in nodes:
+                own[rows] = lo
                 look(rows, lo, hi)
                 return
-            middle, radius = nodes[(lo, hi)]
-            far = look(rows, lo, lo + 1)[:, 0]
-            inside = far <= radius
-            visit(rows[inside], lo + 1, middle)
-            visit(rows[~inside], middle, hi)
-            gap = np.abs(far - radius) * factor
-            cross = gap <= near[rows].max(1)
-            visit(rows[inside & cross], middle, hi)
-            visit(rows[~inside & cross], lo + 1, middle)
+            vantage, middle, radius = nodes[(lo, hi)]
+            inside = distance(rows, vantage) < radius
+            descend(rows[inside], lo, middle)
+            descend(rows[~inside], middle, hi)
 
-        visit(np.arange(len(queries)), 0, len(lifted))
-        return place, near
+        def walk(rows: np.ndarray, lo: int, hi: int) -> None:
+            if not len(rows):
+                return
+            if (lo, hi) not in nodes:
+                rows = rows[own[rows] != lo]
+                if len(rows):
+                    look(rows, lo, hi)
+                return
+            vantage, middle, radius = nodes[(lo, hi)]
+            beyond = distance(rows, vantage) - radius
+            walk(rows[beyond * factor <= reach(rows)], lo, middle)
+            walk(rows[-beyond * factor <= reach(rows)], middle, hi)
+
+        if len(lifted):
+            descend(np.arange(count), 0, len(lifted))
+            walk(np.arange(count), 0, len(lifted))
+        return place
 
 
 def lift(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -150,16 +165,16 @@ def _planted(kind: type, longest: float, k: int):
             firsts = np.array([rows[0] for rows in known.values()])
             tree = Tree(lift(vectors[firsts].astype(np.float64), longest))
             # A query needs the k smallest ids of equal vectors, besides its own.
-            own = [ids[list(dict.fromkeys(rows))][: k + 1] for rows in known.values()]
+            own = [np.unique(ids[rows])[: k + 1] for rows in known.values()]
             own = [own[t] for t in tree.order]
-            ranges = np.array([(lo, hi, middle) for (lo, hi), (middle, _) in tree.nodes.items()], np.int64)
+            ranges = np.array([(*key, vantage, middle) for key, (vantage, middle, _) in tree.nodes.items()], np.int64)
             yield pa.record_batch({
                 "size": pa.array([key >> 32], pa.int32()), "shard": pa.array([key & 0xFFFFFFFF], pa.int32()),
                 "points": pa.array([vectors[firsts[tree.order]].tobytes()], pa.binary()),
                 "ids": pa.array([np.concatenate(own).tobytes()], pa.binary()),
                 "counts": pa.array([np.array([len(o) for o in own], np.int64).tobytes()], pa.binary()),
                 "ranges": pa.array([ranges.tobytes()], pa.binary()),
-                "radii": pa.array([np.array([r for _, r in tree.nodes.values()]).tobytes()], pa.binary()),
+                "radii": pa.array([np.array([radius for _, _, radius in tree.nodes.values()]).tobytes()], pa.binary()),
             })
     return plant
 
@@ -182,13 +197,13 @@ def _found(kind: type, longest: float, k: int, factor: float):
                 tree = Tree.__new__(Tree)
                 tree.lifted = lift(points, longest)
                 tree.nodes = {
-                    (int(lo), int(hi)): (int(middle), float(radius))
-                    for (lo, hi, middle), radius in zip(
-                        get("ranges", np.int64).reshape(-1, 3), get("radii", np.float64), strict=True)
+                    (int(lo), int(hi)): (int(vantage), int(middle), float(radius))
+                    for (lo, hi, vantage, middle), radius in zip(
+                        get("ranges", np.int64).reshape(-1, 4), get("radii", np.float64), strict=True)
                 }
                 scaled = queries * (longest / np.linalg.norm(queries, axis=1))[:, None]
                 raised = np.concatenate([scaled, np.zeros((len(scaled), 1))], 1)
-                place, _ = tree.search(raised, min(k + SPARE, max(1, len(points))), factor)
+                place = tree.search(raised, min(k + SPARE, max(1, len(points))), factor)
                 out_q, out_v, out_s = [], [], []
                 for q, places in enumerate(place):
                     places = places[places >= 0]
@@ -217,7 +232,7 @@ def nearest(
     Both tables have ``id_col`` (an integer) and ``vector_col`` (floats or doubles, the same kind). A query's own id is no result
     of it. Nearest come first, ties go to the smaller id. Vectors that are null, zero, or hold a null or a
     non-finite component take no part, nor do rows without an id; a vector is compared with those of its length
-    only. Rows repeated with the same id count once. Without vectors or queries the result is empty.
+    only. A repeated row counts once, an id with several vectors once for each. Without vectors or queries the result is empty.
     """
     spark = vectors.sparkSession
     on_executors(spark)
