@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.ngram_join import ngram_jaccard_join
 from lodeseek.llm.line_dedup import line_dedup
+from lodeseek.llm.merge_dropout import decode, encode
 from lodeseek.llm.nbsvm import held_out
 from lodeseek.llm.packing import pack, token_pieces
 from lodeseek.llm.quality import quality_model, quality_scores
@@ -171,3 +172,11 @@ def op9_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=VANTAGE_FACTOR)
+
+
+@query
+def op4_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizers.path("piece_bpe_32k.model")
+    encoded = encode(table(spark, folder, "documents"), path, dropout=0.1, seed=1, draws=4)
+    return decode(encoded, path).select(
+        "doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
