@@ -155,8 +155,9 @@ def pack(pieces: DataFrame, max_tokens: int = 1024) -> DataFrame:
     spark = pieces.sparkSession
     on_executors(spark)
     order = [F.col("length").desc(), F.col("doc_id"), F.col("piece")]
+    # Ranges are found in a pass of their own, which should not cut the texts again.
     held = staged(
-        pieces.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+        staged(pieces).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
         .withColumn("row", F.monotonically_increasing_id()))
     table = (
         held.groupBy(F.shiftright("row", 33).alias("slice"), "length")
