@@ -201,16 +201,18 @@ class Codec:
                 known.clear()
         missing = [(p, d) for p, d in wanted if p not in self.known[d]]
         short = [x for x in missing if len(x[0]) <= _LONG]
-        long = {x: self.segment(*x) for x in missing if len(x[0]) > _LONG}
+        long = [x for x in missing if len(x[0]) > _LONG]
+        for part, draw in long:
+            self.known[draw][part] = self.segment(part, draw)
         for lo in range(0, len(short), 20_000):
             some = short[lo:lo + 20_000]
             for (part, draw), ids in zip(some, self.segments(*map(list, zip(*some, strict=True))), strict=True):
                 self.known[draw][part] = ids
         known = self.known
-        return [
-            b"".join([known[d][p] if len(p) <= _LONG else long[(p, d)] for p, d in zip(parts, draws, strict=True)])
-            for parts, draws in cut
-        ]
+        out = [b"".join([known[d][p] for d, p in zip(draws, parts, strict=True)]) for parts, draws in cut]
+        for part, draw in long:
+            del known[draw][part]
+        return out
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
