@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm.ngram_join import ngram_jaccard_join
+from lodeseek.llm.license_scan import license_scan
 from lodeseek.llm.line_dedup import line_dedup
 from lodeseek.llm.merge_dropout import decode, encode
 from lodeseek.llm.nbsvm import held_out
@@ -180,3 +181,18 @@ def op4_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode(table(spark, folder, "documents"), path, dropout=0.1, seed=1, draws=4)
     return decode(encoded, path).select(
         "doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def document_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` as files: every tenth is the licence file of a directory of its source and language."""
+    docs = table(spark, folder, "documents")
+    place = F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), (F.col("doc_id") / 1000).cast("long").cast("string")))
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(
+        F.concat(F.lit("doc_"), "doc_id"))
+    return docs.select("doc_id", F.concat(place, F.lit("/"), name).alias("path"), "text")
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan(document_files(spark, folder), threshold=0.8)
+    return found.select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("doc_id"), "path", "license", "basis", "score")
