@@ -129,7 +129,7 @@ def dual_coordinate_descent(
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
-        if moved < 1e-3:
+        if moved < 1e-4:
             break
     return weight, bias
 
