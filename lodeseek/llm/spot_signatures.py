@@ -21,21 +21,41 @@ COMMON = (
     "der die das und den von mit ist des sich dem nicht ein eine als auch auf aus bei nach wird "
     "los las del que por con una para como más pero sus este"
 )
-_WORD = r"(?:[^ ]{1,2}|" + "|".join(sorted(set(COMMON.split()))) + ") "
-_CONTENT = f"(?!{_WORD})[^ ]+ "
-_SPOT = f"(?<= )(?=({_WORD}(?:{_WORD})*+{_CONTENT}" + f"(?:{_WORD})*+{_CONTENT}" * (CHAIN - 1) + "))"
 
 
-def signatures(text: Column) -> Column:
-    """The distinct signatures of a text as ascending 32-bit numbers; a null text or one without words has none."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    plain = F.regexp_replace(plain, "^ +| +$", " ")
-    chains = F.transform(
-        F.regexp_extract_all(plain, F.lit(_SPOT), F.lit(1)),
-        lambda spot: F.hash(F.regexp_replace(spot, f"(?<= )(?:{_WORD})+", "")))
-    head = F.regexp_extract(plain, "^ ((?:[^ ]+ ){1,2})", 1)
-    first = F.when(head == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(F.lit("^"), head)))
-    return F.array_sort(F.array_distinct(F.concat(chains, first)))
+def _common(word: Column) -> Column:
+    return (F.length(word) <= 2) | word.isin(*sorted(set(COMMON.split())))
+
+
+def with_signatures(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the distinct signatures of a text in ``name``, as ascending 32-bit numbers.
+
+    Words are runs of letters and digits, lower-cased. A null text or one without words has no signature. The
+    arrays of words and of places of content words are columns on the way, so that each is made once; the
+    anchors that stand before a content word share its chain, and the work is in proportion to the words.
+    """
+    words, places = f"_words_{name}", f"_places_{name}"
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    rows = df.withColumn(words, F.filter(F.split(plain, " "), lambda w: w != ""))
+    w = F.col(words)
+    rows = rows.withColumn(places, F.filter(
+        F.sequence(F.lit(1), F.size(w) + 1), lambda i: ~F.coalesce(_common(F.try_element_at(w, i.cast("int"))), F.lit(True))))
+    p = F.col(places)
+
+    def chain(k: Column) -> list[Column]:
+        return [F.element_at(w, F.element_at(p, k + c)) for c in range(CHAIN)]
+
+    def of_anchors(k: Column) -> Column:
+        before = F.when(k > 1, F.try_element_at(p, F.greatest(k - 1, F.lit(1)))).otherwise(0)
+        anchors = F.array_distinct(F.slice(w, before + 1, F.element_at(p, k) - before - 1))
+        return F.transform(anchors, lambda a: F.hash(a, *chain(k)))
+
+    none = F.array().cast("array<int>")
+    chains = F.when(F.size(p) >= CHAIN, F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(p) - (CHAIN - 1), F.lit(1))), of_anchors))).otherwise(none)
+    head = F.array_join(F.slice(w, 1, 2), " ")
+    first = F.when(F.size(w) == 0, none).otherwise(F.array(F.hash(F.lit("^"), head)))
+    return rows.withColumn(name, F.sort_array(F.array_distinct(F.concat(chains, first)))).drop(words, places)
 
 
 def fingerprint(found: Column) -> Column:
@@ -85,9 +105,8 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = known.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("most"))
     order = following(wanted)
     needs = order.join(wanted, "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), "most")
-    heads = known.join(needs, "doc_id").select(
-        "for_id", F.struct(F.substring("text", F.lit(1), F.col("most")).alias("head"), signatures(F.col("text")).alias("found"))
-        .alias("next"))
+    heads = with_signatures(known.join(needs, "doc_id"), F.col("text"), "found").select(
+        "for_id", F.struct(F.substring("text", F.lit(1), F.col("most")).alias("head"), "found").alias("next"))
     heads = staged(heads.groupBy("for_id").agg(F.min("next").alias("next")))
     joined = known.join(heads, known.doc_id == heads.for_id, "left").select("doc_id", "text", "next").union(
         docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(heads.schema["next"].dataType)))
@@ -98,9 +117,10 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = joined.select(
         "doc_id", "text", n.alias("n_chars"), edited.alias("edited_text"),
         F.coalesce("next.found", F.array().cast("array<int>")).alias("next_signatures"))
+    rows = with_signatures(with_signatures(rows, F.col("text"), "signatures"), F.col("edited_text"), "edited_signatures")
     return rows.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_text", "next_signatures",
-        signatures(F.col("text")).alias("signatures"), signatures(F.col("edited_text")).alias("edited_signatures"))
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_text", "signatures", "edited_signatures",
+        "next_signatures")
 
 
 def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -111,8 +131,8 @@ def near_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the first of their order, and are compared only if their lengths and places allow the similarity. Rows without an
     id or without words pair with nothing.
     """
-    sets = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), signatures(F.col(text_col).cast("string")).alias("found"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sets = with_signatures(docs, F.col("text"), "found").drop("text")
     sets = staged(
         sets.where("doc_id is not null and size(found) > 0").groupBy("found").agg(F.min("doc_id").alias("doc_id"))
         .withColumn("n", F.size("found")))

@@ -283,7 +283,7 @@ def spots(text):
 def test_signatures_and_near_documents(spark):
     from pyspark.sql import functions as F
 
-    from lodeseek.llm.spot_signatures import near_documents, signatures
+    from lodeseek.llm.spot_signatures import near_documents, with_signatures
 
     rng = random.Random(2)
     rows = []
@@ -297,8 +297,7 @@ def test_signatures_and_near_documents(spark):
             rows[-1] = (k, rows[-2][1], "s")
     rows += [(50, None, "s"), (51, "", "s"), (None, rows[0][1], "s")]
     frame = table(spark, rows)
-    sizes = {r.doc_id: r.n for r in frame.where("doc_id is not null").select(
-        "doc_id", F.size(signatures(F.col("text"))).alias("n")).collect()}
+    sizes = {r.doc_id: len(r.found) for r in with_signatures(frame, F.col("text"), "found").collect() if r.doc_id is not None}
     sets = {d: spots(t) for d, t, *_ in rows if d is not None}
     assert sizes == {d: len(s) for d, s in sets.items()}
     first = {}
