@@ -94,7 +94,7 @@ def date_filter(after: str | None, before: str | None, doc_type: str | None = No
     if start:
         hit = hit & (F.col("commitdate") >= F.lit(start).cast("timestamp"))
     if end:
-        hit = hit & (F.col("commitdate") < F.lit(end + dt.timedelta(days=1)).cast("timestamp"))
+        hit = hit & (F.col("commitdate") < F.date_add(F.lit(end), 1).cast("timestamp"))
     return hit if doc_type == COMMIT else hit | (F.col("doc_type") == FILE)
 
 

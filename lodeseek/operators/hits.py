@@ -9,11 +9,12 @@ from lodeseek.functions import keys
 from lodeseek.functions.columns import text
 from lodeseek.operators.filters import COMMIT, FILE, no_highlight
 from lodeseek.schemas import REPO_KEY
+from lodeseek.sources.catalog import repository_catalog
 
 
 def with_names(df: DataFrame, repositories: DataFrame) -> DataFrame:
     """Adds readable project and repository names; documents of unknown repositories go."""
-    names = repositories.select(*REPO_KEY, "projectname", "repositoryname")
+    names = repository_catalog(repositories).select(*REPO_KEY, "projectname", "repositoryname")
     return df.join(names, list(REPO_KEY))
 
 

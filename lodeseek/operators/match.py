@@ -11,6 +11,8 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -188,6 +190,10 @@ class Condition:
         """Conditions that add to the score."""
         return [self]
 
+    def number_columns(self) -> list[str]:
+        """Number columns that the condition compares."""
+        return []
+
     def weighted(self, field: Field) -> list[str]:
         """Tokens whose document frequency the score needs; none means a constant score."""
         return []
@@ -258,6 +264,15 @@ class Regex(Condition):
     field: str | None = None
     boost: float = 1.0
 
+    def __post_init__(self) -> None:
+        context = SparkContext._active_spark_context
+        if context is None:
+            return
+        try:
+            context._jvm.java.util.regex.Pattern.compile(self.pattern)
+        except Py4JJavaError as error:
+            raise ValueError(f"not a regular expression: {self.pattern}") from error
+
     def in_field(self, field: Field) -> Column:
         return field.any_token(lambda t: t.rlike(rf"\A(?:{self.pattern})\z"))
 
@@ -288,6 +303,9 @@ class NumberRange(Condition):
     high: str | float | None = None
     boost: float = 1.0
 
+    def number_columns(self) -> list[str]:
+        return [self.column]
+
     def among(self, fields: Sequence[Field]) -> list[Field]:
         return []
 
@@ -300,13 +318,17 @@ class NumberRange(Condition):
 
 @dataclass(frozen=True)
 class Fuzzy(Condition):
-    """One token within a few edits, a swap of neighbours being one edit."""
+    """One token within at most two edits, a swap of neighbours being one edit."""
 
     word: str
     edits: int | None = None
     field: str | None = None
     boost: float = 1.0
 
+    def __post_init__(self) -> None:
+        if self.edits is not None and not 0 <= self.edits <= 2:
+            raise ValueError("a word is searched within 0, 1 or 2 edits")
+
     def in_field(self, field: Field) -> Column:
         word = self.word if field.analyzer == "exact" else self.word.lower()
         limit = default_edits(word) if self.edits is None else self.edits
@@ -360,6 +382,9 @@ class All(Condition):
     def leaves(self) -> list[Condition]:
         return [leaf for p in self.parts for leaf in p.leaves()]
 
+    def number_columns(self) -> list[str]:
+        return [c for p in self.parts for c in p.number_columns()]
+
 
 class AnyOf(All):
     def __init__(self, *parts: Condition) -> None:
@@ -380,6 +405,9 @@ class Not(Condition):
     def leaves(self) -> list[Condition]:
         return []
 
+    def number_columns(self) -> list[str]:
+        return self.part.number_columns()
+
 
 def all_terms(query: str | None) -> Condition:
     """Plain words, all required; no words match everything."""

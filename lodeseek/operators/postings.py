@@ -65,16 +65,12 @@ def lookup(rows: DataFrame, terms: Sequence[str], fields: Sequence[str] | None =
     return found.filter(F.col("field").isin(list(fields))) if fields else found
 
 
-def _slot_bit(terms: Sequence[str]) -> Column:
-    bits = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(1 << i).cast("bigint"))])
-    return bits[F.col("term")]
-
-
 def documents_with_all(rows: DataFrame, terms: Sequence[str], fields: Sequence[str] | None = None) -> DataFrame:
     """Documents where each term occurs in any of the fields."""
     wanted = list(dict.fromkeys(terms))
-    seen = lookup(rows, wanted, fields).groupBy("doc_id").agg(F.bit_or(_slot_bit(wanted)).alias("seen"))
-    return seen.filter(F.col("seen") == (1 << len(wanted)) - 1).select("doc_id")
+    # The set of a document is no larger than the words asked for.
+    seen = lookup(rows, wanted, fields).groupBy("doc_id").agg(F.size(F.collect_set("term")).alias("seen"))
+    return seen.filter(F.col("seen") == len(wanted)).select("doc_id")
 
 
 def phrase_starts(rows: DataFrame, run: Sequence[str], fields: Sequence[str] | None = None) -> DataFrame:
@@ -86,9 +82,9 @@ def phrase_starts(rows: DataFrame, run: Sequence[str], fields: Sequence[str] | N
     found = lookup(rows, run, fields)
     slots = [F.when(F.col("term") == t, F.lit(i)) for i, t in enumerate(run)]
     votes = found.select("doc_id", "field", "pos", F.explode(F.array_compact(F.array(*slots))).alias("slot"))
-    bit = F.expr("shiftleft(1L, slot)")
-    starts = votes.groupBy("doc_id", "field", (F.col("pos") - F.col("slot")).alias("start")).agg(F.bit_or(bit).alias("seen"))
-    return starts.filter(F.col("seen") == (1 << len(run)) - 1).drop("seen")
+    start = (F.col("pos") - F.col("slot")).alias("start")
+    starts = votes.groupBy("doc_id", "field", start).agg(F.size(F.collect_set("slot")).alias("seen"))
+    return starts.filter(F.col("seen") == len(run)).drop("seen")
 
 
 def expand(words: DataFrame, test: Column, fields: Sequence[str]) -> DataFrame:

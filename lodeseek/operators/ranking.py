@@ -123,11 +123,22 @@ def with_score(df: DataFrame, condition: Condition, fields: Sequence[Field], sta
 
 
 def page_of(hits: DataFrame, page: int | str | None, page_size: int) -> DataFrame:
-    """One page, best score first; equal scores by document id."""
+    """One page, best score first; equal scores by document id.
+
+    A page that ends beyond 2^31 - 1 results is refused: read on with ``page_after`` instead.
+    """
     number = page_number(page)
+    if (number + 1) * page_size >= 2**31:
+        raise ValueError(f"page {number} of {page_size} results lies beyond 2^31 - 1")
     return hits.orderBy(F.desc("score"), "doc_id").offset(number * page_size).limit(page_size)
 
 
+def page_after(hits: DataFrame, score: float, doc_id: str, page_size: int) -> DataFrame:
+    """The page that follows a hit, in the order of ``page_of``; its cost does not grow with the depth."""
+    later = (F.col("score") < score) | ((F.col("score") == score) & (F.col("doc_id") > doc_id))
+    return hits.filter(later).orderBy(F.desc("score"), "doc_id").limit(page_size)
+
+
 def page_number(page: int | str | None) -> int:
     """Anything but a whole number from 0 up means the first page."""
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,9 +87,11 @@ def full_build(store: DocumentStore, sources: Sources, limits: Limits) -> int |
     """Writes a whole new version; readers keep the old one until it is published."""
     if not limits.indexing_enabled:
         return None
-    version = store.latest() + 1
+    version = store.begin()
+    # Branches are read once: trees and checkpoints must speak of the same tips.
+    sources = replace(sources, branches=store.stage(sources.branches, "branches"))
     for table, df in zip(("files", "commits", "checkpoints"), build(sources, limits), strict=True):
-        store.write(table, df, version)
+        store.write(table, df)
     store.publish(version, {"files": None, "commits": None, "checkpoints": None})
     return version
 
@@ -99,69 +101,84 @@ def sync_refs(
 ) -> int | None:
     """Brings the documents of many refs in line with the current snapshots, in one version.
 
-    ``targets`` has (project, repository, ref); ``purged`` has (project, repository) of deleted
-    repositories. A target without a tip, or one no longer selected, loses its documents. Old snapshots
-    are read off the documents themselves, so a repeated or late run ends in the same state.
+    ``targets`` has (project, repository, ref). A target without a tip, or one no longer selected, loses its
+    documents. Old snapshots are read off the documents themselves, so a repeated or late run ends in the same
+    state. ``purged`` has (project, repository) of repositories to begin anew: all their documents go, and the refs
+    that the catalog lists now are indexed from nothing, so nothing is left of a repository that is no longer listed.
     """
     if not limits.indexing_enabled:
         return None
-    version = store.latest() + 1
-    old_version = version - 1
-    wanted = targets.select(*REF_KEY)
     if purged is not None and purged.isEmpty():
         purged = None
+    old_version = store.latest()
+    version = store.begin()
+    tips = catalog.select_refs(catalog.resolved_tips(sources.branches), sources.repositories)
+    wanted = targets.select(*REF_KEY)
     if purged is not None:
-        files, commits, marks = (store.around(t, purged, old_version) for t in ("files", "commits", "checkpoints"))
-        held = snapshots.indexed_tree(files).select(*REF_KEY).union(snapshots.indexed_reach(commits).select(*REF_KEY))
-        held = held.union(marks.select(*REF_KEY))
-        gone = held.join(purged.select(*REPO_KEY), list(REPO_KEY), "left_semi")
-        wanted = wanted.join(purged.select(*REPO_KEY), list(REPO_KEY), "left_anti").union(gone)
-    wanted = store.stage(wanted.distinct(), version, "targets")
+        purged = store.stage(purged.select(*REPO_KEY).distinct(), "purged")
+        held = [store.around(t, purged, old_version) for t in ("files", "commits", "checkpoints")]
+        refs = snapshots.indexed_tree(held[0]).select(*REF_KEY).union(snapshots.indexed_reach(held[1]).select(*REF_KEY))
+        refs = refs.union(held[2].select(*REF_KEY)).union(tips.select(*REF_KEY))
+        wanted = wanted.union(refs.join(purged, list(REPO_KEY), "left_semi"))
+    wanted = store.stage(wanted.distinct(), "targets")
     if wanted.isEmpty():
         return old_version
+    # Tips are read once: trees and checkpoints must speak of the same ones.
+    tips = store.stage(tips.join(wanted, REF_KEY, "left_semi").select(*REF_KEY, "tip"), "tips")
     files, commits, marks = (store.around(t, wanted, old_version) for t in ("files", "commits", "checkpoints"))
-    tips = catalog.select_refs(catalog.resolved_tips(sources.branches), sources.repositories)
-    tips = tips.join(wanted, REF_KEY, "left_semi")
-    if purged is not None:
-        tips = tips.join(purged.select(*REPO_KEY), list(REPO_KEY), "left_anti")
+
+    def kept(df: DataFrame) -> DataFrame:
+        return df if purged is None else df.join(purged, list(REPO_KEY), "left_anti")
 
     def now(df: DataFrame) -> DataFrame:
         return df.join(tips.select(*REF_KEY), REF_KEY, "left_semi")
 
     def before(df: DataFrame) -> DataFrame:
-        return df.join(wanted, REF_KEY, "left_semi")
+        return kept(df).join(wanted, REF_KEY, "left_semi")
 
     file_delta = deltas.tree_delta(before(snapshots.indexed_tree(files)), now(sources.tree))
     gained, lost = deltas.commit_delta(before(snapshots.indexed_reach(commits)), now(sources.reach))
     changes = {
-        "files": store.stage(deltas.file_changes(file_delta), version, "file_changes"),
-        "commits": store.stage(deltas.commit_changes(gained, lost), version, "commit_changes"),
+        "files": store.stage(deltas.file_changes(file_delta), "file_changes"),
+        "commits": store.stage(deltas.commit_changes(gained, lost), "commit_changes"),
     }
     replaced: dict[str, list[int] | None] = {}
     for table, docs in (("files", files), ("commits", commits)):
         change = changes[table]
-        replaced[table] = _buckets(store, change, "doc_id")
+        buckets = set(_buckets(store, change, "doc_id"))
+        if purged is not None:
+            buckets |= set(_buckets(store, docs.join(purged, list(REPO_KEY), "left_semi"), "doc_id"))
+        replaced[table] = sorted(buckets)
         if not replaced[table]:
             continue
-        touched = docs.filter(F.col("bucket").isin(replaced[table])).drop("bucket")
+        touched = kept(docs.filter(F.col("bucket").isin(replaced[table])).drop("bucket"))
         missing = deltas.documents_to_insert(touched, change).withColumn("refs", F.array_sort("add_refs"))
         if table == "files":
             # Contents are fetched before they are decoded, so only those of new documents are.
-            missing = store.stage(missing, version, "new_files")
+            missing = store.stage(missing, "new_files")
             blobs = snapshots.needed_blobs(sources.blobs, missing, limits.max_file_size)
-            new = snapshots.build_files(missing, store.stage(blobs, version, "new_blobs"), limits)
+            new = snapshots.build_files(missing, store.stage(blobs, "new_blobs"), limits)
         else:
             new = snapshots.build_commits(missing, sources.log)
-        store.write(table, deltas.update_documents(touched, change).unionByName(new), version)
+        store.write(table, deltas.update_documents(touched, change).unionByName(new))
     replaced["checkpoints"] = _buckets(store, wanted, "ref")
     if replaced["checkpoints"]:
-        kept = marks.filter(F.col("bucket").isin(replaced["checkpoints"])).join(wanted, REF_KEY, "left_anti")
+        others = marks.filter(F.col("bucket").isin(replaced["checkpoints"])).join(wanted, REF_KEY, "left_anti")
         fresh = tips.select(*REF_KEY, F.col("tip").alias("hash"))
-        store.write("checkpoints", kept.select(*CHECKPOINTS.names).unionByName(fresh), version)
+        store.write("checkpoints", others.select(*CHECKPOINTS.names).unionByName(fresh))
     store.publish(version, replaced)
     return version
 
 
+def reindex_repository(
+    store: DocumentStore, sources: Sources, project: str, repository: str, limits: Limits
+) -> int | None:
+    """Deletes a repository's documents and indexes the refs that the catalog lists now from nothing."""
+    one = store.spark.createDataFrame([(project, repository)], "project string, repository string")
+    none = sources.branches.select(*REF_KEY).limit(0)
+    return sync_refs(store, sources, none, limits, one)
+
+
 def _buckets(store: DocumentStore, df: DataFrame, unit: str) -> list[int]:
     # At most one number per bucket of the store.
     return sorted(r["b"] for r in df.select(store.buckets.of(unit).alias("b")).distinct().collect())
@@ -177,6 +194,8 @@ def index_vocabulary(store: DocumentStore, version: int | None = None) -> None:
 
 
 def update_all(store: DocumentStore, sources: Sources, limits: Limits) -> int | None:
-    """Indexes every selected ref whose tip moved since the last run."""
+    """Indexes every selected ref whose tip moved since the last run, and drops those that are gone."""
     refs = catalog.select_refs(sources.branches, sources.repositories)
-    return sync_refs(store, sources, checkpoint_lag(refs, store.read("checkpoints")), limits)
+    marks = store.read("checkpoints")
+    gone = marks.select(*REF_KEY).join(refs.select(*REF_KEY), REF_KEY, "left_anti")
+    return sync_refs(store, sources, checkpoint_lag(refs, marks).select(*REF_KEY).union(gone), limits)

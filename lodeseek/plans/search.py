@@ -120,7 +120,11 @@ def search(corpus: Corpus, request: Search, scored: bool = True) -> DataFrame:
     stats = _statistics(corpus, request) if scored else None
     found = []
     for doc_type, df, fields in _parts(corpus, request):
-        df = _filtered(df, doc_type, corpus, request).filter(request.condition.test(fields))
+        df = _filtered(df, doc_type, corpus, request)
+        # A part without a number column is beyond any bound on it.
+        absent = request.condition.number_columns()
+        df = df.withColumns({c: F.lit(None).cast("double") for c in absent if c not in df.columns})
+        df = df.filter(request.condition.test(fields))
         df = ranking.with_score(df, request.condition, fields, stats) if scored else df.withColumn("score", F.lit(1.0))
         df = df.withColumn("doc_type", F.lit(doc_type))
         missing = {c: F.lit(None).cast(kind) for c, kind in FACET_TYPES.items() if c not in df.columns}

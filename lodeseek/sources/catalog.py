@@ -32,7 +32,7 @@ def select_refs(branches: DataFrame, repositories: DataFrame) -> DataFrame:
     and the pattern matches ``HEAD``. A pattern that does not compile selects nothing.
     """
     valid = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("ref_regex"))
-    patterns = repositories.select(
+    patterns = repository_catalog(repositories).select(
         *REPO_KEY, "default_branch", F.concat(F.lit(r"\A(?:"), valid, F.lit(r")\z")).alias("pattern")
     ).filter("pattern is not null")
     whole = F.rlike("ref", F.col("pattern"))

@@ -42,6 +42,9 @@ def text_blobs(blobs: DataFrame, max_file_size: int) -> DataFrame:
     )
 
 
+LAST_SECOND = 253_402_300_799  # of the year 9999; later dates are bad ones
+
+
 def documents_of_tree(tree: DataFrame) -> DataFrame:
     """One row per (blob, path) of a repository with all refs that hold it."""
     return tree.groupBy(*REPO_KEY, "blob", "path").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
@@ -65,6 +68,7 @@ def shape_commits(log: DataFrame) -> DataFrame:
     record = F.regexp_replace("record", r"\A\n", "")
     parts = log.select(*REPO_KEY, F.split(record, FIELD_SEPARATOR, 6).alias("f"))
     epoch = F.get("f", F.lit(1)).try_cast("bigint")
+    epoch = F.when(epoch.between(-LAST_SECOND, LAST_SECOND), epoch)
     return parts.select(
         *REPO_KEY, F.get("f", F.lit(0)).alias("hash"), F.timestamp_seconds(epoch).alias("commitdate"),
         F.get("f", F.lit(2)).alias("authorname"), F.get("f", F.lit(3)).alias("authoremail"),

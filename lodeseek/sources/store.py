@@ -3,12 +3,18 @@
 A version is a set of bucket folders. A new version writes the buckets it changes and names the
 others from before, so readers of an older version are never disturbed:
 
-    <root>/<table>/version=<v>/bucket=<b>/*.parquet
+    <root>/<table>/attempt=<id>/bucket=<b>/*.parquet
     <root>/versions/version=<v>/*.parquet            written last: the version exists from then on
+
+Every attempt at a version writes folders of its own, so one that was cut off is in nobody's way:
+the next one starts afresh. The manifest of a version names the attempt of each bucket, and has a
+row of its own even if no bucket is left.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -17,7 +23,8 @@ from lodeseek.functions.keys import Buckets
 from lodeseek.operators.filters import bucket_filter, one_repository
 from lodeseek.schemas import TABLES
 
-_MANIFEST = "table string, bucket int, written int, groups int, slices int"
+_MANIFEST = "table string, bucket int, written string, groups int, slices int"
+_HEADER = ""  # in the place of a table: names the attempt of the version itself
 
 
 class DocumentStore:
@@ -25,6 +32,19 @@ class DocumentStore:
 
     def __init__(self, spark: SparkSession, root: str, buckets: Buckets = Buckets()) -> None:  # noqa: B008
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._base, self._attempt = 0, uuid.uuid4().hex
+
+    def begin(self) -> int:
+        """Starts an attempt at the version after the newest one; its number.
+
+        A number whose manifest was begun and never finished is passed over.
+        """
+        self._base, self._attempt = self.latest(), uuid.uuid4().hex
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+        begun = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+        return max([self._base, *begun]) + 1
 
     def versions(self) -> list[int]:
         """Published versions, oldest first."""
@@ -38,8 +58,8 @@ class DocumentStore:
         """The newest version; 0 before the first one."""
         return max(self.versions(), default=0)
 
-    def _manifest(self, version: int) -> list[tuple[str, int, int]]:
-        # At most one row per table and bucket.
+    def _manifest(self, version: int) -> list[tuple[str, int, str]]:
+        # At most one row per table and bucket, and the header.
         if version == 0:
             return []
         folder = f"{self.root}/versions/version={version}"
@@ -51,16 +71,17 @@ class DocumentStore:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table as of a version (the newest by default), with its ``bucket`` column."""
         version = self.latest() if version is None else version
-        rows = [r for r in self._manifest(version) if r[0] == table]
+        manifest = self._manifest(version)
+        rows = [r for r in manifest if r[0] == table]
         schema = TABLES[table]
         if not rows:
             return self.spark.createDataFrame([], schema).withColumn("bucket", F.lit(0))
         base = f"{self.root}/{table}"
         writers = {written for _, _, written in rows}
-        if len(writers) == 1 and version in writers:  # all of it was written at once
-            paths = [f"{base}/version={version}"]
+        if writers == {r[2] for r in manifest if r[0] == _HEADER}:  # all of it was written at once
+            paths = [f"{base}/attempt={writers.pop()}"]
         else:
-            paths = sorted(f"{base}/version={written}/bucket={b}" for _, b, written in rows)
+            paths = sorted(f"{base}/attempt={written}/bucket={b}" for _, b, written in rows)
         df = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
         return df.select(*schema.names, "bucket")
 
@@ -75,8 +96,8 @@ class DocumentStore:
         """One repository's rows; only its neighbouring buckets are read."""
         return self.read(table).filter(bucket_filter(project, repository, self.buckets)).filter(one_repository(project, repository))
 
-    def write(self, table: str, df: DataFrame, version: int) -> None:
-        """Writes bucket folders of a version that is not published yet.
+    def write(self, table: str, df: DataFrame) -> None:
+        """Writes bucket folders of the attempt begun last.
 
         The rebalance hint gives each bucket few files of even size, and splits a bucket that
         one huge repository fills. Rows are sorted so that row groups can be skipped.
@@ -85,26 +106,30 @@ class DocumentStore:
         names = TABLES[table].names
         rows = df.select(*names).withColumn("bucket", self.buckets.of(unit)).hint("rebalance", "bucket")
         ordered = rows.sortWithinPartitions("bucket", "project", "repository", unit)
-        ordered.write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.root}/{table}/version={version}")
+        ordered.write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.root}/{table}/attempt={self._attempt}")
 
-    def written_buckets(self, table: str, version: int) -> list[int]:
+    def written_buckets(self, table: str) -> list[int]:
         try:
-            df = self.spark.read.parquet(f"{self.root}/{table}/version={version}")
+            df = self.spark.read.parquet(f"{self.root}/{table}/attempt={self._attempt}")
             return [r["bucket"] for r in df.select("bucket").distinct().collect()]
         except AnalysisException:  # no bucket has a row left
             return []
 
     def publish(self, version: int, replaced: dict[str, list[int] | None]) -> None:
-        """Makes a version visible. ``replaced`` names the buckets each table rewrote (None: all).
+        """Makes the attempt begun last a version. ``replaced`` names the buckets each table rewrote (None: all).
 
-        Fails if the version exists, which is how a second concurrent writer is refused.
+        Fails if the version exists or another one came since ``begin``, which is how a second
+        concurrent writer is refused.
         """
-        rows = []
-        before = self._manifest(version - 1)
+        published = self.versions()
+        if version not in published and max(published, default=0) != self._base:
+            raise RuntimeError(f"version {max(published)} was published since this attempt began")
+        rows = [(_HEADER, -1, self._attempt)]
+        before = self._manifest(self._base)
         for table in TABLES:
             buckets = replaced.get(table, [])
             if buckets is None or buckets:
-                rows += [(table, b, version) for b in self.written_buckets(table, version)]
+                rows += [(table, b, self._attempt) for b in self.written_buckets(table)]
             if buckets is not None:
                 gone = set(buckets)
                 rows += [r for r in before if r[0] == table and r[1] not in gone]
@@ -121,7 +146,7 @@ class DocumentStore:
     def write_vocabulary(self, words: DataFrame, version: int) -> None:
         """(field, term, df) of a version, sorted so that a query reads few row groups."""
         ordered = words.hint("rebalance", "field").sortWithinPartitions("field", "term")
-        ordered.write.mode("errorifexists").partitionBy("field").parquet(f"{self.root}/vocabulary/version={version}")
+        ordered.write.mode("overwrite").partitionBy("field").parquet(f"{self.root}/vocabulary/version={version}")
 
     def vocabulary(self, version: int) -> DataFrame | None:
         try:
@@ -136,16 +161,18 @@ class DocumentStore:
             raise ValueError("the newest version cannot be removed")
         kept = {r for v in versions if v >= oldest for r in self._manifest(v)}
         old = [v for v in versions if v < oldest]
-        folders = {f"{t}/version={w}/bucket={b}" for v in old for t, b, w in set(self._manifest(v)) - kept}
-        folders |= {f"{part}/version={v}" for v in old for part in ("staging", "vocabulary")}
+        gone = {r for v in old for r in self._manifest(v)} - kept
+        folders = {f"{t}/attempt={w}/bucket={b}" for t, b, w in gone if t != _HEADER}
+        folders |= {f"staging/attempt={w}" for t, _, w in gone if t == _HEADER}
+        folders |= {f"vocabulary/version={v}" for v in old}
         # The manifests go first: a version without one does not exist, whatever files are left.
         for folder in [f"versions/version={v}" for v in old] + sorted(folders):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return len(old)
 
-    def stage(self, df: DataFrame, version: int, name: str) -> DataFrame:
-        """Writes an intermediate table beside the version being built and reads it back."""
-        folder = f"{self.root}/staging/version={version}/{name}"
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes an intermediate table of the attempt begun last and reads it back."""
+        folder = f"{self.root}/staging/attempt={self._attempt}/{name}"
         df.write.mode("overwrite").parquet(folder)
         return self.spark.read.schema(df.schema).parquet(folder)

@@ -166,3 +166,84 @@ def test_bucket_numbers_are_kept_and_versions_expire(spark, tmp_path):
     assert store.expire(2) == 1
     assert store.versions() == [2]
     check(store, world)
+
+
+class Broken(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["write", "publish", "stage"])
+def test_a_crash_is_in_nobodys_way(spark, store, monkeypatch, step):
+    world = random_world(random.Random(9))
+    real = getattr(DocumentStore, step)
+
+    def cut_off(self, *args):
+        if step != "publish":
+            real(self, *args)
+        raise Broken
+
+    for run in (indexing.full_build, indexing.update_all):
+        before = store.latest()
+        monkeypatch.setattr(DocumentStore, step, cut_off)
+        with pytest.raises(Broken):
+            run(store, world.sources(spark), LIMITS)
+        monkeypatch.setattr(DocumentStore, step, real)
+        assert store.latest() == before
+        assert run(store, world.sources(spark), LIMITS) == before + 1
+        check(store, world)
+        world.trees["proj", "one", MASTER] = {"after.py": b"crash"}
+
+
+def test_an_unfinished_manifest_is_passed_over(spark, store, tmp_path):
+    (tmp_path / "store/versions/version=1/_temporary").mkdir(parents=True)
+    world = random_world(random.Random(10))
+    assert indexing.full_build(store, world.sources(spark), LIMITS) == 2
+    assert store.versions() == [2]
+    check(store, world)
+
+
+def test_a_second_writer_is_refused(spark, store):
+    world = random_world(random.Random(11))
+    indexing.full_build(store, world.sources(spark), LIMITS)
+    other = DocumentStore(spark, store.root)
+    version = other.begin()
+    indexing.full_build(store, world.sources(spark), LIMITS)
+    with pytest.raises(AnalysisException):
+        other.publish(version, {})
+    with pytest.raises(RuntimeError):
+        other.publish(version + 1, {})
+
+
+def test_purge_of_everything_and_recreation(spark, store):
+    world = World()
+    world.set("proj", "one", MASTER, {"a.py": b"text"}, {"c"})
+    indexing.full_build(store, world.sources(spark), LIMITS)
+    # Deleted and made again before the batch ran: what the catalog lists now is indexed.
+    world.set("proj", "one", MASTER, {"b.py": b"other"}, {"d"})
+    apply_events(events(spark, ("one", None, "REPO_DELETED"), ("one", MASTER, "ADD")), store, world.sources(spark), LIMITS)
+    check(store, world)
+    assert store.read("files").count() == 1
+    world.drop("proj", "one", MASTER)
+    apply_events(events(spark, ("one", None, "REPO_DELETED")), store, world.sources(spark), LIMITS)
+    assert store.latest() == 3
+    assert store.read("files").count() == store.read("commits").count() == store.read("checkpoints").count() == 0
+    world.set("proj", "one", MASTER, {"c.py": b"back"}, {"e"})
+    indexing.update_all(store, world.sources(spark), LIMITS)
+    check(store, world)
+
+
+def test_reindex_of_a_repository(spark, store):
+    world = random_world(random.Random(12))
+    indexing.full_build(store, world.sources(spark), LIMITS)
+    before = {r["doc_id"]: r["contents"] for r in store.read("files").collect()}
+    assert indexing.reindex_repository(store, world.sources(spark), "proj", "two", LIMITS) == 2
+    check(store, world)
+    assert {r["doc_id"]: r["contents"] for r in store.read("files").collect()} == before
+
+
+def test_branches_that_went_while_nobody_looked(spark, store):
+    world = random_world(random.Random(13))
+    indexing.full_build(store, world.sources(spark), LIMITS)
+    world.drop("proj", "one", MASTER)
+    indexing.update_all(store, world.sources(spark), LIMITS)
+    check(store, world)
