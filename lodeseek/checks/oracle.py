@@ -10,6 +10,12 @@ _REFS = """CASE WHEN {n} % 2 <> 0 AND {n} % 3 <> 0 AND {n} % 5 <> 0 THEN ['refs/
     CASE WHEN {n} % 3 = 0 THEN 'refs/heads/develop' END,
     CASE WHEN {n} % 5 = 0 THEN 'refs/heads/feature/a' END], lambda x: x IS NOT NULL) END"""
 
+MANY_WORDS = (
+    "a an and anea are as at be ble by ea ed en er erin eron es for from ha he in ing is it ly nd nt of on or ou re sh "
+    "st th than that thble the thea thed then ther thes thha thhe thin this thly thnd thnt thon thor thou thre thst thth "
+    "thti thtion ti tion to was wh with"
+).split()
+
 _NORMAL = "replace(replace({c}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 
 
@@ -402,12 +408,13 @@ ORACLE: dict[str, str] = {
       ((({_has(_TALK_S, 'été', 'les')}) OR ({_has(_TALK_B, 'été', 'les')})) AND NOT {_run(_TALK_B, 'de', 'la')})
       OR {_run(_TALK_S, 'les', 'eau')} OR {_run(_TALK_B, 'les', 'eau')}"""),
     "match_prefix": _found(_any_token("c", "starts_with(t, 'thi')")),
-    "match_regex": _found(_any_token("c", "regexp_full_match(t, 's[aeiou]+n?tion')")),
-    "match_range": _found(_any_token("c", "t >= 'zz'")),
+    "match_regex": _found(_any_token("c", "regexp_full_match(t, 'er[aeiou]+[a-z]{0,2}tion')")),
+    "match_range": _found(_any_token("c", "t >= 'zu' AND t <= 'zz'")),
     "match_lenient": _found("charcount BETWEEN 1000 AND 2000"),
     "match_fields": _found(_has("p", "java")),
     "browse_all": _with("docs", "SELECT doc_type, doc_id, CAST(1 AS DOUBLE) AS score FROM docs"),
-    "match_none": _found("false"),
+    "match_none": _with("files", "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS hits FROM files"),
+    "search_numbers": _with("files", "SELECT 'file' AS doc_type, doc_id FROM files WHERE charcount BETWEEN 1000 AND 2000"),
     "rank_tfidf": _with("toks", f"SELECT doc_id, round({_weight('c', 'the', 'd')}, 6) AS score FROM toks, s WHERE {_has('c', 'the')}",
                         s=_stat(d=_has("c", "the"))),
     "rank_boosted": _with("toks", f"SELECT doc_id, {_THE_EN_SCORE} AS score FROM toks, s WHERE {_THE_EN_WHERE}", s=_THE_EN),
@@ -429,9 +436,9 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT doc_id, 'path', CAST(len(p) AS INTEGER) FROM toks"""),
     "term_lookup": _with("words", "SELECT field, term, doc_id, CAST(pos AS INTEGER) AS pos FROM words WHERE term IN ('ing', 'java', 'tion')"),
     "index_all_terms": _found(" AND ".join(f"({_has('c', t)} OR {_has('p', t)})" for t in ("the", "en", "java"))),
-    "index_phrase": _with("words", """SELECT a.doc_id, a.field, CAST(a.pos AS INTEGER) AS start FROM words a JOIN words b
-      ON a.doc_id = b.doc_id AND a.field = b.field AND b.pos = a.pos + 1
-      WHERE a.term = 'the' AND b.term = 'of' AND a.field = 'contents'"""),
+    "index_phrase": _with("toks", """SELECT doc_id, 'contents' AS field, CAST(i - 1 AS INTEGER) AS start FROM (
+      SELECT doc_id, c, unnest(range(1, len(c))) AS i FROM toks) WHERE c[i] = 'the' AND c[i + 1] = 'of'"""),
+    "index_many_terms": _found(_has("c", *MANY_WORDS)),
     "index_wildcard": _found(_any_token("c", "regexp_full_match(t, 't.e.*ing')")),
     # statistics
     "author_cardinality": _with("docs", "SELECT count(DISTINCT authoremail) AS cardinality FROM docs"),
@@ -458,6 +465,8 @@ ORACLE: dict[str, str] = {
     # pages
     "top_page": _with("toks", f"""SELECT 'file' AS doc_type, doc_id, project, repository, {_THE_EN_SCORE} AS score
       FROM toks, s WHERE {_THE_EN_WHERE} ORDER BY score DESC, doc_id LIMIT 50 OFFSET 50""", s=_THE_EN),
+    "next_page": _with("toks", f"""SELECT 'file' AS doc_type, doc_id, project, repository, {_THE_EN_SCORE} AS score
+      FROM toks, s WHERE {_THE_EN_WHERE} ORDER BY score DESC, doc_id LIMIT 50 OFFSET 50""", s=_THE_EN),
     "page_bounds": _with("toks", f"""SELECT t AS total_hits, CAST(ceil(t / 50.0) AS BIGINT) AS pages,
       least(t, 101) AS result_from, least(t, 150) AS result_to
       FROM (SELECT count(*) AS t FROM toks WHERE {_has('c', 'the')})"""),
@@ -513,6 +522,12 @@ ORACLE: dict[str, str] = {
       any_value(authoremail) AS authoremail
       FROM newreach SEMI JOIN ({_SELECTED}) USING (project, repository, ref) JOIN commits USING (project, repository, hash)
       GROUP BY doc_id, project, repository, hash"""),
+    "store_update": _with("newtree repos", _shape(f"(SELECT * FROM newtree SEMI JOIN ({_SELECTED}) USING (project, repository, ref))")),
+    "store_purge": _with("newtree repos", _shape(f"""(SELECT * FROM newtree SEMI JOIN ({_SELECTED}) USING (project, repository, ref)
+      WHERE NOT (project = 'en' AND repository = 'src5'))""")),
+    "store_reindex_repository": _with("newtree repos", _shape(f"(SELECT * FROM newtree SEMI JOIN ({_SELECTED}) USING (project, repository, ref))")),
+    "store_checkpoints": _with("newtree repos", f"""SELECT DISTINCT project, repository, ref,
+      sha1(project || '^' || repository || '^' || ref) AS hash FROM newtree SEMI JOIN ({_SELECTED}) USING (project, repository, ref)"""),
     # events
     "stream_coalesce": _with("refevents", _LATEST),
     "stream_pending": _with("refevents", _LATEST),

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.checks.oracle import MANY_WORDS
 from lodeseek.functions import keys
+from lodeseek.functions.keys import Buckets
 from lodeseek.functions import text as tx
 from lodeseek.operators import deltas, filters, hits, postings, ranking, snippets, statistics
 from lodeseek.operators.match import (
@@ -20,6 +23,7 @@ from lodeseek.session import shared_dir
 from lodeseek.settings import Limits
 from lodeseek.sources import adapters as src
 from lodeseek.sources import catalog, snapshots
+from lodeseek.sources.store import DocumentStore
 from lodeseek.streaming import updates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,12 +422,12 @@ def match_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_regex(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d, Regex("s[aeiou]+n?tion", field="contents"))
+    return _found(spark, d, Regex("er[aeiou]+[a-z]{0,2}tion", field="contents"))
 
 
 @query
 def match_range(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d, TermRange("zz", None, field="contents"))
+    return _found(spark, d, TermRange("zu", "zz", field="contents"))
 
 
 @query
@@ -446,7 +450,17 @@ def browse_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_none(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d, Not(Everything()))
+    """How many documents there are and how many an impossible condition finds."""
+    impossible = All(Term("the"), Not(AnyOf(Term("the"), Term("of"))))
+    hit = impossible.test(FILE_FIELDS).cast("bigint")
+    return _files(spark, d).agg(F.count(F.lit(1)).alias("documents"), F.sum(hit).alias("hits"))
+
+
+@query
+def search_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """A number that only files have, searched in both types: commits are beyond any bound on it."""
+    request = plan.Search(query=Not(Not(NumberRange("charcount", 1000, 2000))), code=True, commits=True)
+    return plan.search(_corpus(spark, d), request, scored=False).select("doc_type", "doc_id")
 
 
 @query
@@ -496,6 +510,12 @@ def index_all_terms(spark: SparkSession, d: str) -> DataFrame:
     return postings.documents_with_all(postings.postings(_files(spark, d), FILE_FIELDS), ["the", "en", "java"])
 
 
+@query
+def index_many_terms(spark: SparkSession, d: str) -> DataFrame:
+    """More words than a number has bits."""
+    return postings.documents_with_all(postings.postings(_files(spark, d), [CONTENTS]), MANY_WORDS)
+
+
 @query
 def index_phrase(spark: SparkSession, d: str) -> DataFrame:
     return postings.phrase_starts(postings.postings(_files(spark, d), [CONTENTS]), ["the", "of"])
@@ -585,6 +605,15 @@ def top_page(spark: SparkSession, d: str) -> DataFrame:
     return plan.search_page(_corpus(spark, d), request)
 
 
+@query
+def next_page(spark: SparkSession, d: str) -> DataFrame:
+    """The page after the last hit of the first one, found without counting through it."""
+    found = plan.search(_corpus(spark, d), plan.Search(query="the en", code=True, filenames=True))
+    found = found.select("doc_type", "doc_id", "project", "repository", "score")
+    last = ranking.page_of(found, 0, LIMITS.page_size).orderBy("score", F.desc("doc_id")).first()
+    return ranking.page_after(found, last["score"], last["doc_id"], LIMITS.page_size)
+
+
 @query
 def page_bounds(spark: SparkSession, d: str) -> DataFrame:
     found = plan.search(_corpus(spark, d), plan.Search(query="the", code=True), scored=False)
@@ -729,6 +758,54 @@ def full_build_commits(spark: SparkSession, d: str) -> DataFrame:
     return hits.commit_hits(commits).withColumn("refs", _joined("refs"))
 
 
+def _old_sources(spark: SparkSession, d: str) -> indexing.Sources:
+    refs = src.tree(spark, d, src.OLD_TIP).select("project", "repository", "ref").distinct()
+    return replace(
+        _sources(spark, d), branches=refs.withColumn("tip", F.sha1(F.concat(keys.ref_key(), F.lit("old")))),
+        tree=src.tree(spark, d, src.OLD_TIP), reach=src.reach(spark, d, src.OLD_TIP))
+
+
+def _store(spark: SparkSession) -> DocumentStore:
+    return DocumentStore(spark, f"{shared_dir(spark)}/{uuid.uuid4()}/store", Buckets(4, 4))
+
+
+@query
+def store_update(spark: SparkSession, d: str) -> DataFrame:
+    """A store of the old tips brought to the new ones; branches without a new tip go."""
+    store = _store(spark)
+    indexing.full_build(store, _old_sources(spark, d), LIMITS)
+    indexing.update_all(store, _sources(spark, d), LIMITS)
+    return _shape(store.read("files"))
+
+
+@query
+def store_purge(spark: SparkSession, d: str) -> DataFrame:
+    """A repository that the catalog no longer lists is deleted, another one is begun anew."""
+    store, sources = _store(spark), _sources(spark, d)
+    indexing.full_build(store, sources, LIMITS)
+    listed = replace(sources, branches=indexing.purge_repository(sources.branches, "en", "src5"))
+    gone = spark.createDataFrame([("en", "src5"), ("de", "src6")], "project string, repository string")
+    indexing.sync_refs(store, listed, sources.branches.limit(0), LIMITS, gone)
+    return _shape(store.read("files"))
+
+
+@query
+def store_reindex_repository(spark: SparkSession, d: str) -> DataFrame:
+    store, sources = _store(spark), _sources(spark, d)
+    indexing.full_build(store, sources, LIMITS)
+    indexing.reindex_repository(store, sources, "es", "src4", LIMITS)
+    return _shape(store.read("files"))
+
+
+@query
+def store_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """What is indexed after an update: the new tip of every selected ref."""
+    store = _store(spark)
+    indexing.full_build(store, _old_sources(spark, d), LIMITS)
+    indexing.update_all(store, _sources(spark, d), LIMITS)
+    return store.read("checkpoints").select("project", "repository", "ref", "hash")
+
+
 # --- events
 
 @query
