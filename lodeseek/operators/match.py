@@ -11,8 +11,8 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -270,7 +270,7 @@ class Regex(Condition):
             return
         try:
             context._jvm.java.util.regex.Pattern.compile(self.pattern)
-        except Py4JJavaError as error:
+        except IllegalArgumentException as error:
             raise ValueError(f"not a regular expression: {self.pattern}") from error
 
     def in_field(self, field: Field) -> Column:
