@@ -465,6 +465,11 @@ ORACLE: dict[str, str] = {
     # pages
     "top_page": _with("toks", f"""SELECT 'file' AS doc_type, doc_id, project, repository, {_THE_EN_SCORE} AS score
       FROM toks, s WHERE {_THE_EN_WHERE} ORDER BY score DESC, doc_id LIMIT 50 OFFSET 50""", s=_THE_EN),
+    "search_answer": _with("toks", f"""SELECT 'file' AS doc_type, doc_id, project, repository, {_THE_EN_SCORE} AS score,
+      upper(project) AS projectname, upper(repository) AS repositoryname, total AS total_hits,
+      CAST(ceil(total / 50.0) AS BIGINT) AS pages, least(total, 51) AS result_from, least(total, 100) AS result_to
+      FROM toks, s, (SELECT count(*) AS total FROM toks WHERE {_THE_EN_WHERE})
+      WHERE {_THE_EN_WHERE} ORDER BY score DESC, doc_id LIMIT 50 OFFSET 50""", s=_THE_EN),
     "next_page": _with("toks", f"""SELECT 'file' AS doc_type, doc_id, project, repository, {_THE_EN_SCORE} AS score
       FROM toks, s WHERE {_THE_EN_WHERE} ORDER BY score DESC, doc_id LIMIT 50 OFFSET 50""", s=_THE_EN),
     "page_bounds": _with("toks", f"""SELECT t AS total_hits, CAST(ceil(t / 50.0) AS BIGINT) AS pages,

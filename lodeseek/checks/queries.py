@@ -605,6 +605,12 @@ def top_page(spark: SparkSession, d: str) -> DataFrame:
     return plan.search_page(_corpus(spark, d), request)
 
 
+@query
+def search_answer(spark: SparkSession, d: str) -> DataFrame:
+    corpus = replace(_corpus(spark, d), repositories=src.repositories(spark, d))
+    return plan.search_answer(corpus, plan.Search(query="the en", code=True, filenames=True, page=1))
+
+
 @query
 def next_page(spark: SparkSession, d: str) -> DataFrame:
     """The page after the last hit of the first one, found without counting through it."""

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions.keys import Buckets
@@ -15,6 +19,8 @@ from lodeseek.operators.match import Condition, Field, all_terms, commit_fields,
 from lodeseek.settings import Limits
 from lodeseek.sources.store import DocumentStore
 
+T = TypeVar("T")
+
 # Columns of a match: enough for paging and statistics, and no text.
 FACET_TYPES = {"authoremail": "string", "extension": "string", "charcount": "int", "linecount": "int"}
 NARROW = ("doc_type", "doc_id", "project", "repository", "score", *FACET_TYPES)
@@ -141,6 +147,42 @@ def search_page(corpus: Corpus, request: Search) -> DataFrame:
     return ranking.page_of(search(corpus, request).select(*columns), request.page, request.limits.page_size)
 
 
+def search_answer(corpus: Corpus, request: Search) -> DataFrame:
+    """The page with readable names, and on each of its rows the total, the pages and the window shown.
+
+    Needs the repositories of the corpus; hits of unknown ones are no hits. The columns of
+    ``search_page``, then ``projectname, repositoryname, total_hits, pages, result_from, result_to``.
+    """
+    if corpus.repositories is None:
+        raise ValueError("an answer with names needs the repositories table")
+    bounds = ranking.page_bounds(search(corpus, request, scored=False), request.page, request.limits.page_size)
+    whole = bounds.select(F.struct("*").alias("bounds")).scalar()
+    page = shape.with_names(search_page(corpus, request), corpus.repositories).withColumn("bounds", whole)
+    return page.select("*", "bounds.*").drop("bounds")
+
+
+def within_timeout(spark: SparkSession, limits: Limits, answer: Callable[[], T]) -> T:
+    """What ``answer`` returns; its jobs are cancelled after ``limits.search_timeout_ms``, with a ``TimeoutError``."""
+    context, tag, late = spark.sparkContext, f"search-{uuid.uuid4()}", threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(limits.search_timeout_ms / 1000, cancel)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return answer()
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"no answer within {limits.search_timeout_ms} ms") from error
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
 def _of_page(df: DataFrame, page: DataFrame, doc_type: str, buckets: Buckets | None) -> DataFrame:
     # A page has at most limits.page_size <= 1000 narrow rows, whatever matched.
     ids = page.filter(F.col("doc_type") == doc_type).select("doc_id", "project", "repository", "score")

@@ -33,6 +33,9 @@ def pending_changes(events: DataFrame, folder: str, checkpoint: str, **trigger:
 
     def on_batch(state: DataFrame, number: int) -> None:
         state.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        # The one before stays for readers; a batch is run again only if it was the last.
+        old = events.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={number - 2}")
+        old.getFileSystem(events.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = coalesce_events(events).writeStream.outputMode("complete").foreachBatch(on_batch)
     writer = writer.option("checkpointLocation", checkpoint)

@@ -57,3 +57,16 @@ def test_repeated_repository_rows_multiply_nothing(spark):
     assert [r.repositoryname for r in hits.with_names(found, repos).collect()] == ["Q"]
     branches = found.select("project", "repository", F.lit("refs/heads/master").alias("ref"))
     assert catalog.select_refs(branches, repos).count() == 1
+
+
+def test_a_search_that_takes_too_long(spark):
+    from lodeseek.plans.search import within_timeout
+    from lodeseek.settings import Limits
+
+    limits = Limits(search_timeout_ms=1000)
+    assert within_timeout(spark, limits, lambda: spark.range(3).count()) == 3
+    slow = spark.range(8).select(F.expr("reflect('java.lang.Thread', 'sleep', 5000L)"))
+    with pytest.raises(TimeoutError):
+        within_timeout(spark, limits, lambda: slow.collect())
+    with pytest.raises(ZeroDivisionError):
+        within_timeout(spark, limits, lambda: 1 / 0)
