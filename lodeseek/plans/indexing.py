@@ -11,7 +11,7 @@ from lodeseek.functions import keys
 from lodeseek.operators import deltas
 from lodeseek.operators.match import commit_fields, file_fields
 from lodeseek.operators.postings import vocabulary
-from lodeseek.schemas import CHECKPOINTS, REPO_KEY
+from lodeseek.schemas import REPO_KEY, TABLES
 from lodeseek.settings import Limits
 from lodeseek.sources import catalog, snapshots
 from lodeseek.sources.store import DocumentStore
@@ -90,9 +90,15 @@ def full_build(store: DocumentStore, sources: Sources, limits: Limits) -> int |
     version = store.begin()
     # Branches are read once: trees and checkpoints must speak of the same tips.
     sources = replace(sources, branches=store.stage(sources.branches, "branches"))
-    for table, df in zip(("files", "commits", "checkpoints"), build(sources, limits), strict=True):
+    files, commits, marks = build(sources, limits)
+    chosen = marks.select(*REF_KEY)
+    rows = {
+        "files": files, "commits": commits, "checkpoints": marks,
+        "tree": sources.tree.join(chosen, REF_KEY, "left_semi"), "reach": sources.reach.join(chosen, REF_KEY, "left_semi"),
+    }
+    for table, df in rows.items():
         store.write(table, df)
-    store.publish(version, {"files": None, "commits": None, "checkpoints": None})
+    store.publish(version, dict.fromkeys(rows))
     return version
 
 
@@ -102,8 +108,8 @@ def sync_refs(
     """Brings the documents of many refs in line with the current snapshots, in one version.
 
     ``targets`` has (project, repository, ref). A target without a tip, or one no longer selected, loses its
-    documents. Old snapshots are read off the documents themselves, so a repeated or late run ends in the same
-    state. ``purged`` has (project, repository) of repositories to begin anew: all their documents go, and the refs
+    documents. What changed is the difference of the stored and the current snapshots, so a repeated or late run
+    ends in the same state, nothing is read twice because it has no document, and no change writes no version. ``purged`` has (project, repository) of repositories to begin anew: all their documents go, and the refs
     that the catalog lists now are indexed from nothing, so nothing is left of a repository that is no longer listed.
     """
     if not limits.indexing_enabled:
@@ -116,16 +122,16 @@ def sync_refs(
     wanted = targets.select(*REF_KEY)
     if purged is not None:
         purged = store.stage(purged.select(*REPO_KEY).distinct(), "purged")
-        held = [store.around(t, purged, old_version) for t in ("files", "commits", "checkpoints")]
-        refs = snapshots.indexed_tree(held[0]).select(*REF_KEY).union(snapshots.indexed_reach(held[1]).select(*REF_KEY))
-        refs = refs.union(held[2].select(*REF_KEY)).union(tips.select(*REF_KEY))
+        held = [store.around(t, purged, old_version).select(*REF_KEY) for t in ("tree", "reach", "checkpoints")]
+        refs = held[0].union(held[1]).union(held[2]).union(tips.select(*REF_KEY))
         wanted = wanted.union(refs.join(purged, list(REPO_KEY), "left_semi"))
     wanted = store.stage(wanted.distinct(), "targets")
     if wanted.isEmpty():
         return old_version
     # Tips are read once: trees and checkpoints must speak of the same ones.
     tips = store.stage(tips.join(wanted, REF_KEY, "left_semi").select(*REF_KEY, "tip"), "tips")
-    files, commits, marks = (store.around(t, wanted, old_version) for t in ("files", "commits", "checkpoints"))
+    files, commits, marks, tree, reach = (
+        store.around(t, wanted, old_version) for t in ("files", "commits", "checkpoints", "tree", "reach"))
 
     def kept(df: DataFrame) -> DataFrame:
         return df if purged is None else df.join(purged, list(REPO_KEY), "left_anti")
@@ -136,8 +142,12 @@ def sync_refs(
     def before(df: DataFrame) -> DataFrame:
         return kept(df).join(wanted, REF_KEY, "left_semi")
 
-    file_delta = deltas.tree_delta(before(snapshots.indexed_tree(files)), now(sources.tree))
-    gained, lost = deltas.commit_delta(before(snapshots.indexed_reach(commits)), now(sources.reach))
+    def gone(df: DataFrame, unit: str) -> set[int]:
+        return set() if purged is None else set(_buckets(store, df.join(purged, list(REPO_KEY), "left_semi"), unit))
+
+    file_delta = store.stage(deltas.tree_delta(before(tree), now(sources.tree)), "tree_delta")
+    gained, lost = deltas.commit_delta(before(reach), now(sources.reach))
+    gained, lost = store.stage(gained, "gained"), store.stage(lost, "lost")
     changes = {
         "files": store.stage(deltas.file_changes(file_delta), "file_changes"),
         "commits": store.stage(deltas.commit_changes(gained, lost), "commit_changes"),
@@ -145,10 +155,7 @@ def sync_refs(
     replaced: dict[str, list[int] | None] = {}
     for table, docs in (("files", files), ("commits", commits)):
         change = changes[table]
-        buckets = set(_buckets(store, change, "doc_id"))
-        if purged is not None:
-            buckets |= set(_buckets(store, docs.join(purged, list(REPO_KEY), "left_semi"), "doc_id"))
-        replaced[table] = sorted(buckets)
+        replaced[table] = sorted(set(_buckets(store, change, "doc_id")) | gone(docs, "doc_id"))
         if not replaced[table]:
             continue
         touched = kept(docs.filter(F.col("bucket").isin(replaced[table])).drop("bucket"))
@@ -161,11 +168,22 @@ def sync_refs(
         else:
             new = snapshots.build_commits(missing, sources.log)
         store.write(table, deltas.update_documents(touched, change).unionByName(new))
-    replaced["checkpoints"] = _buckets(store, wanted, "ref")
-    if replaced["checkpoints"]:
-        others = marks.filter(F.col("bucket").isin(replaced["checkpoints"])).join(wanted, REF_KEY, "left_anti")
-        fresh = tips.select(*REF_KEY, F.col("tip").alias("hash"))
-        store.write("checkpoints", others.select(*CHECKPOINTS.names).unionByName(fresh))
+    fresh = tips.select(*REF_KEY, F.col("tip").alias("hash"))
+    moved = marks.join(wanted, REF_KEY, "left_semi").select(*fresh.columns)
+    moved = moved.join(fresh, fresh.columns, "left_anti").union(fresh.join(moved, fresh.columns, "left_anti"))
+    narrow = {
+        "tree": (tree, now(sources.tree), file_delta, "path"),
+        "reach": (reach, now(sources.reach), gained.union(lost), "hash"),
+        "checkpoints": (marks, fresh, moved, "ref"),
+    }
+    for table, (old, new, change, unit) in narrow.items():
+        replaced[table] = sorted(set(_buckets(store, change, unit)) | gone(old, unit))
+        if replaced[table]:
+            others = old.filter(F.col("bucket").isin(replaced[table])).join(wanted, REF_KEY, "left_anti")
+            mine = new.filter(store.buckets.of(unit).isin(replaced[table]))
+            store.write(table, others.select(*TABLES[table].names).unionByName(mine.select(*TABLES[table].names)))
+    if not any(replaced.values()):
+        return old_version
     store.publish(version, replaced)
     return version
 

@@ -36,5 +36,8 @@ REF_EVENTS = _struct(
     change_type=_S,
 )
 
-TABLES = {"files": FILES, "commits": COMMITS, "checkpoints": CHECKPOINTS}
+# ``tree`` and ``reach`` are the snapshots that were indexed, files and commits without a document included.
+TABLES = {"files": FILES, "commits": COMMITS, "checkpoints": CHECKPOINTS, "tree": TREE, "reach": REACH}
+# What tells rows of one repository apart.
+UNITS = {"files": "doc_id", "commits": "doc_id", "checkpoints": "ref", "tree": "path", "reach": "hash"}
 REPO_KEY = ("project", "repository")

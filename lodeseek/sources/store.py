@@ -21,7 +21,7 @@ from pyspark.sql.utils import AnalysisException
 
 from lodeseek.functions.keys import Buckets
 from lodeseek.operators.filters import bucket_filter, one_repository
-from lodeseek.schemas import TABLES
+from lodeseek.schemas import TABLES, UNITS
 
 _MANIFEST = "table string, bucket int, written string, groups int, slices int"
 _HEADER = ""  # in the place of a table: names the attempt of the version itself
@@ -102,7 +102,7 @@ class DocumentStore:
         The rebalance hint gives each bucket few files of even size, and splits a bucket that
         one huge repository fills. Rows are sorted so that row groups can be skipped.
         """
-        unit = "ref" if table == "checkpoints" else "doc_id"
+        unit = UNITS[table]
         names = TABLES[table].names
         rows = df.select(*names).withColumn("bucket", self.buckets.of(unit)).hint("rebalance", "bucket")
         ordered = rows.sortWithinPartitions("bucket", "project", "repository", unit)

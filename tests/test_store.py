@@ -247,3 +247,35 @@ def test_branches_that_went_while_nobody_looked(spark, store):
     world.drop("proj", "one", MASTER)
     indexing.update_all(store, world.sources(spark), LIMITS)
     check(store, world)
+
+
+def test_no_change_writes_nothing_and_reads_no_blob(spark, store, monkeypatch):
+    from lodeseek.sources import snapshots
+
+    world = World()
+    world.set("proj", "one", MASTER, {"a.py": b"text", "img.bin": b"A\x00", "empty": b""}, {"c"})
+    indexing.full_build(store, world.sources(spark), LIMITS)
+    assert store.read("tree").count() == 3
+    asked = []
+    real = snapshots.needed_blobs
+    monkeypatch.setattr(snapshots, "needed_blobs", lambda b, missing, size: asked.extend(
+        r["path"] for r in missing.collect()) or real(b, missing, size))
+    every = world.sources(spark).branches.select("project", "repository", "ref")
+    assert indexing.sync_refs(store, world.sources(spark), every, LIMITS) == 1
+    assert store.versions() == [1] and asked == []
+    world.trees["proj", "one", MASTER]["b.py"] = b"more"
+    assert indexing.sync_refs(store, world.sources(spark), every, LIMITS) == 2
+    check(store, world)
+    assert asked == ["b.py"]
+
+
+def test_a_new_branch_on_known_files_reads_no_blob(spark, store, monkeypatch):
+    from lodeseek.sources import snapshots
+
+    world = World()
+    world.set("proj", "one", MASTER, {"a.py": b"text", "img.bin": b"A\x00"}, {"c"})
+    indexing.full_build(store, world.sources(spark), LIMITS)
+    world.set("proj", "one", DEVELOP, {"a.py": b"text"}, {"c"})
+    monkeypatch.setattr(snapshots, "needed_blobs", lambda b, missing, size: b.limit(0) if missing.isEmpty() else 1 / 0)
+    indexing.update_all(store, world.sources(spark), LIMITS)
+    check(store, world)
