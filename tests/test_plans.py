@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lodeseek.checks.queries import LIMITS
+from lodeseek.checks.queries import LIMITS, QUERIES
 from lodeseek.plans import search as plan
 from lodeseek.sources.store import DocumentStore
 
@@ -18,9 +18,9 @@ def explain(df) -> str:
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_python_and_no_cross_join(spark, name):
-    text = explain(entry.queries()[name](spark, FOLDER))
+    text = explain(QUERIES[name](spark, FOLDER))
     assert not re.search("Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", text)
 
 
