@@ -196,9 +196,11 @@ class Codec:
             draws = mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(key & _ALL), 41) % np.uint64(len(self.keys))
             cut.append((parts, draws := draws.tolist()))
             wanted.update(zip(parts, draws, strict=True))
-        if sum(map(len, self.known)) > _HELD:
-            for known in self.known:
-                known.clear()
+        if sum(map(len, self.known)) > _HELD:  # what is in use again now is worth keeping
+            known, self.known = self.known, [{} for _ in self.known]
+            for part, draw in wanted:
+                if part in known[draw]:
+                    self.known[draw][part] = known[draw][part]
         missing = [(p, d) for p, d in wanted if p not in self.known[d]]
         short = [x for x in missing if len(x[0]) <= _LONG]
         long = [x for x in missing if len(x[0]) > _LONG]
