@@ -442,6 +442,8 @@ ORACLE: dict[str, str] = {
     "index_wildcard": _found(_any_token("c", "regexp_full_match(t, 't.e.*ing')")),
     # statistics
     "author_cardinality": _with("docs", "SELECT count(DISTINCT authoremail) AS cardinality FROM docs"),
+    "approximate_cardinality": _with("docs", "SELECT count(DISTINCT authoremail) AS cardinality, true AS near FROM docs"),
+    "approximate_percentiles": """SELECT CAST(unnest([1, 5, 25, 50, 75, 95, 99]) AS DOUBLE) AS percentile, true AS near""",
     "extension_cardinality": _with("docs", "SELECT count(DISTINCT extension) AS cardinality FROM docs"),
     "author_ranking": _with("docs", _top("authoremail")),
     "extension_ranking": _with("docs", _top("extension")),

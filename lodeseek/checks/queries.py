@@ -535,6 +535,30 @@ def author_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return statistics.distinct_values(_both(spark, d), "authoremail")
 
 
+@query
+def approximate_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate number of authors lies within five standard errors of the exact one."""
+    exact = statistics.distinct_values(_commits(spark, d), "authoremail")
+    near = statistics.distinct_values(_commits(spark, d), "authoremail", approximate=True, rsd=0.01)
+    apart = F.abs(near.select("cardinality").scalar() - F.col("cardinality"))
+    return exact.select("cardinality", (apart <= 0.05 * F.col("cardinality")).alias("near"))
+
+
+@query
+def approximate_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a thousandth of the documents at most lies between each approximate percentile and its rank."""
+    files = _files(spark, d)
+    rows = statistics.percentiles(files, "charcount", approximate=True).collect()  # seven
+    x, n = F.col("charcount"), F.count("charcount")
+    checks = [
+        F.struct(F.lit(float(r["percentile"])).alias("percentile"), (
+            (F.count_if(x < r["value"]) <= (r["percentile"] / 100 + 1e-3) * n)
+            & (F.count_if(x <= r["value"]) >= (r["percentile"] / 100 - 1e-3) * n)).alias("near"))
+        for r in rows
+    ]
+    return files.agg(F.array(*checks).alias("checks")).select(F.explode("checks").alias("c")).select("c.*")
+
+
 @query
 def extension_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return statistics.distinct_values(_both(spark, d), "extension")
