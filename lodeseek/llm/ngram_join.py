@@ -225,14 +225,14 @@ def possible(sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndar
     for length in np.unique(lengths):
         at = np.flatnonzero(lengths == length)
         by_length[int(length)] = (at, np.stack([maps[k] for k in at]))
-    done = np.zeros(n, bool)
-    for k in range(n):
+    left_out, todo = [], list(range(n - 1, -1, -1))
+    while todo:
+        k = todo.pop()
         counts = np.bincount(group, minlength=n)
         if counts.max() == n:
             break
-        if group[k] == counts.argmax() and counts[group[k]] > 1:
-            continue  # a link between two classes has an end outside the largest
-        done[k] = True
+        if counts[group[k]] == counts.max() > 1 and _leave_out(k, left_out, todo, group, counts):
+            continue
         found = []
         for length, (at, stack) in by_length.items():
             open_ = at[group[at] != group[k]]
@@ -252,6 +252,20 @@ def possible(sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndar
     return group
 
 
+def _leave_out(k: int, left_out: list[int], todo: list[int], group, counts) -> bool:
+    """Whether ``k``, of a largest class, need not be compared, as a link between two classes has an end elsewhere.
+
+    That holds for one class only: when a larger one takes its place, those left out before are to be done.
+    """
+    if left_out and group[left_out[0]] != group[k]:
+        if counts[group[left_out[0]]] == counts[group[k]]:
+            return False
+        todo += left_out
+        left_out.clear()
+    left_out.append(k)
+    return True
+
+
 def _members(width: int, heavy):
     """The ordered set of a document for each group and pair of blocks it belongs to."""
     schema = pa.schema([
@@ -353,18 +367,19 @@ class Trie:
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect the sets just as all links of the wanted similarity would.
 
-    Only sets outside the largest class found so far are probed: a link between two classes has an
-    end there.
+    Sets of the largest class found so far are not probed: a link between two classes has an end
+    elsewhere. When another class becomes the largest, those that were left out are probed.
     """
     tree = Trie(np.empty(0, np.uint64))
     for name, grams in enumerate(sets):
         tree.add(grams, name)
     group = list(range(len(sets)))
     held = {k: [k] for k in group}
-    largest, links, todo = 0, [], list(range(len(sets) - 1, -1, -1))
+    counts = [1] * len(sets)  # of the classes; a class that went into another one has none
+    largest, links, left_out, todo = 0, [], [], list(range(len(sets) - 1, -1, -1))
     while todo:
         name = todo.pop()
-        if group[name] == largest and len(held[largest]) > 1:
+        if group[name] == largest and counts[largest] > 1 and _leave_out(name, left_out, todo, group, counts):
             continue
         for other in tree.similar(sets[name], percent):
             a, b = group[name], group[other]
@@ -375,7 +390,8 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                 for k in held[b]:
                     group[k] = a
                 held[a] += held.pop(b)
-                if len(held[a]) > len(held.get(largest, ())):
+                counts[a], counts[b] = len(held[a]), 0
+                if counts[a] > counts[largest]:
                     largest = a
     return links
 

@@ -129,6 +129,30 @@ def test_linked_by_trie_is_what_pairs_say():
         assert all(classes[i] == classes[wanted[i]] for i in range(len(sets)))
 
 
+@pytest.mark.parametrize("windows", [(104, 5, 10), (52, 6, 5)])
+def test_chains_are_linked_in_every_order(windows):
+    from itertools import permutations
+
+    import numpy as np
+
+    from lodeseek.llm.ngram_join import linked, parity_bits, possible
+
+    size, count, step = windows  # neighbours of the chain link, others don't
+    chain = [np.arange(step * k, step * k + size, dtype=np.uint64) for k in range(count)]
+    chain += [chain[0] + np.uint64(10_000), chain[1] + np.uint64(10_000)]  # another class
+    orders = list(permutations(range(count)))
+    for order in orders if count < 6 else orders[::5]:
+        sets = [chain[k] for k in (*order, count, count + 1)]
+        group = list(range(len(sets)))
+        for a, b in linked(sets, 80):
+            x, y = group[a], group[b]
+            group = [x if g == y else g for g in group]
+        assert len(set(group[:count])) == 1 and len(set(group[count:])) == 1 and len(set(group)) == 2, order
+        maps = [np.frombuffer(parity_bits(s), np.uint64) for s in sets]
+        classes = possible(np.full(len(sets), size), maps, 80)
+        assert len(set(classes[:count])) == 1 and classes[count] == classes[count + 1], order
+
+
 def test_blocks_meet_all_pairs():
     from lodeseek.llm.ngram_join import _blocks
 
