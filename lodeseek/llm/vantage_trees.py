@@ -1,8 +1,10 @@
 """Nearest neighbours by inner product from vantage-point trees, one for each shard of the vectors.
 
-Vectors get one more coordinate that brings all of them to the same length; then the largest inner
-product is the smallest distance, and the triangle inequality holds. A subtree is left when its
-least possible distance, times ``factor``, is beyond the worst one kept; ``factor`` one is exact search.
+A shard holds vectors of about the same length. They get one more coordinate that brings all of them to
+the same one; then the largest inner product is the smallest distance, and the triangle inequality holds.
+A subtree is left when its least possible distance, times a factor, is beyond the worst one kept; factor
+one is exact search. The factor is the largest that finds enough for some queries of a block, which are
+also compared with the whole shard.
 Query blocks meet shards in an equi-join; a block is searched in a tree as a whole.
 """
 
@@ -19,6 +21,8 @@ from lodeseek.llm.staging import gathered, on_executors, scattered, shuffle_part
 from lodeseek.llm.words import mix
 
 SHARD, BLOCK, LEAF, SPARE = 8192, 1024, 96, 12
+BAND = 6  # lengths within a factor of 2 ** (1 / BAND) share shards
+TRIAL, ENOUGH = 32, 0.97  # queries of a block that are compared with a whole shard, and the part to be found
 
 
 def usable(vector: Column) -> Column:
@@ -27,20 +31,45 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _dealt(parts: int):
-    """Ids and vectors of each part, as many parts for each vector length."""
+def _stacks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The number of components, ids, and vectors of the rows that have so many."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    vectors = batch.column(1)
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        yield int(size), ids[rows], flat[starts[rows][:, None] + np.arange(size)]
+
+
+def bands(vectors: np.ndarray) -> np.ndarray:
+    """A number for each vector's length; those of a number differ by a factor of ``2 ** (1 / BAND)`` at most."""
+    square = (vectors.astype(np.float64) ** 2).sum(1)
+    return np.floor(BAND / 2 * np.log2(np.maximum(square, np.finfo(np.float64).tiny))).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for size, _, stack in _stacks(batch):
+            found, counts = np.unique(bands(stack), return_counts=True)
+            yield pa.record_batch({
+                "size": pa.array(np.full(len(found), size, np.int32)), "band": pa.array(found), "n": pa.array(counts)})
+
+
+def _dealt(shards: dict[tuple[int, int], tuple[int, int]] | None, parts: int = 1):
+    """Ids and vectors of each part: by ``shards`` the first part of a size and band and how many follow, or ``parts``."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = batch.column(1)
-            sizes = np.diff(vectors.offsets.to_numpy())
-            flat = vectors.flatten().to_numpy(zero_copy_only=False)
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                stack = flat[starts[rows][:, None] + np.arange(size)]
-                part = (mix(ids[rows].view(np.uint64), 3) % np.uint64(parts)).astype(np.int32)
-                found, blobs = scattered(part, {"ids": ids[rows], "vectors": stack})
+            for size, ids, stack in _stacks(batch):
+                spread = mix(ids.view(np.uint64), 3)
+                if shards is None:
+                    part = (spread % np.uint64(parts)).astype(np.int32)
+                else:
+                    names, which = np.unique(bands(stack), return_inverse=True)
+                    first, many = np.array([shards[size, int(band)] for band in names]).reshape(-1, 2)[which].T
+                    part = (first + (spread % many.astype(np.uint64)).astype(np.int64)).astype(np.int32)
+                found, blobs = scattered(part, {"ids": ids, "vectors": stack})
                 yield pa.record_batch({
                     "size": pa.array(np.full(len(found), size, np.int32)), "part": pa.array(found, pa.int32()),
                     "key": pa.array([int(size) << 32 | int(p) for p in found], pa.int64()),
@@ -143,6 +172,22 @@ def lift(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([vectors, np.sqrt(np.maximum(longest ** 2 - square, 0))[:, None]], 1)
 
 
+def kept_factor(tree: Tree, queries: np.ndarray, k: int, most: float) -> float:
+    """The largest factor of ``most`` and less that finds ``ENOUGH`` of what some of the queries should find."""
+    some = queries[:: max(1, len(queries) // TRIAL)][:TRIAL]
+    dots = some @ tree.lifted.T
+    last = np.partition(dots, -k, axis=1)[:, -k]
+    last -= 1e-9 * np.abs(last)
+    line = np.arange(len(some))[:, None]
+    factor = most
+    while factor > 1:
+        place = tree.search(some, k, factor)
+        if ((dots[line, place] >= last[:, None]) & (place >= 0)).mean() >= ENOUGH:
+            return factor
+        factor = 1 + (factor - 1) / 2 if factor > 1.2 else 1.0
+    return min(most, 1.0)
+
+
 def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """In double precision, the products summed from the first to the last."""
     total = np.zeros(len(vectors))
@@ -151,7 +196,7 @@ def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def _planted(kind: type, longest: float, k: int):
+def _planted(kind: type, k: int):
     """The tree of each shard, with the ids of equal vectors together."""
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in gathered(batches, "key", {"ids": np.int64, "vectors": kind}):
@@ -163,7 +208,9 @@ def _planted(kind: type, longest: float, k: int):
             for row, vector in enumerate(vectors):
                 known.setdefault((vector + 0.0).tobytes(), []).append(row)
             firsts = np.array([rows[0] for rows in known.values()])
-            tree = Tree(lift(vectors[firsts].astype(np.float64), longest))
+            points = vectors[firsts].astype(np.float64)
+            longest = float(np.sqrt((points ** 2).sum(1).max()))
+            tree = Tree(lift(points, longest))
             # A query needs the k smallest ids of equal vectors, besides its own.
             own = [np.unique(ids[rows])[: k + 1] for rows in known.values()]
             own = [own[t] for t in tree.order]
@@ -175,14 +222,15 @@ def _planted(kind: type, longest: float, k: int):
                 "counts": pa.array([np.array([len(o) for o in own], np.int64).tobytes()], pa.binary()),
                 "ranges": pa.array([ranges.tobytes()], pa.binary()),
                 "radii": pa.array([np.array([radius for _, _, radius in tree.nodes.values()]).tobytes()], pa.binary()),
+                "longest": pa.array([longest], pa.float64()),
             })
     return plant
 
 
-TREES = "size int, shard int, points binary, ids binary, counts binary, ranges binary, radii binary"
+TREES = "size int, shard int, points binary, ids binary, counts binary, ranges binary, radii binary, longest double"
 
 
-def _found(kind: type, longest: float, k: int, factor: float):
+def _found(kind: type, k: int, factor: float):
     """The nearest found of each query block in each shard, with exact scores."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,6 +242,7 @@ def _found(kind: type, longest: float, k: int, factor: float):
                 at = np.r_[0, np.cumsum(counts)]
                 query_ids = get("query_ids", np.int64)
                 queries = get("query_vectors", kind).reshape(-1, size).astype(np.float64)
+                longest = batch.column("longest")[row].as_py()
                 tree = Tree.__new__(Tree)
                 tree.lifted = lift(points, longest)
                 tree.nodes = {
@@ -203,7 +252,8 @@ def _found(kind: type, longest: float, k: int, factor: float):
                 }
                 scaled = queries * (longest / np.linalg.norm(queries, axis=1))[:, None]
                 raised = np.concatenate([scaled, np.zeros((len(scaled), 1))], 1)
-                place = tree.search(raised, min(k + SPARE, max(1, len(points))), factor)
+                wanted = min(k + SPARE, max(1, len(points)))
+                place = tree.search(raised, wanted, kept_factor(tree, raised, wanted, factor))
                 out_q, out_v, out_s = [], [], []
                 for q, places in enumerate(place):
                     places = places[places >= 0]
@@ -233,6 +283,8 @@ def nearest(
     of it. Nearest come first, ties go to the smaller id. Vectors that are null, zero, or hold a null or a
     non-finite component take no part, nor do rows without an id; a vector is compared with those of its length
     only. A repeated row counts once, an id with several vectors once for each. Without vectors or queries the result is empty.
+    ``factor`` is the largest that may be taken; where it finds too little for some queries of a block in a shard, a
+    smaller one is, down to exact search.
     """
     spark = vectors.sparkSession
     on_executors(spark)
@@ -244,17 +296,19 @@ def nearest(
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(as_array).alias("vector"))
         return rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
 
-    square = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
     known = clean(vectors)
-    facts = known.agg(F.count("*").alias("n"), F.max(square).alias("most")).first()
-    shards = max(1, -(-facts.n // SHARD))
-    longest = float(facts.most or 0.0) ** 0.5
+    shards: dict[tuple[int, int], tuple[int, int]] = {}
+    many = 0
+    for row in known.mapInArrow(_counted, "size int, band long, n long").groupBy("size", "band").agg(
+            F.sum("n").alias("n")).orderBy("size", "band").collect():
+        shards[row.size, row.band] = (many, -(-row.n // SHARD))
+        many += -(-row.n // SHARD)
     blocks = max(1, -(-clean(queries).count() // BLOCK))
 
-    def packed(rows: DataFrame, parts: int) -> DataFrame:
-        return rows.mapInArrow(_dealt(parts), PARTS).repartition(min(n, parts), "key").sortWithinPartitions("key")
+    def packed(rows: DataFrame, dealt, parts: int) -> DataFrame:
+        return rows.mapInArrow(dealt, PARTS).repartition(min(n, parts), "key").sortWithinPartitions("key")
 
-    trees = staged(packed(known, shards).mapInArrow(_planted(kind, longest, k), TREES))
+    trees = staged(packed(known, _dealt(shards), max(1, many)).mapInArrow(_planted(kind, k), TREES))
 
     def joined_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in gathered(batches, "key", {"ids": np.int64, "vectors": kind}):
@@ -264,11 +318,11 @@ def nearest(
                 "query_vectors": pa.array([held["vectors"].tobytes()], pa.binary()),
             })
 
-    asked = staged(packed(clean(queries), blocks).mapInArrow(
+    asked = staged(packed(clean(queries), _dealt(None, blocks), blocks).mapInArrow(
         joined_blobs, "size int, block int, query_ids binary, query_vectors binary"))
     pairs = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(
-        min(8 * n, shards * blocks), "shard", "block").join(asked.hint("shuffle_hash"), ["size", "block"])
-    best = pairs.mapInArrow(_found(kind, longest, k, factor), "query_id long, vec_id long, score double").distinct()
+        min(8 * n, max(1, many) * blocks), "shard", "block").join(asked.hint("shuffle_hash"), ["size", "block"])
+    best = pairs.mapInArrow(_found(kind, k, factor), "query_id long, vec_id long, score double").distinct()
     ranked = best.selectExpr(
         "query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score")
     return ranked.where(F.col("rank") <= k)

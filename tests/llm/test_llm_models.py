@@ -133,6 +133,24 @@ def test_nearest_exact(spark, monkeypatch, kind):
     assert vantage_trees.nearest(frame, frame.limit(0), k=3).collect() == []
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_recall_with_unlike_lengths(spark, spread):
+    from lodeseek.llm.queries import VANTAGE_FACTOR
+    from lodeseek.llm.vantage_trees import nearest
+
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(3000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors *= np.exp(spread * rng.normal(size=3000))[:, None]
+    vectors[11] *= 3 * np.linalg.norm(vectors, axis=1).max() / np.linalg.norm(vectors[11])  # a very long one
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    wanted = brute(np.arange(3000), vectors, range(0, 3000, 20), 20)
+    rows = nearest(frame, frame.where("vec_id % 20 = 0"), k=20, factor=VANTAGE_FACTOR).collect()
+    found = {(r.query_id, r.vec_id) for r in rows}
+    true = {(q, v) for q, best in wanted.items() for _, v, _ in best}
+    assert len(rows) == len(true) and len(found & true) >= 0.9 * len(true)
+
+
 def test_recall_on_the_smallest_tables(spark):
     from lodeseek.llm.queries import QUERIES, table
 
