@@ -262,6 +262,20 @@ def test_line_dedup_of_nothing(spark, monkeypatch):
     assert {r.text for r in module.line_dedup(table(spark, rows)).collect()} == {"body %d" % k for k in range(12)}
 
 
+@pytest.mark.parametrize("held", [500_000, -1])
+def test_copies_keep_their_text_in_the_pipeline(spark, monkeypatch, held):
+    import corpus_pipeline
+
+    from lodeseek.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "BROADCAST_LINES", held)
+    rows = [(k, "menu\nbody %d" % (k if k < 40 else 99), "s") for k in range(60)]  # a third are copies
+    rows += [(100 + k, "menu\nother %d" % max(k, 1), "t") for k in range(12)] + [(200, None, "t")]
+    frame = table(spark, rows)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate_lines(spark, frame, "").collect()}
+    assert got == {d: t and t.removeprefix("menu\n") for d, t, _ in rows}
+
+
 def test_fingerprints(spark):
     from pyspark.sql import functions as F
 
