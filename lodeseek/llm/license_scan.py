@@ -43,6 +43,7 @@ TEMPLATES = (
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 _SIGNS = r"[^\p{L}\p{N}]+"
 BROADCAST_DIRECTORIES = 100_000
+BROADCAST_WORDS = 200_000
 
 
 def _words(text: Column) -> Column:
@@ -81,11 +82,10 @@ def declared(
     files = files.where("path is not null and text is not null")
     counts = [(name, Counter(template_words(text))) for name, text in templates]
     vocabulary = sorted({w for _, words in counts for w in words})
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    often = files.select(F.array_intersect(F.array_distinct(_words(F.col("text"))), known).alias("words"))
-    facts = often.agg(F.count("*")).first()[0]
-    frequent = {r.word: r.n for r in often.select(F.explode("words").alias("word")).groupBy("word").agg(
-        F.count("*").alias("n")).collect()}  # a row for each word of the templates at most
+    facts = files.count()
+    often = staged(files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(
+        F.count("*").alias("n")))
+    frequent = {r.word: r.n for r in often.where(F.col("word").isin(vocabulary)).collect()}
     idf = {w: _idf(facts, frequent.get(w, 0)) for w in vocabulary}
     vectors = [(name, {w: k * idf[w] for w, k in words.items()}) for name, words in counts]
     telling = sorted(set().union(*(telling_words(v, threshold) for _, v in vectors)))
@@ -96,15 +96,17 @@ def declared(
         F.array().cast("array<string>"))
     units = files.select("path", F.explode(F.array_distinct(F.concat(lines, whole))).alias("unit"))
     units = staged(units.distinct().withColumn("number", F.monotonically_increasing_id()))
-    weights = spark.createDataFrame(
-        [(w, idf[w]) for w in vocabulary], "word string, idf double")
     rows = [(k, name, w, x / math.sqrt(sum(y * y for y in v.values())))
             for k, (name, v) in enumerate(vectors) for w, x in v.items()]
     of_templates = spark.createDataFrame(rows, "template int, license string, word string, weight double")
-    terms = units.select("number", F.explode(_words(F.col("unit"))).alias("word")).groupBy("number", "word").agg(
-        F.count("*").alias("times"))
-    terms = terms.join(F.broadcast(weights), "word", "left").withColumn(
-        "weight_here", F.col("times") * F.coalesce("idf", F.lit(_idf(facts, 0))))
+    spelled = units.select("number", F.explode(_words(F.col("unit"))).alias("word"))
+    terms = spelled.groupBy("number", "word").agg(F.count("*").alias("times"))
+    # Every word of a unit is a word of a file.
+    weights = staged(often.join(spelled.select("word").distinct(), "word").select(
+        "word", (F.log(F.lit(1.0 + facts) / (1 + F.col("n"))) + 1).alias("idf")))
+    if weights.count() <= BROADCAST_WORDS:
+        weights = F.broadcast(weights)
+    terms = terms.join(weights, "word").withColumn("weight_here", F.col("times") * F.col("idf"))
     norms = terms.groupBy("number").agg(F.sqrt(F.sum(F.col("weight_here") * F.col("weight_here"))).alias("norm"))
     products = terms.join(F.broadcast(of_templates), "word").groupBy("number", "template", "license").agg(
         F.sum(F.col("weight_here") * F.col("weight")).alias("product"))
@@ -127,8 +129,8 @@ def license_scan(
 
     ``basis`` is ``declared`` for a licence of the file's own, ``inherited`` for that of the nearest directory
     upwards with a licence file that declares one (``score`` is that file's), or null. Of several the higher score
-    wins, then the name of the licence. Document frequencies are those of all files; words outside the templates weigh
-    as much as a word no file has. Rows without a path are left out; a null text declares nothing; texts of a repeated
+    wins, then the name of the licence. Document frequencies are those of all files, for
+    every word of a unit. Rows without a path are left out; a null text declares nothing; texts of a repeated
     path belong to one file. An empty table gives an empty result.
     """
     paths = df.select(F.col(path_col).cast("string").alias("path")).where("path is not null").distinct()

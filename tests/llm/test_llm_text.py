@@ -399,6 +399,27 @@ def test_license_scan(spark):
     assert license_scan(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("held", [200_000, -1])
+def test_license_scan_knows_how_common_other_words_are(spark, monkeypatch, held):
+    from lodeseek.llm import license_scan as module
+
+    monkeypatch.setattr(module, "BROADCAST_WORDS", held)
+    files = [(f"d/f{k}.py", f"Acme file {k}\nuse it") for k in range(400)]
+    files += [("d/x.py", "Acme, released under the MIT License"), ("d/y.py", "Licensed under the Apache License, Version 2.0 Acme")]
+    files += [("d/z.py", "unseen words released under some License")]
+    frame = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: (r.license, r.basis, r.score) for r in module.license_scan(frame).collect()}
+    assert got["d/x.py"][:2] == ("MIT", "declared") and got["d/y.py"][:2] == ("Apache-2.0", "declared")
+    assert got["d/z.py"] == (None, None, None)
+
+    def weight(word):
+        words = [set(re.findall(r"[^\W_]+", t.lower())) for _, t in files]
+        return math.log((1 + len(files)) / (1 + sum(word in w for w in words))) + 1
+
+    template = sum(weight(w) ** 2 for w in ("released", "under", "the", "mit", "license"))
+    assert got["d/x.py"][2] == pytest.approx(math.sqrt(template / (template + weight("acme") ** 2)), abs=1e-8)
+
+
 def test_words_are_cut_as_the_pattern_says():
     import pyarrow as pa
 
