@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -25,7 +26,7 @@ from lodeseek.llm.words import mix
 
 SPACE = chr(0x2581)  # stands for a space in pieces
 _PART = re.compile(" *[^ ]+| +")
-_HELD = 250_000
+_HELD = 1_000_000  # nodes of the segmentation trees that a worker keeps
 _LONG = 48  # characters; longer parts are segmented one by one and not kept
 _ALL = (1 << 64) - 1
 _NONE = 1 << 40  # no merge
@@ -33,9 +34,13 @@ _codecs: dict[tuple, Codec] = {}
 
 
 class Codec:
-    """``dropout`` is the share of candidate merges that are skipped; each part of a text has one of ``draws`` keys."""
+    """``dropout`` is the share of candidate merges that are skipped; every occurrence of a part has a draw of its own.
 
-    def __init__(self, path: str, dropout: float, seed: int, draws: int) -> None:
+    The segmentations of a part form a tree: a node is the next candidate that can be taken, its branches
+    are taking and skipping it, a leaf has the ids. Trees grow where several occurrences ask for a branch, up to ``held`` nodes.
+    """
+
+    def __init__(self, path: str, dropout: float, seed: int, held: int = _HELD) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -52,8 +57,8 @@ class Codec:
         for b, i in bytes_.items():
             self.raw[i] = bytes([b])
         self.bound = int(dropout * (1 << 32))
-        self.keys = [(seed * 0x9E3779B97F4A7C15 + d * 0xD1B54A32D192ED03) & _ALL for d in range(draws)]
-        self.known: list[dict[str, bytes]] = [{} for _ in range(draws)]
+        self.seed, self.held = seed * 0x9E3779B97F4A7C15 & _ALL, held
+        self._forget()
         table = {}
         for piece, order in self.rank.items():
             for cut in range(1, len(piece)):
@@ -63,9 +68,36 @@ class Codec:
         self.pairs = np.array(sorted(table), np.int64)
         self.merges = np.array([table[k] for k in sorted(table)], np.int64).reshape(-1, 2)
 
-    def segment(self, part: str, draw: int) -> bytes:
-        """The ids of one part; ``segments`` does the same for many."""
-        rank, bound, key = self.rank, self.bound, self.keys[draw]
+    def _forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.leaves: list[bytes | None] = []
+        self.nodes = np.zeros((1024, 3), np.int64)  # the candidate or -1 at a leaf, the next node if taken, if skipped
+
+    def _node(self, candidate: int, leaf: bytes | None) -> int:
+        k = len(self.leaves)
+        if k == len(self.nodes):
+            self.nodes = np.concatenate([self.nodes, np.zeros_like(self.nodes)])
+        self.nodes[k] = candidate, -1, -1
+        self.leaves.append(leaf)
+        return k
+
+    def _grow(self, part: str, draw: int) -> None:
+        """Adds what the tree of ``part`` lacks for this draw."""
+        trail: list[tuple[int, bool]] = []
+        ids = self.segment(part, draw, trail)
+        at = self.roots.get(part, -1)
+        if at < 0:
+            at = self.roots[part] = self._node(trail[0][0], None) if trail else self._node(-1, ids)
+        for k, (_, skipped) in enumerate(trail):
+            after = int(self.nodes[at, 1 + skipped])
+            if after < 0:
+                after = self._node(trail[k + 1][0], None) if k + 1 < len(trail) else self._node(-1, ids)
+                self.nodes[at, 1 + skipped] = after
+            at = after
+
+    def segment(self, part: str, draw: int, trail: list[tuple[int, bool]] | None = None) -> bytes:
+        """The ids of one part; ``segments`` does the same for many. ``trail`` gets the candidates and which were skipped."""
+        rank, bound, key = self.rank, self.bound, (self.seed + draw * 0xD1B54A32D192ED03) & _ALL
         # A literal SPACE must not be taken for a space; with a mark before it no piece has it.
         held = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in part]
         n = len(held)
@@ -77,9 +109,7 @@ class Codec:
             order = rank.get(piece)
             if order is None:
                 return
-            h = (key ^ (order << 20 | i)) * 0xBF58476D1CE4E5B9 & _ALL
-            if ((h ^ h >> 31) * 0x94D049BB133111EB & _ALL) >> 32 >= bound:
-                agenda.append((order, i, piece)) if start else heappush(agenda, (order, i, piece))
+            agenda.append((order, i, piece)) if start else heappush(agenda, (order, i, piece))
 
         start = True
         for i in range(n - 1):
@@ -87,10 +117,16 @@ class Codec:
         heapify(agenda)
         start = False
         while agenda:
-            _, i, piece = heappop(agenda)
+            order, i, piece = heappop(agenda)
             j = right[i]
             if held[i] is None or j >= n or held[i] + held[j] != piece:
                 continue
+            h = (key ^ (order << 20 | i)) * 0xBF58476D1CE4E5B9 & _ALL
+            skipped = ((h ^ h >> 31) * 0x94D049BB133111EB & _ALL) >> 32 < bound
+            if trail is not None:
+                trail.append((order << 20 | i, skipped))
+            if skipped:
+                continue
             held[i], held[j] = piece, None
             k = right[i] = right[j]
             if k < n:
@@ -113,12 +149,18 @@ class Codec:
         pair = a << 32 | b
         place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         order = np.where(self.pairs[place] == pair, self.merges[place, 0], _NONE)
-        h = (keys ^ (order << 20 | at).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        order[h >> np.uint64(32) < self.bound] = _NONE
+        order[self._skipped(keys, order << 20 | at)] = _NONE
         return order
 
-    def segments(self, parts: list[str], draws: list[int]) -> list[bytes]:
+    def _keys(self, draws: np.ndarray) -> np.ndarray:
+        return np.uint64(self.seed) + draws * np.uint64(0xD1B54A32D192ED03)
+
+    def _skipped(self, keys: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        h = (keys ^ candidates.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return h >> np.uint64(32) < self.bound
+
+    def segments(self, parts: list[str], draws: list[int] | np.ndarray) -> list[bytes]:
         """The ids of each part: a row for each, one merge of the first candidate in every step, by width."""
         n = len(parts)
         out: list[bytes] = [b""] * n
@@ -130,7 +172,7 @@ class Codec:
         ids = np.array([self.id_of.get(c, unknown + k) for k, c in enumerate(names)], np.int64)
         symbols = ids[which] if len(which) else np.empty(0, np.int64)
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        keys = np.array(self.keys, np.uint64)[np.array(draws)]
+        keys = self._keys(np.array(draws, np.uint64))
         merged = self.merges[np.argsort(self.merges[:, 0]), 1]
         orders = np.sort(self.merges[:, 0])
         empty = np.empty((0, 0), np.int64)
@@ -189,31 +231,52 @@ class Codec:
             out[int(who[k])] = ids.tobytes()
 
     def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; its key (of the document) chooses the draws of its parts."""
-        cut, wanted = [], set()
-        for text, key in zip(texts, keys, strict=True):
-            parts = _PART.findall(" " + text) if text else []
-            draws = mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(key & _ALL), 41) % np.uint64(len(self.keys))
-            cut.append((parts, draws := draws.tolist()))
-            wanted.update(zip(parts, draws, strict=True))
-        if sum(map(len, self.known)) > _HELD:  # what is in use again now is worth keeping
-            known, self.known = self.known, [{} for _ in self.known]
-            for part, draw in wanted:
-                if part in known[draw]:
-                    self.known[draw][part] = known[draw][part]
-        missing = [(p, d) for p, d in wanted if p not in self.known[d]]
-        short = [x for x in missing if len(x[0]) <= _LONG]
-        long = [x for x in missing if len(x[0]) > _LONG]
-        for part, draw in long:
-            self.known[draw][part] = self.segment(part, draw)
+        """Little-endian 32-bit ids of each text; its key (of the document) and a part's place give the part's draw."""
+        cut = [_PART.findall(" " + text) if text else [] for text in texts]
+        draws = np.concatenate([np.empty(0, np.uint64)] + [
+            mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(key & _ALL), 41)
+            for parts, key in zip(cut, keys, strict=True)])
+        if len(self.leaves) > self.held:
+            self._forget()
+        every = [part for parts in cut for part in parts]
+        found = self._walked(every, draws)
+        out, lo = [], 0
+        for parts in cut:
+            out.append(b"".join(found[lo:lo + len(parts)]))
+            lo += len(parts)
+        return out
+
+    def _walked(self, parts: list[str], draws: np.ndarray) -> list[bytes]:
+        """The ids of each part: by its tree, which grows where two or more ask for a branch, or else by itself."""
+        roots, often = self.roots, Counter(parts)
+        for part, n in often.items():
+            if n > 1 and part not in roots and len(part) <= _LONG:
+                self._grow(part, 0)
+        at = np.array([roots.get(part, -1) for part in parts], np.int64)
+        keys = self._keys(draws)
+        todo = np.flatnonzero(at >= 0)
+        while len(todo):
+            todo = todo[self.nodes[at[todo], 0] >= 0]
+            now = at[todo]
+            side = 1 + self._skipped(keys[todo], self.nodes[now, 0])
+            lacking = np.flatnonzero(self.nodes[now, side] < 0)
+            if len(lacking):
+                _, firsts, times = np.unique(2 * now[lacking] + side[lacking], return_index=True, return_counts=True)
+                for k in todo[lacking[firsts[times > 1]]].tolist():
+                    self._grow(parts[k], int(draws[k]))
+            at[todo] = self.nodes[now, side]
+            todo = todo[at[todo] >= 0]
+        leaves = self.leaves
+        out = [leaves[a] if a >= 0 else b"" for a in at.tolist()]
+        alone = np.flatnonzero(at < 0).tolist()
+        short = [k for k in alone if len(parts[k]) <= _LONG]
         for lo in range(0, len(short), 20_000):
             some = short[lo:lo + 20_000]
-            for (part, draw), ids in zip(some, self.segments(*map(list, zip(*some, strict=True))), strict=True):
-                self.known[draw][part] = ids
-        known = self.known
-        out = [b"".join([known[d][p] for d, p in zip(draws, parts, strict=True)]) for parts, draws in cut]
-        for part, draw in long:
-            del known[draw][part]
+            for k, ids in zip(some, self.segments([parts[k] for k in some], draws[some]), strict=True):
+                out[k] = ids
+        for k in alone:
+            if len(parts[k]) > _LONG:
+                out[k] = self.segment(parts[k], int(draws[k]))
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -222,17 +285,17 @@ class Codec:
         return text[1:]
 
 
-def codec(name: str, dropout: float, seed: int, draws: int) -> Codec:
+def codec(name: str, dropout: float, seed: int) -> Codec:
     """The codec of a file sent by ``sent``, one for each Python worker."""
-    key = (name, dropout, seed, draws)
+    key = (name, dropout, seed)
     if key not in _codecs:
-        _codecs[key] = Codec(SparkFiles.get(name), dropout, seed, draws)
+        _codecs[key] = Codec(SparkFiles.get(name), dropout, seed)
     return _codecs[key]
 
 
-def _encoded(name: str, dropout: float, seed: int, draws: int):
+def _encoded(name: str, dropout: float, seed: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = codec(name, dropout, seed, draws)
+        model = codec(name, dropout, seed)
         for batch in slices(batches, "text", 2 << 20):
             docs, _ = long_array(batch.column(0))
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -247,12 +310,12 @@ def _encoded(name: str, dropout: float, seed: int, draws: int):
 
 def encode(
     df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1,
-    seed: int = 1, draws: int = 4,
+    seed: int = 1,
 ) -> DataFrame:
     """``doc_id, ids, n_tokens, ids_crc32`` of each row: little-endian 32-bit ids with a share of merges dropped.
 
     The skips depend on ``seed``, the id, the place of a part in its text, the merge and its place in the
-    part; parts have one of ``draws`` keys, so that those that repeat are segmented once for each. Without
+    part, so every occurrence of a word has skips of its own. Without
     dropout the ids are the model's own. A null or empty text has no ids; a null id counts as 0; repeated rows get
     equal ids. Characters without a piece, and the sign that stands for spaces in pieces, are spelled in
     byte pieces, so ``decode`` gives back every text. An empty table gives an empty result.
@@ -261,7 +324,7 @@ def encode(
     on_executors(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(
-        _encoded(sent(spark, model_path), dropout, seed, draws),
+        _encoded(sent(spark, model_path), dropout, seed),
         "doc_id long, ids binary, n_tokens long, ids_crc32 long")
 
 
@@ -272,7 +335,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
 
     @F.arrow_udf("string")
     def text_of(ids: pa.Array) -> pa.Array:
-        model = codec(name, 0.0, 0, 1)
+        model = codec(name, 0.0, 0)
         return pa.array([None if i.as_py() is None else model.decode(i.as_py()) for i in ids], pa.string())
 
     return df.withColumn(text_col, text_of(F.col(ids_col)))

@@ -178,7 +178,7 @@ def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizers.path("piece_bpe_32k.model")
-    encoded = encode(table(spark, folder, "documents"), path, dropout=0.1, seed=1, draws=4)
+    encoded = encode(table(spark, folder, "documents"), path, dropout=0.1, seed=1)
     return decode(encoded, path).select(
         "doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -562,3 +562,35 @@ def test_merge_dropout(spark):
     parts = [" the", " Zürich", "日本語", " 🙂x", "aaaaaaaa", space + "a", " " * 9 + "word", "x"]
     for draw in range(3):
         assert codec.segments(parts, [draw] * len(parts)) == [codec.segment(p, draw) for p in parts]
+
+
+def test_encode_is_what_each_occurrence_alone_gives():
+    import numpy as np
+    import public_tokenizers
+
+    from lodeseek.llm.merge_dropout import _PART, Codec
+    from lodeseek.llm.words import mix
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = Codec(path, 0.1, 1)
+    texts = ["the " * 4000, " ".join(["it", "windows", "on", "a" * 60, "x"] * 300), "", "the windows"]
+    keys = [5, 6, 7, 1 << 63]
+    for held in (1 << 20, 10):
+        model.held = held
+        for _ in range(2):
+            for text, key, ids in zip(texts, keys, model.encode(texts, keys), strict=True):
+                parts = _PART.findall(" " + text) if text else []
+                draws = mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(key), 41).tolist()
+                assert ids == b"".join(model.segment(p, d) for p, d in zip(parts, draws, strict=True))
+
+
+def test_occurrences_of_a_word_are_not_segmented_in_a_few_ways_only(spark):
+    import public_tokenizers
+
+    from lodeseek.llm.merge_dropout import encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    frame = spark.createDataFrame([(k, "understanding") for k in range(3000)], "doc_id long, text string")
+    found = Counter(bytes(r.ids) for r in encode(frame, path, dropout=0.1, seed=1).collect())
+    plain = bytes(encode(frame.limit(1), path, dropout=0.0).first().ids)
+    assert len(found) > 4 and 0.2 < found[plain] / 3000 < 0.95
