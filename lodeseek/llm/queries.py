@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm.ngram_join import ngram_jaccard_join
+from lodeseek.llm.lattice_dedup import lattice_dedup
 from lodeseek.llm.license_scan import license_scan
 from lodeseek.llm.line_dedup import line_dedup
 from lodeseek.llm.merge_dropout import decode, encode
@@ -196,3 +197,30 @@ def document_files(spark: SparkSession, folder: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = license_scan(document_files(spark, folder), threshold=0.8)
     return found.select(F.regexp_extract("path", "([0-9]+)$", 1).cast("long").alias("doc_id"), "path", "license", "basis", "score")
+
+
+@query
+def op13_lattice_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_dedup(table(spark, folder, "embeddings"), cosine=0.93)
+
+
+ORACLE["op13_lattice_near_dedup"] = """
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reach AS (
+    SELECT vec_id AS node, vec_id AS other FROM embeddings
+    UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) e
+JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON r.node = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = e.vec_id
+"""

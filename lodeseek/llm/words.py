@@ -42,9 +42,10 @@ class Words:
     """The words of a column of texts; a null text has none.
 
     ``at[d]:at[d + 1]`` are the words of text ``d``; ``starts`` and ``ends`` are byte places in ``data``.
+    ``separators`` says which bytes are no part of a word.
     """
 
-    def __init__(self, texts: pa.Array) -> None:
+    def __init__(self, texts: pa.Array, separators: np.ndarray = SPACE) -> None:
         texts = texts.cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
@@ -52,7 +53,7 @@ class Words:
         self.data = whole[offsets[0]:offsets[-1]]
         self.offsets = offsets - offsets[0]
         n = len(self.data)
-        inside = ~SPACE[self.data]
+        inside = ~separators[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
         before = np.r_[False, inside[:-1]] if n else inside
