@@ -8,6 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.llm.conversation_repair import conversation_digests, repaired_conversations, talk_key
 from lodeseek.llm.ngram_join import ngram_jaccard_join
 from lodeseek.llm.lattice_dedup import lattice_dedup
 from lodeseek.llm.license_scan import license_scan
@@ -224,3 +225,94 @@ FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) e
 JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON r.node = e.vec_id
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = e.vec_id
 """
+
+
+def damaged_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """``conversations`` with a fault in some rows, by a hash of conversation and turn."""
+    rows = table(spark, folder, "conversations")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(key) % 20).alias("fault"))
+    fault = F.col("fault")
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.where(fault != 0).select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("time"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    reports, repaired = repaired_conversations(damaged_conversations(spark, folder))
+    talk = talk_key(F.col("conv_id")).alias("talk")
+    every = table(spark, folder, "conversations").select("conv_id", talk).distinct()
+    found = every.join(reports.select(talk, *reports.columns[1:]), "talk", "left").join(
+        conversation_digests(repaired), "talk", "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)), lambda c, b: list_reduce(
+    list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+ORACLE["op11_conversation_repair"] = rf"""
+WITH RECURSIVE faulted AS (
+    SELECT *, {_CRC32} % 20 AS f FROM (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)
+),
+damaged AS (
+    SELECT coalesce('c' || conv_id, 'n') AS talk, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+        CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS time
+    FROM faulted WHERE f <> 0
+),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY talk ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+),
+lines AS (
+    SELECT *, left(role, 1) AS ini, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+        NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+        row_number() OVER (PARTITION BY talk, role, text ORDER BY i) AS k,
+        lag(left(role, 1)) OVER (PARTITION BY talk ORDER BY i) AS prior
+    FROM numbered
+),
+counts AS (
+    SELECT talk, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+        count(*) FILTER (WHERE NOT blank AND k > 1) AS duplicate, count(*) FILTER (WHERE NOT blank AND k = 1 AND cut) AS truncated,
+        count(*) FILTER (WHERE prior IS NOT NULL AND prior || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM lines GROUP BY talk
+),
+gap(p, r, gc, gs, gl) AS (
+    VALUES (0, 0, 0, '', []::VARCHAR[]), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']),
+        (1, 1, 0, '', []), (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']),
+        (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:'])
+),
+step(r, s, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+want(r, w, wq) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+moves AS (
+    SELECT talk, i, r, r AS q, 3 AS mc, 'D' AS ms, []::VARCHAR[] AS ml FROM lines, want
+    UNION ALL SELECT talk, i, r, q, cut::INTEGER, 'K', [role || ':' || text]
+    FROM lines JOIN step ON s = ini WHERE NOT blank AND k = 1
+    UNION ALL SELECT talk, i, r, wq, 2 + cut::INTEGER, 'R', [w || ':' || text] FROM lines, want WHERE NOT blank AND k = 1
+),
+paths AS (
+    SELECT talk, 0::BIGINT AS i, 0 AS p, {{'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]}} AS best FROM counts
+    UNION ALL
+    SELECT x.talk, x.i + 1, m.q, min({{'c': x.best.c + g.gc + m.mc, 'a': x.best.a || g.gs || m.ms,
+        'l': list_concat(list_concat(x.best.l, g.gl), m.ml)}})
+    FROM paths x JOIN gap g ON g.p = x.p JOIN moves m ON m.talk = x.talk AND m.i = x.i + 1 AND m.r = g.r
+    GROUP BY x.talk, x.i, m.q
+),
+whole AS (
+    SELECT x.talk, min({{'c': x.best.c + g.gc, 'a': x.best.a || g.gs, 'l': list_concat(x.best.l, g.gl)}}) AS best
+    FROM paths x JOIN counts c ON c.talk = x.talk AND c.n = x.i JOIN gap g ON g.p = x.p AND g.r IN (0, 3) GROUP BY x.talk
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+    coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('c' || conv_id, 'n') AS talk FROM conversations) e
+LEFT JOIN counts USING (talk) LEFT JOIN whole USING (talk)
+"""
