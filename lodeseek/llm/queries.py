@@ -16,6 +16,7 @@ from lodeseek.llm.line_dedup import line_dedup
 from lodeseek.llm.merge_dropout import decode, encode
 from lodeseek.llm.nbsvm import held_out
 from lodeseek.llm.packing import pack, token_pieces
+from lodeseek.llm.phrases import collocations
 from lodeseek.llm.quality import quality_model, quality_scores
 from lodeseek.llm.spot_signatures import edited_fingerprints, fingerprint, likeness
 from lodeseek.llm.substring_dedup import substring_dedup
@@ -316,3 +317,41 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
 FROM (SELECT DISTINCT conv_id, coalesce('c' || conv_id, 'n') AS talk FROM conversations) e
 LEFT JOIN counts USING (talk) LEFT JOIN whole USING (talk)
 """
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"), least=30, top=2000)
+
+
+ORACLE["op12_phrase_collocations"] = r"""
+WITH cut AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+),
+runs AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut, (SELECT unnest([1, 2, 3, 4]) AS k)),
+counted AS (SELECT lang, k, w[i:i + k - 1] AS ws, count(*) AS f FROM runs GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+often AS (SELECT * FROM counted WHERE f >= 30),
+cuts AS (SELECT lang, k, ws, f, unnest(range(1, k)) AS c FROM often WHERE k > 1),
+scored AS (
+    SELECT x.lang, x.k, x.ws, x.f AS a, c, l.f AS l, r.f AS r, (2000000::HUGEINT * x.f) // (l.f::HUGEINT + r.f) AS score
+    FROM cuts x JOIN often l ON l.lang = x.lang AND l.k = c AND l.ws = x.ws[1:c]
+    JOIN often r ON r.lang = x.lang AND r.k = x.k - c AND r.ws = x.ws[c + 1:x.k]
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, ws ORDER BY score, c) = 1),
+inner_runs AS (
+    SELECT lang, m, ws[i:i + m - 1] AS ws, max(f) AS longer FROM (
+        SELECT lang, ws, f, m, unnest(range(1, k - m + 2)) AS i FROM often, (SELECT unnest([2, 3]) AS m) WHERE m < k)
+    GROUP BY ALL
+),
+apart AS (
+    SELECT x.* FROM lowest x LEFT JOIN inner_runs y ON y.lang = x.lang AND y.m = x.k AND y.ws = x.ws
+    WHERE coalesce(100::HUGEINT * longer < 80::HUGEINT * a, true)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank,
+    array_to_string(ws, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM apart JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
