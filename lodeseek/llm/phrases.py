@@ -32,9 +32,9 @@ NO_WORD[[ord(" "), ord("\t")]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 LONGEST = 4
-SLICE = 12 << 20  # bytes of text that one filter is made of
-RUN = 1 << 21  # words that are looked at together
-PENDING = 4 << 20  # entries that wait for a merge
+SLICE = 5 << 20  # bytes of text that one filter is made of
+RUN = 1 << 19  # words that are looked at together
+PENDING = 2 << 20  # entries that wait for a merge
 PART_BYTES = 48 << 20
 LEAST_BITS, MOST_BITS = 20, 28  # of a bitmap: 128 KB to 32 MB
 
