@@ -543,3 +543,16 @@ ORACLE: dict[str, str] = {
       LEFT JOIN (SELECT project, repository, ref, true AS known FROM branches) USING (project, repository, ref)
       WHERE change_type = 'DELETE' OR known"""),
 }
+
+ORACLE |= {f"stored_match_{name}": ORACLE[f"match_{name}"] for name in (
+    "all_terms boolean wildcard fuzzy fuzzy_two phrase phrase_path sloppy sloppy_repeat prefix regex range hash message").split()}
+ORACLE |= {f"stored_{name}": ORACLE[name] for name in ("rank_tfidf", "rank_boosted", "rank_any", "rank_phrase", "top_page")}
+
+# The same over the documents of the new tips.
+_NEW_FILES = f"""SELECT {_FILE_COLUMNS} FROM (SELECT project, repository, blob, path, list(ref) AS refs, any_value(contents) AS contents
+  FROM newtree SEMI JOIN ({_SELECTED}) USING (project, repository, ref)
+  WHERE strlen(contents) <= 262144 GROUP BY project, repository, blob, path)"""
+ORACLE["stored_update_rank"] = _with(
+    "newtree repos toks", f"SELECT doc_id, {_THE_EN_SCORE} AS score FROM toks, s WHERE {_THE_EN_WHERE}", files=_NEW_FILES, s=_THE_EN)
+ORACLE["stored_update_vocabulary"] = _with(
+    "newtree repos words", "SELECT field, term, count(DISTINCT doc_id) AS df FROM words GROUP BY ALL", files=_NEW_FILES)

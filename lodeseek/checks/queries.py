@@ -18,6 +18,7 @@ from lodeseek.operators.match import (
     All, AnyOf, Everything, Field, Fuzzy, Not, NumberRange, Phrase, Prefix, Regex, Term, TermRange, Wildcard,
     commit_fields, file_fields, matched_forms,
 )
+from lodeseek.operators.occurrences import TokenIndex, with_evidence, write_index
 from lodeseek.plans import indexing, search as plan
 from lodeseek.session import shared_dir
 from lodeseek.settings import Limits
@@ -488,6 +489,101 @@ def rank_phrase(spark: SparkSession, d: str) -> DataFrame:
     return plan.search(_corpus(spark, d), request).select("doc_id", "score")
 
 
+# --- the same from stored token rows
+
+_INDEXES: dict[tuple[str, str], TokenIndex] = {}  # one for each session and folder
+
+
+def _index(spark: SparkSession, d: str) -> TokenIndex:
+    """Token rows of all files, commits and messages, written once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        parts = [(_files(spark, d), FILE_FIELDS), (_commits(spark, d), COMMIT_FIELDS), (src.message_commits(spark, d), COMMIT_FIELDS)]
+        _INDEXES[key] = write_index(f"{shared_dir(spark)}/{uuid.uuid4()}/tokens", parts)
+    return _INDEXES[key]
+
+
+def _stored(spark: SparkSession, d: str, condition, docs: DataFrame | None = None, fields=FILE_FIELDS) -> DataFrame:  # noqa: ANN001
+    docs = _files(spark, d) if docs is None else docs
+    rows, stored = with_evidence(docs, _index(spark, d), condition, fields)
+    return rows.filter(condition.test(stored))
+
+
+def _token_corpus(spark: SparkSession, d: str) -> plan.Corpus:
+    index = _index(spark, d)
+    numbers = {"file": _files(spark, d).count(), "commit": _commits(spark, d).count()}
+    return replace(_corpus(spark, d), tokens=index, vocabulary=index.vocabulary(), documents=numbers)
+
+
+STORED_CONDITIONS = {
+    "all_terms": All(Term("The"), Term("en"), Term("java")),
+    "boolean": All(Term("the"), AnyOf(Term("ing"), Term("tion")), Not(Term("md", field="path"))),
+    "wildcard": Wildcard("t?e*ing"),
+    "fuzzy": Fuzzy("there", field="contents"),
+    "fuzzy_two": Fuzzy("nation", field="contents"),
+    "phrase": Phrase("the of"),
+    "phrase_path": Phrase("en/src3", field="path"),
+    "sloppy": Phrase("the of and", slop=4),
+    "sloppy_repeat": Phrase("the of the", slop=3),
+    "prefix": Prefix("thi", field="contents"),
+    "regex": Regex("er[aeiou]+[a-z]{0,2}tion", field="contents"),
+    "range": TermRange("zu", "zz", field="contents"),
+}
+
+
+def _stored_match(name: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _stored(spark, d, STORED_CONDITIONS[name]).select("doc_id")
+
+    run.__name__ = f"stored_match_{name}"
+    query(run)
+
+
+for _name in STORED_CONDITIONS:
+    _stored_match(_name)
+
+
+@query
+def stored_match_hash(spark: SparkSession, d: str) -> DataFrame:
+    whole = "902ba3cda1883801594b6e1b452790cc53948fda"
+    condition = AnyOf(Term(whole), Term(whole[:12]), Wildcard("b1d57811*"))
+    return _stored(spark, d, condition, _commits(spark, d), COMMIT_FIELDS).select("doc_id", "hash")
+
+
+@query
+def stored_match_message(spark: SparkSession, d: str) -> DataFrame:
+    condition = AnyOf(All(Term("ÉTÉ les"), Not(Phrase("de la", field="body"))), Phrase("les eau"))
+    return _stored(spark, d, condition, src.message_commits(spark, d), COMMIT_FIELDS).select("doc_id")
+
+
+@query
+def stored_rank_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return plan.search(_token_corpus(spark, d), plan.Search(query="the", code=True)).select("doc_id", "score")
+
+
+@query
+def stored_rank_boosted(spark: SparkSession, d: str) -> DataFrame:
+    request = plan.Search(query="the en", code=True, filenames=True)
+    return plan.search(_token_corpus(spark, d), request).select("doc_id", "score")
+
+
+@query
+def stored_rank_any(spark: SparkSession, d: str) -> DataFrame:
+    request = plan.Search(query=AnyOf(Term("ing"), Term("sql", boost=2.0), Wildcard("zen*")), code=True, filenames=True)
+    return plan.search(_token_corpus(spark, d), request).select("doc_id", "score")
+
+
+@query
+def stored_rank_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return plan.search(_token_corpus(spark, d), plan.Search(query=Phrase("the of"), code=True)).select("doc_id", "score")
+
+
+@query
+def stored_top_page(spark: SparkSession, d: str) -> DataFrame:
+    request = plan.Search(query="the en", code=True, filenames=True, page=1)
+    return plan.search_page(_token_corpus(spark, d), request)
+
+
 # --- the same through token tables
 
 @query
@@ -808,6 +904,28 @@ def store_update(spark: SparkSession, d: str) -> DataFrame:
     return _shape(store.read("files"))
 
 
+def _updated_store(spark: SparkSession, d: str) -> DocumentStore:
+    """A store with token rows of the old tips, brought to the new ones."""
+    store = _store(spark)
+    indexing.full_build(store, _old_sources(spark, d), LIMITS, tokens=True)
+    indexing.update_all(store, _sources(spark, d), LIMITS)
+    return store
+
+
+@query
+def stored_update_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Scores after an update, from token rows and word counts that the update appended to."""
+    corpus = plan.stored_corpus(_updated_store(spark, d), tokens=True)
+    return plan.search(corpus, plan.Search(query="the en", code=True, filenames=True)).select("doc_id", "score")
+
+
+@query
+def stored_update_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies after an update: what came and went is added up."""
+    words = plan.stored_corpus(_updated_store(spark, d), tokens=True).vocabulary
+    return words.filter(F.col("field").isin("contents", "path"))
+
+
 @query
 def store_purge(spark: SparkSession, d: str) -> DataFrame:
     """A repository that the catalog no longer lists is deleted, another one is begun anew."""

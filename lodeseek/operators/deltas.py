@@ -70,6 +70,13 @@ def update_documents(docs: DataFrame, changes: DataFrame) -> DataFrame:
     return docs.join(change, "doc_id", "left").withColumn("refs", refs).filter(F.size("refs") > 0).select(*docs.columns)
 
 
+def removed_documents(docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Existing documents that the changes leave without a ref."""
+    dropped = changes.filter(F.size("drop_refs") > 0).select("doc_id", "add_refs", "drop_refs")
+    refs = merged_refs(F.col("refs"), F.col("add_refs"), F.col("drop_refs"))
+    return docs.join(dropped, "doc_id").filter(F.size(refs) == 0).select(*docs.columns)
+
+
 def documents_to_insert(docs: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes that add refs to a document which does not exist yet."""
     added = changes.filter(F.size("add_refs") > 0)

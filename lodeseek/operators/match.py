@@ -120,12 +120,21 @@ class Field:
             head = _start(inner[0]) if parts[0] else "(?i)" + inner[0]
             tail = "".join(rf"\w*{p}" for p in inner[1:])
             return self.text.rlike(head + tail + (_END if parts[-1] else ""))
-        body = "".join({"?": ".", "*": ".*"}.get(c, re.escape(c)) for c in wildcard.lower())
-        return self.any_token(lambda t: t.rlike(rf"(?s)\A(?:{body})\z"))
+        return self.any_token(lambda t: t.rlike(rf"(?s)\A(?:{wildcard_body(wildcard)})\z"))
 
     def any_token(self, test: Callable[[Column], Column]) -> Column:
         return F.exists(self.tokens, test)
 
+    def meets(self, leaf: Condition) -> Column:
+        """Some token is one that a wildcard, pattern, range or fuzzy word stands for."""
+        if isinstance(leaf, Wildcard):
+            return self.has_like(leaf.pattern)
+        return self.any_token(leaf.word_test(self))
+
+
+def wildcard_body(pattern: str) -> str:
+    return "".join({"?": ".", "*": ".*"}.get(c, re.escape(c)) for c in pattern.lower())
+
 
 def _near(toks: Column, run: Sequence[str], slop: int) -> Column:
     """Slide over the positions of the words only; every look goes at most ``slop`` further."""
@@ -201,6 +210,10 @@ class Condition:
     def frequency(self, field: Field) -> Column:
         return F.lit(1)
 
+    def word_test(self, field: Field) -> Callable[[Column], Column] | None:
+        """What a single token of the field must meet; None if none can."""
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class Term(Condition):
@@ -249,7 +262,12 @@ class Wildcard(Condition):
     boost: float = 1.0
 
     def in_field(self, field: Field) -> Column:
-        return field.has_like(self.pattern)
+        return field.meets(self)
+
+    def word_test(self, field: Field) -> Callable[[Column], Column] | None:
+        if field.analyzer == "code" and not re.fullmatch(r"[A-Za-z0-9_?*]+", self.pattern):
+            return None
+        return lambda t: t.rlike(rf"(?s)\A(?:{wildcard_body(self.pattern)})\z")
 
 
 def Prefix(start: str, field: str | None = None, boost: float = 1.0) -> Wildcard:  # noqa: N802
@@ -274,7 +292,10 @@ class Regex(Condition):
             raise ValueError(f"not a regular expression: {self.pattern}") from error
 
     def in_field(self, field: Field) -> Column:
-        return field.any_token(lambda t: t.rlike(rf"\A(?:{self.pattern})\z"))
+        return field.meets(self)
+
+    def word_test(self, field: Field) -> Callable[[Column], Column]:
+        return lambda t: t.rlike(rf"\A(?:{self.pattern})\z")
 
 
 @dataclass(frozen=True)
@@ -287,11 +308,14 @@ class TermRange(Condition):
     boost: float = 1.0
 
     def in_field(self, field: Field) -> Column:
+        return field.meets(self)
+
+    def word_test(self, field: Field) -> Callable[[Column], Column]:
         def within(t: Column) -> Column:
             above = t >= self.low.lower() if self.low is not None else F.lit(True)
             return above & (t <= self.high.lower() if self.high is not None else F.lit(True))
 
-        return field.any_token(within)
+        return within
 
 
 @dataclass(frozen=True)
@@ -330,9 +354,15 @@ class Fuzzy(Condition):
             raise ValueError("a word is searched within 0, 1 or 2 edits")
 
     def in_field(self, field: Field) -> Column:
-        word = self.word if field.analyzer == "exact" else self.word.lower()
+        return field.meets(self)
+
+    def wanted(self, field: Field) -> str:
+        return self.word if field.analyzer == "exact" else self.word.lower()
+
+    def word_test(self, field: Field) -> Callable[[Column], Column]:
+        word = self.wanted(field)
         limit = default_edits(word) if self.edits is None else self.edits
-        return field.any_token(lambda t: within_edits(t, word, limit))
+        return lambda t: within_edits(t, word, limit)
 
 
 def default_edits(word: str) -> int:
@@ -449,8 +479,7 @@ def _form_test(leaf: Condition, field: Field) -> Callable[[Column], Column] | No
         wanted = field.analyze(leaf.words)
         return (lambda t: F.lower(t).isin(wanted)) if wanted else None
     if isinstance(leaf, Wildcard):
-        body = "".join({"?": ".", "*": ".*"}.get(c, re.escape(c)) for c in leaf.pattern.lower())
-        return lambda t: F.lower(t).rlike(rf"\A(?:{body})\z")
+        return lambda t: F.lower(t).rlike(rf"\A(?:{wildcard_body(leaf.pattern)})\z")
     if isinstance(leaf, Regex):
         return lambda t: F.lower(t).rlike(rf"\A(?:{leaf.pattern})\z")
     if isinstance(leaf, TermRange):

@@ -54,7 +54,7 @@ def vocabulary_statistics(vocabulary: DataFrame, documents: int, parts: Sequence
 
     def df_of(f: Field, t: str) -> Column:
         own = F.when((F.col("field") == f.name) & (F.col("term") == t), F.col("df"))
-        return F.coalesce(F.max(own), F.lit(0)).alias(_name(f, t))
+        return F.coalesce(F.sum(own), F.lit(0)).alias(_name(f, t))
 
     row = vocabulary.filter(here).agg(F.lit(documents).cast("bigint").alias("n"), *[df_of(f, t) for f, t in pairs])
     return row.select(F.struct(*[_column(c) for c in row.columns]).alias("s")).scalar()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import keys
 from lodeseek.operators import deltas
 from lodeseek.operators.match import commit_fields, file_fields
+from lodeseek.operators.occurrences import append_rows
 from lodeseek.operators.postings import vocabulary
 from lodeseek.schemas import REPO_KEY, TABLES
 from lodeseek.settings import Limits
@@ -83,8 +84,11 @@ def reindex_ref(
     return apply_delta(cleared, deltas.tree_delta(now.limit(0), now), blobs, limits)
 
 
-def full_build(store: DocumentStore, sources: Sources, limits: Limits) -> int | None:
-    """Writes a whole new version; readers keep the old one until it is published."""
+def full_build(store: DocumentStore, sources: Sources, limits: Limits, tokens: bool = False) -> int | None:
+    """Writes a whole new version; readers keep the old one until it is published.
+
+    With ``tokens`` it also writes token rows, which later updates keep current.
+    """
     if not limits.indexing_enabled:
         return None
     version = store.begin()
@@ -98,7 +102,9 @@ def full_build(store: DocumentStore, sources: Sources, limits: Limits) -> int |
     }
     for table, df in rows.items():
         store.write(table, df)
-    store.publish(version, dict.fromkeys(rows))
+    if tokens:
+        append_rows(store.append, [(store.written("files"), file_fields(limits)), (store.written("commits"), commit_fields(limits))])
+    store.publish(version, dict.fromkeys(rows), tokens)
     return version
 
 
@@ -153,6 +159,8 @@ def sync_refs(
         "commits": store.stage(deltas.commit_changes(gained, lost), "commit_changes"),
     }
     replaced: dict[str, list[int] | None] = {}
+    fields = {"files": file_fields(limits), "commits": commit_fields(limits)}
+    added, removed = [], []
     for table, docs in (("files", files), ("commits", commits)):
         change = changes[table]
         replaced[table] = sorted(set(_buckets(store, change, "doc_id")) | gone(docs, "doc_id"))
@@ -167,6 +175,12 @@ def sync_refs(
             new = snapshots.build_files(missing, store.stage(blobs, "new_blobs"), limits)
         else:
             new = snapshots.build_commits(missing, sources.log)
+        if store.has_tokens(old_version):
+            new = store.stage(new, f"added_{table}")
+            added.append((new, fields[table]))
+            removed.append((deltas.removed_documents(touched, change), fields[table]))
+            if purged is not None:
+                removed.append((docs.join(purged, list(REPO_KEY), "left_semi"), fields[table]))
         store.write(table, deltas.update_documents(touched, change).unionByName(new))
     fresh = tips.select(*REF_KEY, F.col("tip").alias("hash"))
     moved = marks.join(wanted, REF_KEY, "left_semi").select(*fresh.columns)
@@ -184,7 +198,9 @@ def sync_refs(
             store.write(table, others.select(*TABLES[table].names).unionByName(mine.select(*TABLES[table].names)))
     if not any(replaced.values()):
         return old_version
-    store.publish(version, replaced)
+    if added:
+        append_rows(store.append, added, removed)
+    store.publish(version, replaced, bool(added))
     return version
 
 

@@ -15,7 +15,9 @@ from lodeseek.functions.keys import Buckets
 from lodeseek.operators import filters as flt
 from lodeseek.operators import hits as shape
 from lodeseek.operators import ranking, snippets, statistics
+from lodeseek.operators.occurrences import TokenIndex, with_evidence
 from lodeseek.operators.match import Condition, Field, all_terms, commit_fields, file_fields, matched_forms
+from lodeseek.schemas import APPENDED
 from lodeseek.settings import Limits
 from lodeseek.sources.store import DocumentStore
 
@@ -66,20 +68,29 @@ class Corpus:
     vocabulary: DataFrame | None = None
     documents: dict[str, int] | None = None  # per type, behind ``vocabulary``
     buckets: Buckets | None = None  # how stored tables are split
+    tokens: TokenIndex | None = None  # token rows that are searched in place of the texts
 
 
 def stored_corpus(
     store: DocumentStore, repositories: DataFrame | None = None, grants: DataFrame | None = None,
-    version: int | None = None,
+    version: int | None = None, tokens: bool = False,
 ) -> Corpus:
-    """The tables of a stored version, with its vocabulary where one was written."""
+    """The tables of a stored version, with its vocabulary where one was written.
+
+    With ``tokens`` searches read the version's token rows and no texts; a version without them is refused.
+    """
     version = store.latest() if version is None else version
-    vocabulary = store.vocabulary(version)
+    index = None
+    if tokens:
+        if not store.has_tokens(version):
+            raise ValueError(f"version {version} has no token rows: build it with full_build(..., tokens=True)")
+        index = TokenIndex(**{name: store.read_appended(name, version) for name in APPENDED})
+    vocabulary = index.vocabulary() if index else store.vocabulary(version)
     documents = None
     files, commits = store.read("files", version), store.read("commits", version)
     if vocabulary is not None:
         documents = {flt.FILE: files.count(), flt.COMMIT: commits.count()}  # from file footers
-    return Corpus(files, commits, repositories, grants, vocabulary, documents, store.buckets)
+    return Corpus(files, commits, repositories, grants, vocabulary, documents, store.buckets, index)
 
 
 def _parts(corpus: Corpus, request: Search) -> list[tuple[str, DataFrame, list[Field]]]:
@@ -130,6 +141,8 @@ def search(corpus: Corpus, request: Search, scored: bool = True) -> DataFrame:
         # A part without a number column is beyond any bound on it.
         absent = request.condition.number_columns()
         df = df.withColumns({c: F.lit(None).cast("double") for c in absent if c not in df.columns})
+        if corpus.tokens is not None:
+            df, fields = with_evidence(df, corpus.tokens, request.condition, fields)
         df = df.filter(request.condition.test(fields))
         df = ranking.with_score(df, request.condition, fields, stats) if scored else df.withColumn("score", F.lit(1.0))
         df = df.withColumn("doc_type", F.lit(doc_type))

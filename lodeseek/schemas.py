@@ -38,6 +38,14 @@ REF_EVENTS = _struct(
 
 # ``tree`` and ``reach`` are the snapshots that were indexed, files and commits without a document included.
 TABLES = {"files": FILES, "commits": COMMITS, "checkpoints": CHECKPOINTS, "tree": TREE, "reach": REACH}
+# Tables that grow with every version and are never rewritten; a full build begins them anew.
+_B, _L = T.BooleanType(), T.LongType()
+APPENDED = {
+    "tokens": _struct(field=_S, term=_S, doc_id=_S, positions=T.ArrayType(_I), length=_I),
+    "words": _struct(field=_S, term=_S, df=_L),
+    "rotations": _struct(field=_S, rotated=_S, term=_S, long=_B),
+    "deletions": _struct(field=_S, left=_S, term=_S),
+}
 # What tells rows of one repository apart.
 UNITS = {"files": "doc_id", "commits": "doc_id", "checkpoints": "ref", "tree": "path", "reach": "hash"}
 REPO_KEY = ("project", "repository")

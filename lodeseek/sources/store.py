@@ -4,6 +4,7 @@ A version is a set of bucket folders. A new version writes the buckets it change
 others from before, so readers of an older version are never disturbed:
 
     <root>/<table>/attempt=<id>/bucket=<b>/*.parquet
+    <root>/<appended table>/attempt=<id>/*.parquet   token rows: each version names all attempts up to it
     <root>/versions/version=<v>/*.parquet            written last: the version exists from then on
 
 Every attempt at a version writes folders of its own, so one that was cut off is in nobody's way:
@@ -21,7 +22,7 @@ from pyspark.sql.utils import AnalysisException
 
 from lodeseek.functions.keys import Buckets
 from lodeseek.operators.filters import bucket_filter, one_repository
-from lodeseek.schemas import TABLES, UNITS
+from lodeseek.schemas import APPENDED, TABLES, UNITS
 
 _MANIFEST = "table string, bucket int, written string, groups int, slices int"
 _HEADER = ""  # in the place of a table: names the attempt of the version itself
@@ -108,6 +109,28 @@ class DocumentStore:
         ordered = rows.sortWithinPartitions("bucket", "project", "repository", unit)
         ordered.write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.root}/{table}/attempt={self._attempt}")
 
+    def written(self, table: str) -> DataFrame:
+        """What the attempt begun last wrote of a table."""
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/attempt={self._attempt}")
+
+    def append(self, table: str, df: DataFrame) -> DataFrame:
+        """Writes what the attempt begun last adds to an appended table, and reads that back."""
+        folder = f"{self.root}/{table}/attempt={self._attempt}"
+        df.select(*APPENDED[table].names).write.mode("errorifexists").parquet(folder)
+        return self.spark.read.schema(APPENDED[table]).parquet(folder)
+
+    def read_appended(self, table: str, version: int | None = None) -> DataFrame:
+        """All rows that a version and those before it appended."""
+        version = self.latest() if version is None else version
+        paths = [f"{self.root}/{t}/attempt={written}" for t, _, written in self._manifest(version) if t == table]
+        if not paths:
+            return self.spark.createDataFrame([], APPENDED[table])
+        return self.spark.read.schema(APPENDED[table]).parquet(*paths)
+
+    def has_tokens(self, version: int | None = None) -> bool:
+        version = self.latest() if version is None else version
+        return any(table in APPENDED for table, _, _ in self._manifest(version))
+
     def written_buckets(self, table: str) -> list[int]:
         try:
             df = self.spark.read.parquet(f"{self.root}/{table}/attempt={self._attempt}")
@@ -115,9 +138,11 @@ class DocumentStore:
         except AnalysisException:  # no bucket has a row left
             return []
 
-    def publish(self, version: int, replaced: dict[str, list[int] | None]) -> None:
+    def publish(self, version: int, replaced: dict[str, list[int] | None], appended: bool = False) -> None:
         """Makes the attempt begun last a version. ``replaced`` names the buckets each table rewrote (None: all).
 
+        ``appended`` says that the attempt wrote to the appended tables.
+
         Fails if the version exists or another one came since ``begin``, which is how a second
         concurrent writer is refused.
         """
@@ -133,6 +158,10 @@ class DocumentStore:
             if buckets is not None:
                 gone = set(buckets)
                 rows += [r for r in before if r[0] == table and r[1] not in gone]
+        if replaced.get("files", []) is not None:  # not built anew
+            rows += [r for r in before if r[0] in APPENDED]
+        if appended:
+            rows += [(table, -1, self._attempt) for table in APPENDED]
         split = (self.buckets.groups, self.buckets.slices)
         manifest = self.spark.createDataFrame([(*r, *split) for r in rows], _MANIFEST).coalesce(1)
         manifest.write.mode("errorifexists").parquet(f"{self.root}/versions/version={version}")
@@ -162,7 +191,7 @@ class DocumentStore:
         kept = {r for v in versions if v >= oldest for r in self._manifest(v)}
         old = [v for v in versions if v < oldest]
         gone = {r for v in old for r in self._manifest(v)} - kept
-        folders = {f"{t}/attempt={w}/bucket={b}" for t, b, w in gone if t != _HEADER}
+        folders = {f"{t}/attempt={w}" + ("" if t in APPENDED else f"/bucket={b}") for t, b, w in gone if t != _HEADER}
         folders |= {f"staging/attempt={w}" for t, _, w in gone if t == _HEADER}
         folders |= {f"vocabulary/version={v}" for v in old}
         # The manifests go first: a version without one does not exist, whatever files are left.
