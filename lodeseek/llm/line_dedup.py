@@ -24,25 +24,24 @@ def _small(hosts: DataFrame) -> DataFrame:
 
 
 def boilerplate_lines(
-    df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 10,
-    copies: bool = True,
+    df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, least: int = 2,
+    copies: bool = False,
 ) -> DataFrame:
     """``host`` and ``lines``: hashes of the lines on more than ``max_ratio`` of the host's pages.
 
-    A row is a page, and without ``copies`` a distinct text of a host is. A line counts once for each page; blank ones don't count. Hosts of fewer than ``min_pages``
-    pages have none, and neither have rows without a host. A host has at most its mean number of
-    lines per page / ``max_ratio`` of them.
+    A page is a distinct text of a host; with ``copies`` every row is one. A line counts once for each page;
+    blank ones don't count, nor does a line on fewer than ``least`` pages, as it repeats nothing. Rows without a
+    host have none. A host has at most its mean number of lines per page / ``max_ratio`` of them.
     """
     pages = df.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     pages = pages.where("host is not null")
     each = F.xxhash64("text")
     totals = pages.groupBy("host").agg((F.count("*") if copies else F.countDistinct(each)).alias("pages"))
-    totals = totals.where(F.col("pages") >= min_pages)
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _counted), lambda line: F.xxhash64(line)))
     there = pages.where("text is not null")
 
     def often(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_ratio * min_pages)
+        counts = rows.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
         common = counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("pages"))
         return common.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
@@ -56,18 +55,18 @@ def boilerplate_lines(
 
 
 def line_dedup(
-    df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 10,
-    copies: bool = True,
+    df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = 0.1, least: int = 2,
+    copies: bool = False,
 ) -> DataFrame:
     """``df`` without the boilerplate lines of each row's host, and ``n_lines``, ``n_dropped`` (int).
 
     See ``boilerplate_lines`` for what goes: every occurrence on that host, the first one too. Lines end
     at ``\\n`` and are compared as they stand; those kept are joined by ``\\n``, so a text can become empty.
-    A null text stays null with 0 lines, a row without a host stays as it is. Repeated rows count as
-    pages unless ``copies`` is false: then copies of a text are one page, so that they don't make its lines
-    boilerplate, and null texts of a host are one as well. Columns ``n_lines`` and ``n_dropped`` of ``df`` are replaced. An empty table gives an empty one.
+    A null text stays null with 0 lines, a row without a host stays as it is. Copies of a text are one
+    page, so that they don't make its lines boilerplate, and null texts of a host are one as well; with
+    ``copies`` every row is a page. Columns ``n_lines`` and ``n_dropped`` of ``df`` are replaced. An empty table gives an empty one.
     """
-    hosts = _small(staged(boilerplate_lines(df, host_col, text_col, max_ratio, min_pages, copies)))
+    hosts = _small(staged(boilerplate_lines(df, host_col, text_col, max_ratio, least, copies)))
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped") or c in (host_col, text_col)]
     plain = df.select(names).toDF(*[f"c{k}" for k in range(len(names))])
     host, text = (F.col(f"c{names.index(c)}").cast("string") for c in (host_col, text_col))
