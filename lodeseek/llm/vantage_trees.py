@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodeseek.llm.staging import gathered, on_executors, scattered, shuffle_partitions, staged
 from lodeseek.llm.words import mix
 
-SHARD, BLOCK, LEAF, SPARE = 8192, 1024, 96, 12
+SHARD, BLOCK, LEAF = 8192, 1024, 96
 BAND = 6  # lengths within a factor of 2 ** (1 / BAND) share shards
 TRIAL, ENOUGH = 32, 0.97  # queries of a block that are compared with a whole shard, and the part to be found
 
@@ -165,6 +165,32 @@ class Tree:
             walk(np.arange(count), 0, len(lifted))
         return place
 
+    def within(self, queries: np.ndarray, least: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place) of all points whose product with a query is its ``least`` or more, however many tie."""
+        lifted, nodes = self.lifted, self.nodes
+        twice = 2 * float((lifted[0] ** 2).sum()) if len(lifted) else 0.0
+        reach = np.sqrt(np.maximum(twice - 2 * least, 0))
+        who, where = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def walk(rows: np.ndarray, lo: int, hi: int) -> None:
+            if not len(rows):
+                return
+            if (lo, hi) not in nodes:
+                row, place = np.nonzero(queries[rows] @ lifted[lo:hi].T >= least[rows][:, None])
+                who.append(rows[row])
+                where.append(place + lo)
+                return
+            vantage, middle, radius = nodes[(lo, hi)]
+            beyond = np.sqrt(np.maximum(twice - 2 * (queries[rows] @ lifted[vantage]), 0)) - radius
+            walk(rows[beyond * factor <= reach[rows]], lo, middle)
+            walk(rows[-beyond * factor <= reach[rows]], middle, hi)
+
+        if len(lifted):
+            walk(np.arange(len(queries)), 0, len(lifted))
+        who, where = np.concatenate(who), np.concatenate(where)
+        order = np.argsort(who, kind="stable")
+        return who[order], where[order]
+
 
 def lift(vectors: np.ndarray, longest: float) -> np.ndarray:
     """Vectors with a coordinate that makes each ``longest`` long."""
@@ -252,11 +278,17 @@ def _found(kind: type, k: int, factor: float):
                 }
                 scaled = queries * (longest / np.linalg.norm(queries, axis=1))[:, None]
                 raised = np.concatenate([scaled, np.zeros((len(scaled), 1))], 1)
-                wanted = min(k + SPARE, max(1, len(points)))
-                place = tree.search(raised, wanted, kept_factor(tree, raised, wanted, factor))
+                # One more than k, as a query may find itself; then all that tie with the last of them.
+                wanted = min(k + 1, max(1, len(points)))
+                own_factor = kept_factor(tree, raised, wanted, factor)
+                place = tree.search(raised, wanted, own_factor)
+                dots = np.einsum("qd,qkd->qk", raised, tree.lifted[place])
+                least = np.where((place >= 0).all(1), np.where(place >= 0, dots, np.inf).min(1), -np.inf)
+                who, where = tree.within(raised, least - 1e-9 * np.maximum(longest ** 2, np.abs(least)), own_factor)
+                bounds = np.searchsorted(who, np.arange(len(queries) + 1))
                 out_q, out_v, out_s = [], [], []
-                for q, places in enumerate(place):
-                    places = places[places >= 0]
+                for q in range(len(queries)):
+                    places = np.union1d(where[bounds[q]:bounds[q + 1]], place[q][place[q] >= 0])
                     exact = inner_products(points[places], queries[q])
                     names = np.concatenate([ids[at[p]:at[p + 1]] for p in places])
                     scores = np.repeat(exact, counts[places])
