@@ -90,11 +90,8 @@ class Model:
         return 1 / (1 + float(np.exp(-np.clip(self.slope * self.margin(self.grams.places(text)) + self.shift, -50, 50))))
 
 
-def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, dims: int, clear: float = 3.0) -> np.ndarray:
-    """log P(feature | 1) / P(feature | 0), smoothed by one; 0 where the classes differ by chance.
-
-    That is by less than ``clear`` standard deviations of the counts, so rare features go as well.
-    """
+def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, dims: int) -> np.ndarray:
+    """log P(feature | 1) / P(feature | 0), smoothed by one."""
     counts = []
     for label in (1, 0):
         total = np.zeros(dims, np.float64)
@@ -104,8 +101,6 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, dims: int, clea
         counts.append((total, int((labels == label).sum())))
     (p, n), (q, m) = counts
     ratio = np.log((p + 1) / (n + 2)) - np.log((q + 1) / (m + 2))
-    spread = np.sqrt(p / max(1, n) ** 2 + q / max(1, m) ** 2)
-    ratio[np.abs(p / max(1, n) - q / max(1, m)) <= clear * spread] = 0
     return ratio.astype(np.float32)
 
 
@@ -199,9 +194,10 @@ def _fitted(grams: Grams, share: float):
         for batch in batches:
             ids, _ = long_array(batch.column(0))
             for doc, label, raw in zip(ids.tolist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                known[(doc, label)] = np.frombuffer(raw.as_py(), np.int32)
+                row = raw.as_py()
+                known[(doc, label)] = min(known.get((doc, label), row), row)
         keys = sorted(known)
-        model = fit_rows([known[k] for k in keys], np.array([k[1] for k in keys], np.int64), share, grams)
+        model = fit_rows([np.frombuffer(known[k], np.int32) for k in keys], np.array([k[1] for k in keys], np.int64), share, grams)
         yield pa.record_batch({
             "ratio": pa.array([model.ratio.tobytes()], pa.binary()),
             "weight": pa.array([model.weight.tobytes()], pa.binary()),
@@ -217,7 +213,7 @@ def train(
     """The model of a sample of at most ``per_class`` labelled documents of each class.
 
     ``labels`` has ``id_col`` and ``label_col`` (0 or 1). Rows without id or label are left out, and so are
-    documents with both labels. Of rows that repeat an id one is taken. With one class only
+    documents with both labels. Of rows that repeat an id the one of the least features is taken. With one class only
     the score is that class's share; with no label it is 0.5.
     """
     spark = docs.sparkSession
