@@ -2,14 +2,15 @@
 
 Documents (cut into pieces only where they are too long) are range-sorted by length, so each has a
 rank in its length class. Lengths and gaps are whole numbers up to ``max_tokens``; equal gaps form
-one class. A superstep takes the next shorter class of pieces, sweeps the gap classes upwards from
-the piece's length (its successors), and gives sequences of a class to pieces in the order of
-ranks, so that no two pieces want the same gap; the gaps left over are the next step's. Executors
-look up their ranges of ranks in the matches.
+one class. The matching itself is made on the driver, from the numbers of pieces of each length and of
+sequences of each gap: a class of pieces takes the smallest gaps that hold it, in the order of ranks.
+That is exact best fit, and what the driver holds is bounded by ``max_tokens``. Executors look up their
+ranges of ranks in the matches.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,11 +26,11 @@ from lodeseek.llm.tokenizing import encoder, sent
 IDS = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def _pieces(name: str, max_tokens: int, end_id: int, with_ids: bool):
+def _pieces(name: str, whole: str, max_tokens: int, end_id: int, with_ids: bool):
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(name).ids
+        encode = encoder(name, whole).ids
         for batch in slices(batches, "text", 4 << 20):
             docs, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -56,19 +57,21 @@ def _pieces(name: str, max_tokens: int, end_id: int, with_ids: bool):
 
 def token_pieces(
     df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 1024,
-    end_id: int = 2, with_ids: bool = True,
+    end_id: int = 2, with_ids: bool = True, whole_path: str | None = None,
 ) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``ids`` of each piece of each row.
 
     A text's ids are those of the byte-level BPE in ``ranks_path``, then ``end_id``; a null or empty text
     has ``end_id`` alone. A text of more than ``max_tokens`` ids is cut into pieces of that many, the
     first one being what is left over. ``ids`` holds little-endian 32-bit ids (null unless ``with_ids``).
+    ``whole_path`` is the same vocabulary for the library that encodes texts with very long runs of white
+    space; unless given, the ``.json`` file beside ``ranks_path``.
     """
     spark = df.sparkSession
     on_executors(spark)
-    name = sent(spark, ranks_path)
+    name, whole = sent(spark, ranks_path), sent(spark, whole_path or f"{os.path.splitext(ranks_path)[0]}.json")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_pieces(name, max_tokens, end_id, with_ids), IDS)
+    return docs.mapInArrow(_pieces(name, whole, max_tokens, end_id, with_ids), IDS)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

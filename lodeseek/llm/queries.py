@@ -132,7 +132,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = line_dedup(table(spark, folder, "documents"), "source", "text", max_ratio=0.1, min_pages=10)
+    cleaned = line_dedup(table(spark, folder, "documents"), "source", "text", max_ratio=0.1)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -141,11 +141,11 @@ WITH split AS (
     SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
         unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents
 ),
-pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+pages AS (SELECT source, count(DISTINCT text) + max((text IS NULL)::INTEGER) AS pages FROM documents GROUP BY source),
 often AS (
     SELECT source, line FROM (
-        SELECT source, line, count(DISTINCT doc_id) AS n FROM split WHERE trim(line) <> '' GROUP BY source, line
-    ) JOIN pages USING (source) WHERE pages >= 10 AND n > 0.1 * pages
+        SELECT source, line, count(DISTINCT text) AS n FROM split WHERE trim(line) <> '' GROUP BY source, line
+    ) JOIN pages USING (source) WHERE n >= 2 AND n > 0.1 * pages
 ),
 marked AS (
     SELECT s.doc_id, s.line, s.p, o.line IS NOT NULL AS gone

@@ -18,6 +18,9 @@ _PIECE = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _WIDE_SPACE = re.compile("[" + "".join(map(chr, (
     0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ))) + "]")
+# A run of white space beyond this overflows the stack of the pattern's matcher; such texts go to the other library.
+LONG_RUN = 20_000
+_LONG = re.compile(r"\s{%d}" % LONG_RUN)
 _HELD = 300_000
 _encoders: dict[str, Encoder] = {}
 
@@ -39,10 +42,11 @@ class Encoder(dict):
     encoded independently.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole_path: str) -> None:
         import tiktoken
 
         super().__init__()
+        self._whole_path, self._whole = whole_path, None
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self._plain = tiktoken.Encoding(
@@ -56,7 +60,16 @@ class Encoder(dict):
             self[piece] = raw
         return raw
 
+    def _of_long_runs(self, text: str) -> bytes:
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._whole_path)
+        return array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def ids(self, text: str) -> bytes:
+        if len(text) > LONG_RUN and _LONG.search(text):
+            return self._of_long_runs(text)
         if END_OF_TEXT in text:
             return array("I", self._plain.encode(text, allowed_special="all")).tobytes()
         if _WIDE_SPACE.search(text):
@@ -64,8 +77,8 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
 
-def encoder(name: str) -> Encoder:
-    """The encoder of a file sent by ``sent``, one for each Python worker."""
+def encoder(name: str, whole: str) -> Encoder:
+    """The encoder of two files sent by ``sent``, one for each Python worker."""
     if name not in _encoders:
-        _encoders[name] = Encoder(SparkFiles.get(name))
+        _encoders[name] = Encoder(SparkFiles.get(name), SparkFiles.get(whole))
     return _encoders[name]
