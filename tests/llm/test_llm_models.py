@@ -191,3 +191,21 @@ def test_every_operator_has_a_query():
     names = set(entry.queries())
     assert "pipeline" in names
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+@pytest.mark.parametrize("values", [(-1.0, 1.0), (0.0, 1.0, 2.0)])
+def test_nearest_with_ties_everywhere(spark, monkeypatch, values):
+    from lodeseek.llm import vantage_trees as module
+
+    monkeypatch.setattr(module, "SHARD", 150)
+    monkeypatch.setattr(module, "LEAF", 16)
+    rng = np.random.default_rng(4)
+    vectors = rng.choice(values, (400, 12)).astype(np.float32)
+    vectors[:, 0] += (vectors == 0).all(1)
+    ids = rng.permutation(1000)[:400]
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<float>")
+    queries = sorted(i for i in ids.tolist() if i % 20 == 0)
+    found = module.nearest(frame, frame.where("vec_id % 20 = 0"), k=20, factor=1.0).collect()
+    want = brute(ids, vectors.astype(np.float64), queries, 20)
+    got = {q: sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q) for q in queries}
+    assert got == want

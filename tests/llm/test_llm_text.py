@@ -226,31 +226,53 @@ def test_covers():
 
 
 def lines_left(rows, ratio, least):
-    pages, often = Counter(r[2] for r in rows), defaultdict(Counter)
+    texts, often = defaultdict(set), defaultdict(Counter)
     for _, t, s, *_ in rows:
-        often[s].update({x for x in (t or "").split("\n") if x.strip(" ")})
+        texts[s].add(t)
+    for s, own in texts.items():
+        for t in own:
+            often[s].update({x for x in (t or "").split("\n") if x.strip(" ")})
     out = []
     for d, t, s, *_ in rows:
         if t is None:
             out.append((d, 0, 0, None))
             continue
         every = t.split("\n")
-        kept = [x for x in every if s is None or pages[s] < least or not x.strip(" ") or often[s][x] <= ratio * pages[s]]
+        kept = [x for x in every if s is None or not x.strip(" ") or often[s][x] < least or often[s][x] <= ratio * len(texts[s])]
         out.append((d, len(every), len(every) - len(kept), "\n".join(kept)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("least", [10, 1000])
+@pytest.mark.parametrize("least", [2, 1000])
 def test_line_dedup(spark, least):
     from lodeseek.llm.line_dedup import line_dedup
 
     rows = [(d, None if t is None else f"menu\n{t}\n\nmenu" if d % 3 else t, s) for d, t, s in sample(6)] + [(3, "menu", "s1")]
     frame = table(spark, rows).withColumnRenamed("label", "lines").withColumnRenamed("part", "host")
-    result = line_dedup(frame, max_ratio=0.1, min_pages=least)
+    result = line_dedup(frame, max_ratio=0.1, least=least)
     assert sorted(result.columns) == sorted([*frame.columns, "n_lines", "n_dropped"])
     got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in result.collect()]
     assert sorted(got, key=repr) == lines_left(rows, 0.1, least)
-    assert any(g[2] for g in got) == (least == 10)
+    assert any(g[2] for g in got) == (least == 2)
+
+
+def test_line_dedup_of_small_hosts_and_copies(spark):
+    from lodeseek.llm.line_dedup import line_dedup
+
+    rows = [(k, f"menu\nbody {k}", "nine") for k in range(9)] + [(20, "only\none", "one"), (21, None, "none")]
+    rows += [(30 + k, f"text {k // 2}\nof copies {k // 2}", "twice") for k in range(12)]
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup(table(spark, rows)).collect()]
+    assert sorted(got, key=repr) == lines_left(rows, 0.1, 2)
+    texts = {d: t for d, _, _, t in got}
+    assert texts[0] == "body 0" and texts[20] == "only\none" and texts[30] == texts[31] == "text 0\nof copies 0"
+
+
+def test_line_dedup_of_megabytes(spark):
+    from lodeseek.llm.line_dedup import line_dedup
+
+    rows = [(1, "menu\n" + "x" * 1_000_000, "s"), (2, "menu\n" + "\n".join(map(str, range(100_000))), "s"), (3, "\n" * 1_000_000, "s")]
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup(table(spark, rows)).collect()]
+    assert sorted(got, key=repr) == lines_left(rows, 0.1, 2)
 
 
 def test_line_dedup_of_nothing(spark, monkeypatch):
@@ -594,3 +616,21 @@ def test_occurrences_of_a_word_are_not_segmented_in_a_few_ways_only(spark):
     found = Counter(bytes(r.ids) for r in encode(frame, path, dropout=0.1, seed=1).collect())
     plain = bytes(encode(frame.limit(1), path, dropout=0.0).first().ids)
     assert len(found) > 4 and 0.2 < found[plain] / 3000 < 0.95
+
+
+def test_long_runs_of_white_space_are_tokens_too(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodeseek.llm.packing import pack, token_pieces
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 3_000_000 + "x", "a" + "\n" * 1_000_000, "\u3000" * 300_000 + "y", " \t" * 30_000 + "\u00a0 z", " " * 20_001, " " * 19_999 + "x y"]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    pieces = token_pieces(table(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), max_tokens=1024)
+    found = defaultdict(list)
+    for r in sorted(pieces.collect(), key=lambda r: (r.doc_id, r.start)):
+        found[r.doc_id] += memoryview(r.ids).cast("I").tolist()
+    for k, t in enumerate(texts):
+        assert found[k] == [*own.encode(t, add_special_tokens=False).ids, 2]
+    assert pack(pieces, 1024).count() == pieces.count()
