@@ -40,7 +40,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that more than a tenth of their source's distinct texts have; copies are left to later stages."""
-    return _like(line_dedup(docs, "source", "text", max_ratio=0.1, min_pages=10, copies=False), docs)
+    return _like(line_dedup(docs, "source", "text", max_ratio=0.1), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
