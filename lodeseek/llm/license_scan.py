@@ -1,6 +1,7 @@
 """Licences of files: statements and licence files against templates, and inheritance down the directories.
 
-A unit is a line of a file, or the whole text of a licence file. Units and templates are sparse
+A unit is a line of a file, a run of up to four neighbouring lines, a paragraph, a block of comment lines, or the
+whole text of a licence file, so that a header is seen however it is wrapped. Units and templates are sparse
 TF-IDF vectors; a file declares the licence of its best unit by cosine. A file that declares none takes the
 licence of the nearest directory at or above it that has a licence file. DataFrame functions only.
 """
@@ -10,6 +11,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +43,48 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Released under CC0 1.0 Universal, public domain dedication"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+            "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+            "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+            "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+            "following conditions:"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except "
+                   "in compliance with the License. You may obtain a copy of the License at "
+                   "http://www.apache.org/licenses/LICENSE-2.0"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+                "or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+                "or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of "
+                 "the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+                "MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                     "provided that the following conditions are met: 1. Redistributions of source code must retain "
+                     "the above copyright notice, this list of conditions and the following disclaimer. "
+                     "2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+                     "conditions and the following disclaimer in the documentation and/or other materials provided "
+                     "with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+                     "or promote products derived from this software without specific prior written permission."),
 )
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 _SIGNS = r"[^\p{L}\p{N}]+"
+_PARAGRAPH = r"\n[^\p{L}\p{N}]*\n"
+_NO_COMMENT = r"(?m)^(?![ \t]*(?:#|//|/\*|\*|--|;|%|<!--)).*$"
+RUN_LINES = 4
 BROADCAST_DIRECTORIES = 100_000
 BROADCAST_WORDS = 200_000
 
@@ -58,19 +101,58 @@ def _idf(documents: int, often: int) -> float:
     return math.log((1 + documents) / (1 + often)) + 1
 
 
-def telling_words(weights: dict[str, float], threshold: float) -> set[str]:
+def _constants(words: Iterable[str]) -> Column:
+    return F.array(*map(F.lit, sorted(words))).cast("array<string>")
+
+
+def telling_words(weights: dict[str, float], threshold: float, often: dict[str, int]) -> set[str]:
     """Words of a template of which any unit of a cosine of ``threshold`` has one.
 
-    The lightest words that together stay below ``threshold`` of the template's length can't do alone.
+    The most frequent words that together stay below ``threshold`` of the template's length can't do alone.
     """
     length = math.sqrt(sum(w * w for w in weights.values()))
-    light, square = set(), 0.0
-    for word, weight in sorted(weights.items(), key=lambda x: (x[1], x[0])):
+    common, square = set(), 0.0
+    for word, weight in sorted(weights.items(), key=lambda x: (-often.get(x[0], 0), x[1], x[0])):
         square += weight * weight
         if math.sqrt(square) >= threshold * length * (1 - 1e-9):
             break
-        light.add(word)
-    return set(weights) - light
+        common.add(word)
+    return set(weights) - common
+
+
+def least_shared(weights: dict[str, float], threshold: float) -> int:
+    """How many distinct words of a template any unit of a cosine of ``threshold`` has at least.
+
+    The cosine is at most the part of the template's length that its shared words make up.
+    """
+    length = math.sqrt(sum(w * w for w in weights.values()))
+    square = 0.0
+    for k, weight in enumerate(sorted(weights.values(), reverse=True), 1):
+        square += weight * weight
+        if math.sqrt(square) >= threshold * length * (1 - 1e-9):
+            return k
+    return len(weights)
+
+
+def _units(files: DataFrame, pattern: str) -> DataFrame:
+    """``path, unit`` of every unit that ``pattern`` finds a word in; a run begins and ends with such a line."""
+    rows = files.where(F.col("text").rlike(pattern)).withColumn("lines", F.split("text", "\n", -1))
+    rows = rows.withColumn("telling", F.transform("lines", lambda line: line.rlike(pattern)))
+    last = F.size("lines") - 1
+
+    def runs(first: Column) -> Column:
+        ends = F.sequence(first, F.least(first + F.lit(RUN_LINES - 1), last))
+        ends = F.filter(ends, lambda k: F.get("telling", k))
+        return F.transform(ends, lambda k: F.array_join(F.slice("lines", first + 1, k - first + 1), "\n"))
+
+    starts = F.filter(F.sequence(F.lit(0), last), lambda k: F.get("telling", k))
+    none = F.array().cast("array<string>")
+    longer = F.concat(
+        F.split("text", _PARAGRAPH, -1), F.split(F.regexp_replace("text", _NO_COMMENT, "\u0000"), "\u0000", -1))
+    longer = F.when(last > 0, F.filter(longer, lambda unit: unit.rlike(pattern))).otherwise(none)
+    whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array("text")).otherwise(none)
+    units = F.concat(F.flatten(F.transform(starts, runs)), longer, whole)
+    return rows.select("path", F.explode(F.array_distinct(F.transform(units, lambda u: F.trim(u)))).alias("unit"))
 
 
 def declared(
@@ -88,14 +170,13 @@ def declared(
     frequent = {r.word: r.n for r in often.where(F.col("word").isin(vocabulary)).collect()}
     idf = {w: _idf(facts, frequent.get(w, 0)) for w in vocabulary}
     vectors = [(name, {w: k * idf[w] for w, k in words.items()}) for name, words in counts]
-    telling = sorted(set().union(*(telling_words(v, threshold) for _, v in vectors)))
-    pattern = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, telling)) + r")(?![\p{L}\p{N}])"
-
-    lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(pattern))
-    whole = F.when(F.col("path").rlike(LICENSE_FILE) & F.col("text").rlike(pattern), F.array("text")).otherwise(
-        F.array().cast("array<string>"))
-    units = files.select("path", F.explode(F.array_distinct(F.concat(lines, whole))).alias("unit"))
-    units = staged(units.distinct().withColumn("number", F.monotonically_increasing_id()))
+    # Words that no file has find nothing.
+    telling = sorted(set().union(*(telling_words(v, threshold, frequent) for _, v in vectors)) & set(frequent))
+    pattern = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, telling)) + r")(?![\p{L}\p{N}])" if telling else "(?!)"
+    units = _units(files, pattern).withColumn("hits", F.array_intersect(_words(F.col("unit")), _constants(frequent)))
+    enough = [F.size(F.array_intersect("hits", _constants(v))) >= least_shared(v, threshold) for _, v in vectors]
+    units = units.where(reduce(or_, enough)).select("path", "unit").distinct()
+    units = staged(units.withColumn("number", F.monotonically_increasing_id()))
     rows = [(k, name, w, x / math.sqrt(sum(y * y for y in v.values())))
             for k, (name, v) in enumerate(vectors) for w, x in v.items()]
     of_templates = spark.createDataFrame(rows, "template int, license string, word string, weight double")
@@ -129,9 +210,9 @@ def license_scan(
 
     ``basis`` is ``declared`` for a licence of the file's own, ``inherited`` for that of the nearest directory
     upwards with a licence file that declares one (``score`` is that file's), or null. Of several the higher score
-    wins, then the name of the licence. Document frequencies are those of all files, for
+    wins, then the name of the licence. Document frequencies count all rows with a path and a text, for
     every word of a unit. Rows without a path are left out; a null text declares nothing; texts of a repeated
-    path belong to one file. An empty table gives an empty result.
+    path belong to one file, each with units of its own. An empty table gives an empty result.
     """
     paths = df.select(F.col(path_col).cast("string").alias("path")).where("path is not null").distinct()
     own = staged(declared(df, path_col, text_col, templates, threshold))

@@ -1,6 +1,7 @@
 """Text operators against brute force on small tables with nulls, ties, copies and clashing names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -369,11 +370,22 @@ def test_signatures_and_near_documents(spark):
     assert {(r.a, r.b) for r in near_documents(frame).collect()} == wanted and wanted
 
 
+LICENSE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
+
+
+def license_units(path, text):
+    """Lines, runs of two to four lines, paragraphs, comment blocks, whole licence files."""
+    lines = text.split("\n")
+    units = ["\n".join(lines[i:i + n]) for i in range(len(lines)) for n in range(1, 5)]
+    for keep in (lambda x: re.search(r"[^\W_]", x), lambda x: re.match(r"[ \t]*(#|//|/?\*|--|;|%|<!--)", x)):
+        for good, group in itertools.groupby(lines, key=lambda x: bool(keep(x))):
+            units += ["\n".join(group)] if good else []
+    return units + [text] * bool(re.search(LICENSE_NAME, path))
+
+
 def scan(files, templates, threshold):
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
-    vocabulary = {w for _, t in templates for w in words(t)}
-    idf = lambda w: math.log((1 + len(files)) / (1 + sum(w in words(t) for t in files.values()))) + 1 if (
-        w in vocabulary) else math.log(1 + len(files)) + 1
+    idf = lambda w: math.log((1 + len(files)) / (1 + sum(w in words(t) for t in files.values()))) + 1
 
     def vector(text):
         v = {w: n * idf(w) for w, n in Counter(words(text)).items()}
@@ -383,29 +395,38 @@ def scan(files, templates, threshold):
     known = [(name, vector(t)) for name, t in templates]
     own = {}
     for path, text in files.items():
-        units = [x for x in text.split("\n") if words(x)]
-        if re.search(r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$", path) and words(text):
-            units.append(text)
-        scores = [(-round(sum(x * t.get(w, 0) for w, x in vector(u).items()), 9), name) for u in units for name, t in known]
+        units = [vector(x) for x in license_units(path, text) if words(x)]
+        scores = [(-round(sum(x * t.get(w, 0) for w, x in u.items()), 9), name) for u in units for name, t in known]
         best = min((s for s in scores if -s[0] >= threshold), default=None)
         if best:
             own[path] = (best[1], -best[0])
     out = {}
     for path in files:
-        out[path] = (own[path][0], "declared") if path in own else (None, None)
+        out[path] = (own[path][0], "declared", own[path][1]) if path in own else (None, None, None)
         at = path.rpartition("/")[0]
         while path not in own:
-            near = [(-own[p][1], own[p][0]) for p in own if p.rpartition("/")[0] == at and "LICENSE" in p]
+            near = [(-own[p][1], own[p][0]) for p in own if p.rpartition("/")[0] == at and re.search(LICENSE_NAME, p)]
             if near:
-                out[path] = (min(near)[1], "inherited")
+                out[path] = (min(near)[1], "inherited", -min(near)[0])
             if near or not at:
                 break
             at = at.rpartition("/")[0]
     return out
 
 
+def scanned(frame, **options):
+    from lodeseek.llm.license_scan import license_scan
+
+    return {r.path: (r.license, r.basis, r.score) for r in license_scan(frame, **options).collect()}
+
+
+def same_scan(got, expected):
+    assert {p: x[:2] for p, x in got.items()} == {p: x[:2] for p, x in expected.items()}
+    assert all(x[2] == pytest.approx(expected[p][2], abs=2e-9) for p, x in got.items() if x[2] is not None)
+
+
 def test_license_scan(spark):
-    from lodeseek.llm.license_scan import TEMPLATES, license_scan
+    from lodeseek.llm.license_scan import TEMPLATES
 
     files = {
         "LICENSE": "Released under the MIT License.", "a/LICENSE.txt": "words\nLicensed under the Apache License, Version 2.0.",
@@ -415,10 +436,103 @@ def test_license_scan(spark):
     }
     rows = [(p, t) for p, t in files.items()] + [("q/z.py", None), (None, "Released under the MIT License.")]
     frame = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], "path string, text string, license string, number int, score double")
-    got = {r.path: (r.license, r.basis) for r in license_scan(frame).collect()}
-    assert got == scan(files, TEMPLATES, 0.8)
-    assert got["a/b/c/x.py"] == ("Apache-2.0", "inherited") and got["q/r/t.py"] == ("GPL-3.0", "inherited")
-    assert license_scan(frame.limit(0)).collect() == []
+    got = scanned(frame)
+    same_scan(got, scan(files, TEMPLATES, 0.8))
+    assert got["a/b/c/x.py"][:2] == ("Apache-2.0", "inherited") and got["q/r/t.py"][:2] == ("GPL-3.0", "inherited")
+    assert scanned(frame.limit(0)) == {}
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Ann Example
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE_HEADER = """/*
+ * Copyright 2020 Acme
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+class Ship { int speed; }
+"""
+APACHE_FILE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+"""
+GPL_HEADER = """# ship.py: moves ships
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful.
+speed = 3
+"""
+BSD_FILE = """Copyright (c) 2019, Bob Example
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_license_scan_of_usual_files_and_wrapped_headers(spark):
+    from lodeseek.llm.license_scan import TEMPLATES
+
+    files = {
+        "m/LICENSE": MIT_FILE, "m/src/a.py": "x = 1", "ap/Ship.java": APACHE_HEADER, "ap/LICENSE": APACHE_FILE,
+        "g/ship.py": GPL_HEADER, "g/old.py": GPL_HEADER.replace("version 3", "version 2"),
+        "g/less.py": GPL_HEADER.replace("General", "Lesser General"), "g/COPYING": "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n",
+        "b2/LICENSE.md": BSD_FILE, "b3/LICENSE.md": BSD_FILE + BSD_THIRD,
+        "w/a.c": "int x;\n// Licensed under the Apache\n// License, Version 2.0\nint y;",
+        "w/b.c": "Released under\r\nthe MIT\r\nLicense\r\n", "w/c.c": "Released\n\nunder the\nsea\nand the License\nof MIT",
+        "n/plain.txt": "The ship\nis free and the licence\nof its master was public.", "n/void": "\n\n \n",
+    }
+    files |= {f"p/f{k}.txt": f"The ship {k} is under way\nand the version of the file" for k in range(40)}
+    frame = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = scanned(frame)
+    same_scan(got, scan(files, TEMPLATES, 0.8))
+    expected = {
+        "m/LICENSE": "MIT", "m/src/a.py": "MIT", "ap/Ship.java": "Apache-2.0", "ap/LICENSE": "Apache-2.0", "g/ship.py": "GPL-3.0",
+        "g/old.py": "GPL-2.0", "g/COPYING": "GPL-3.0", "b2/LICENSE.md": "BSD-2-Clause", "b3/LICENSE.md": "BSD-3-Clause",
+        "w/a.c": "Apache-2.0", "w/b.c": "MIT", "w/c.c": None, "n/plain.txt": None, "n/void": None, "p/f0.txt": None,
+    }
+    assert {p: got[p][0] for p in expected} == expected
+
+
+def test_license_scan_of_very_long_texts(spark):
+    head = "// Released under\n// the MIT License\n"
+    texts = {"blank": "\n" * 2_000_000 + head, "wide": head + " " * 2_000_000 + "x", "signs": "*" * 1_000_000 + "\n" + head,
+             "words": "License of the ship " * 100_000 + "\n" + head, "lines": head + "under the License\n" * 20_000, "one": "x" * 2_000_000}
+    got = scanned(spark.createDataFrame(list(texts.items()), "path string, text string"))
+    assert {p: x[0] for p, x in got.items()} == {**dict.fromkeys(texts, "MIT"), "one": None}
 
 
 @pytest.mark.parametrize("held", [200_000, -1])
