@@ -313,6 +313,12 @@ _DELTA = _with("oldtree newtree", """SELECT project, repository, ref, path, o.bl
   CASE WHEN o.blob IS NULL THEN 'A' WHEN w.blob IS NULL THEN 'D' ELSE 'M' END AS status
   FROM oldtree o FULL JOIN newtree w USING (project, repository, ref, path) WHERE o.blob IS DISTINCT FROM w.blob""")
 
+_SELECTED_OLD = _SELECTED.replace("newtree", "oldtree")
+
+# Refs whose last change in one of two batches of events is a deletion.
+_DELETED_REFS = """SELECT project, repository, ref FROM refevents GROUP BY project, repository, ref, ts < TIMESTAMP '2024-01-20'
+  HAVING arg_max(change_type, (ts, event_id)) = 'DELETE'"""
+
 _LATEST = """SELECT project, repository, ref, arg_max(change_type, (ts, event_id)) AS change_type, count(*) AS events
   FROM refevents GROUP BY project, repository, ref"""
 
@@ -538,6 +544,13 @@ ORACLE: dict[str, str] = {
     # events
     "stream_coalesce": _with("refevents", _LATEST),
     "stream_pending": _with("refevents", _LATEST),
+    "stream_pending_restart": _with("refevents", _LATEST),
+    "stream_store": _with("oldtree newtree repos refevents", _shape(f"""(
+      SELECT * FROM newtree SEMI JOIN ({_SELECTED}) USING (project, repository, ref) SEMI JOIN refevents USING (project, repository, ref)
+      UNION ALL SELECT * FROM oldtree SEMI JOIN ({_SELECTED_OLD}) USING (project, repository, ref)
+      ANTI JOIN ({_DELETED_REFS} UNION SELECT project, repository, ref FROM refevents SEMI JOIN ({_SELECTED}) USING (project, repository, ref))
+      USING (project, repository, ref))""")),
+    "index_gate": _with("oldtree repos", _shape(f"(SELECT * FROM oldtree SEMI JOIN ({_SELECTED_OLD}) USING (project, repository, ref))")),
     "stream_route": _with("refevents branches", f"""SELECT project, repository, ref,
       CASE WHEN change_type = 'DELETE' THEN 'reindex' ELSE 'update' END AS action FROM ({_LATEST})
       LEFT JOIN (SELECT project, repository, ref, true AS known FROM branches) USING (project, repository, ref)

@@ -975,6 +975,48 @@ def stream_pending(spark: SparkSession, d: str) -> DataFrame:
     raw = spark.readStream.schema(src.COLUMNS["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = updates.pending_changes(src.shape_ref_events(raw), f"{run}/state", f"{run}/progress")
     stream.awaitTermination()
-    state = spark.read.parquet(f"{run}/state")
-    newest = state.agg(F.max("batch")).scalar()
-    return state.filter(F.col("batch") == newest).drop("batch")
+    return updates.pending_state(spark, f"{run}/state")
+
+
+def _halves(spark: SparkSession, d: str) -> list[DataFrame]:
+    events, cut = src.table(spark, d, "events"), F.lit(src.CUT)
+    return [events.filter(F.col("ts") < cut), events.filter(F.col("ts") >= cut)]
+
+
+@query
+def stream_pending_restart(spark: SparkSession, d: str) -> DataFrame:
+    """The same from two runs of the streaming query: the second one finds the state of the first."""
+    run = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    for half in _halves(spark, d):
+        half.write.mode("append").parquet(f"{run}/events")
+        raw = spark.readStream.schema(src.COLUMNS["events"]).parquet(f"{run}/events")
+        updates.pending_changes(src.shape_ref_events(raw), f"{run}/state", f"{run}/progress").awaitTermination()
+    return updates.pending_state(spark, f"{run}/state")
+
+
+@query
+def stream_store(spark: SparkSession, d: str) -> DataFrame:
+    """A store of the old tips kept current by a stream of ref events, which stops and is started again.
+
+    Each of the two runs is one batch. Refs without an event stay at their old tip.
+    """
+    store, sources = _store(spark), _sources(spark, d)
+    indexing.full_build(store, _old_sources(spark, d), LIMITS)
+    run = f"{shared_dir(spark)}/{uuid.uuid4()}"
+    for half in _halves(spark, d):
+        half.write.mode("append").parquet(f"{run}/events")
+        raw = spark.readStream.schema(src.COLUMNS["events"]).parquet(f"{run}/events")
+        stream = updates.run_updates(src.shape_ref_events(raw), store, lambda: sources, LIMITS, f"{run}/progress")
+        stream.awaitTermination()
+    return _shape(store.read("files"))
+
+
+@query
+def index_gate(spark: SparkSession, d: str) -> DataFrame:
+    """With indexing switched off neither a build, an update nor a reindex changes the documents."""
+    store, sources, off = _store(spark), _sources(spark, d), replace(LIMITS, indexing_enabled=False)
+    indexing.full_build(store, _old_sources(spark, d), LIMITS)
+    indexing.full_build(store, sources, off)
+    indexing.update_all(store, sources, off)
+    indexing.reindex_repository(store, sources, "es", "src4", off)
+    return _shape(store.read("files"))

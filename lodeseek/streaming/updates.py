@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,23 +25,26 @@ def coalesce_events(events: DataFrame) -> DataFrame:
 
 
 def pending_changes(events: DataFrame, folder: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Keeps the last change of every ref as streaming state and writes it after each batch.
+    """Keeps the last change of every ref as streaming state and writes what each batch changes of it.
 
-    The state is one row per ref. Each batch writes a folder of its own, so a batch that is run
-    again replaces only itself; the one with the highest number is current.
+    The state is one row per ref. Each batch writes a folder of its own with the refs it has events for, so a batch
+    that is run again replaces only itself. ``pending_state`` reads the folders.
     """
 
-    def on_batch(state: DataFrame, number: int) -> None:
-        state.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        # The one before stays for readers; a batch is run again only if it was the last.
-        old = events.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={number - 2}")
-        old.getFileSystem(events.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
+    def on_batch(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    writer = coalesce_events(events).writeStream.outputMode("complete").foreachBatch(on_batch)
+    writer = coalesce_events(events).writeStream.outputMode("update").foreachBatch(on_batch)
     writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def pending_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The last change of every ref and its number of events so far, from what ``pending_changes`` wrote."""
+    last = F.max_by(F.struct("change_type", "events"), "batch").alias("last")
+    return spark.read.parquet(folder).groupBy(*REF_KEY).agg(last).select(*REF_KEY, "last.*")
+
+
 def route_events(changes: DataFrame, branches: DataFrame) -> DataFrame:
     """Changes with the action they ask for; changes to a ref that is no branch are dropped."""
     action = (
