@@ -450,6 +450,9 @@ ORACLE: dict[str, str] = {
     "author_cardinality": _with("docs", "SELECT count(DISTINCT authoremail) AS cardinality FROM docs"),
     "approximate_cardinality": _with("docs", "SELECT count(DISTINCT authoremail) AS cardinality, true AS near FROM docs"),
     "approximate_percentiles": """SELECT CAST(unnest([1, 5, 25, 50, 75, 95, 99]) AS DOUBLE) AS percentile, true AS near""",
+    "merged_author_cardinality": _with("docs", "SELECT count(DISTINCT authoremail) AS cardinality, true AS near FROM docs"),
+    "merged_extension_cardinality": _with("docs", "SELECT count(DISTINCT extension) AS cardinality, true AS near FROM docs"),
+    "merged_hash_cardinality": _with("commits", "SELECT count(DISTINCT hash) AS cardinality, true AS near FROM commits"),
     "extension_cardinality": _with("docs", "SELECT count(DISTINCT extension) AS cardinality FROM docs"),
     "author_ranking": _with("docs", _top("authoremail")),
     "extension_ranking": _with("docs", _top("extension")),

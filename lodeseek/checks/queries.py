@@ -21,7 +21,7 @@ from lodeseek.operators.match import (
 from lodeseek.operators.occurrences import TokenIndex, with_evidence, write_index
 from lodeseek.plans import indexing, search as plan
 from lodeseek.session import shared_dir
-from lodeseek.settings import Limits
+from lodeseek.settings import PRECISION_THRESHOLD, Limits
 from lodeseek.sources import adapters as src
 from lodeseek.sources import catalog, snapshots
 from lodeseek.sources.store import DocumentStore
@@ -640,6 +640,32 @@ def approximate_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return exact.select("cardinality", (apart <= 0.05 * F.col("cardinality")).alias("near"))
 
 
+def _merged(spark: SparkSession, docs: DataFrame, column: str) -> DataFrame:
+    """Distinct values from stored parts, one for each repository, and whether the number keeps its promise."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4()}/parts"
+    statistics.cardinality_parts(docs, column).write.parquet(folder)
+    merged = statistics.merged_cardinality(spark.read.parquet(folder)).select("cardinality").scalar()
+    n = F.col("cardinality")
+    apart = F.when(n <= PRECISION_THRESHOLD, F.lit(0)).otherwise(0.05 * n)
+    return statistics.distinct_values(docs, column).select("cardinality", (F.abs(merged - n) <= apart).alias("near"))
+
+
+@query
+def merged_author_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, _commits(spark, d), "authoremail")
+
+
+@query
+def merged_extension_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, _files(spark, d), "extension")
+
+
+@query
+def merged_hash_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    """As many values as commits: beyond the threshold on all but the smallest tables."""
+    return _merged(spark, _commits(spark, d), "hash")
+
+
 @query
 def approximate_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Whether a thousandth of the documents at most lies between each approximate percentile and its rank."""

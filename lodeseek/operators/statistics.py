@@ -8,12 +8,18 @@ by a third of all documents is one small row per task. Character and line counts
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.operators.filters import COMMIT, FILE
-from lodeseek.settings import PERCENTILES, RANKING_SIZE
+from lodeseek.schemas import REPO_KEY
+from lodeseek.settings import PERCENTILES, PRECISION_THRESHOLD, RANKING_SIZE
+
+# A sketch of 2^13 registers: a standard error of 0.9 percent.
+SKETCH_BITS = 13
 
 
 def distinct_values(matches: DataFrame, column: str, approximate: bool = False, rsd: float = 0.01) -> DataFrame:
@@ -23,6 +29,35 @@ def distinct_values(matches: DataFrame, column: str, approximate: bool = False,
     return matches.select(column).filter(F.col(column).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("cardinality"))
 
 
+def cardinality_parts(
+    matches: DataFrame, column: str, by: Sequence[str] = REPO_KEY, threshold: int = PRECISION_THRESHOLD,
+) -> DataFrame:
+    """``(*by, values, sketch)``: distinct counts of each group that can be stored and added up by ``merged_cardinality``.
+
+    ``values`` are the distinct values of a group that has at most ``threshold``, null beyond. Each task keeps its
+    own first ``threshold`` + 1 values of a group before the shuffle, and sketches are merged map-side, so a group that
+    holds a third of all rows meets nowhere whole. Null values are not counted; a group with no others has no row.
+    """
+    value = F.col(column).cast("string")
+    rows = matches.filter(value.isNotNull()).select(*by, value.alias("value")).distinct()
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("value")))
+    first = first.filter(F.col("place") <= threshold + 1).groupBy(*by).agg(F.collect_list("value").alias("values"))
+    sketches = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.hll_sketch_agg("value", F.lit(SKETCH_BITS)).alias("sketch"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    few = F.when(F.size("values") <= threshold, F.array_sort("values")).alias("values")
+    return first.join(sketches, same).select(*by, few, "sketch")
+
+
+def merged_cardinality(parts: DataFrame, threshold: int = PRECISION_THRESHOLD) -> DataFrame:
+    """Number of distinct values over stored parts: exact up to ``threshold``, an estimate of the merged sketches beyond."""
+    listed = parts.select(F.explode("values").alias("value")).distinct().limit(threshold + 1)
+    exact = listed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    merged = parts.agg(
+        F.coalesce(F.bool_and(F.col("values").isNotNull()), F.lit(True)).alias("few"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    return merged.select(F.when(F.col("few") & (exact <= threshold), exact).otherwise(F.col("estimate")).alias("cardinality"))
+
+
 def counts(matches: DataFrame, column: str) -> DataFrame:
     return matches.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(
         F.count(F.lit(1)).alias("count")

@@ -25,6 +25,9 @@ DEFAULT_REF_REGEX = "HEAD|(refs/heads/(master|develop))"
 PERCENTILES = (1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0)
 RANKING_SIZE = 25
 
+# Fixed value: numbers of distinct values up to this one are exact.
+PRECISION_THRESHOLD = 1000
+
 
 @dataclass(frozen=True)
 class Limits:

@@ -275,3 +275,19 @@ def test_needed_blobs_and_repeated_log_records(spark, tmp_path):
     log = spark.createDataFrame([("p", "r", record), ("p", "r", record)], schemas.COMMIT_LOG)
     at = spark.createDataFrame([("p", "r", "f" * 40, ["x"])], "project string, repository string, hash string, refs array<string>")
     assert [r["doc_id"] for r in snapshots.build_commits(at, log).collect()] == ["p^r^" + "f" * 40]
+
+
+def test_merged_cardinality_on_both_sides_of_the_threshold(spark):
+    def merged(rows):
+        frame = spark.createDataFrame(rows, "project string, repository string, value string, sketch int")
+        parts = statistics.cardinality_parts(frame, "value", threshold=20)
+        assert all(r["values"] is None or len(r["values"]) <= 20 for r in parts.collect())
+        return statistics.merged_cardinality(parts, threshold=20).first()["cardinality"]
+
+    def rows(project, repository, values):
+        return [(project, repository, v if v is None else str(v), 1) for v in values]
+
+    assert merged(rows("p", "r", [])) == 0 == merged(rows("p", "r", [None, None]))
+    assert merged(rows("p", "r", range(15)) * 9 + rows("p", None, range(5, 20)) + rows(None, None, [None, 3])) == 20
+    assert abs(merged(rows("p", "r", range(15)) + rows("p", "s", range(10, 25))) - 25) <= 1  # each few, together more
+    assert abs(merged(rows("p", "r", range(3000)) * 2 + rows("q", "r", range(2990, 3010))) - 3010) <= 0.05 * 3010
