@@ -319,13 +319,14 @@ def with_evidence(docs: DataFrame, index: TokenIndex, condition: Condition, fiel
         stands = reduce(DataFrame.unionByName, [
             expanded(index, leaf, f).select(F.lit(f.name).alias("field"), "term", F.lit(k).alias("part"))
             for k, (f, leaf) in enumerate(parts)])
-        few = stands.limit(MANY + 1).collect()
+        few = stands.limit(MANY + 1).toArrow()  # an Arrow table goes back as a local relation, without Python rows
         found = index.tokens.select("field", "term", "doc_id")
-        if len(few) <= MANY:
+        if few.num_rows <= MANY:
             stands = docs.sparkSession.createDataFrame(few, stands.schema)
+            named = few.to_pylist()
             found = found.filter(any_of(
-                (F.col("field") == name) & F.col("term").isin(sorted({r["term"] for r in few if r["field"] == name}))
-                for name in sorted({r["field"] for r in few})))
+                (F.col("field") == name) & F.col("term").isin(sorted({r["term"] for r in named if r["field"] == name}))
+                for name in sorted({r["field"] for r in named})))
             stands = F.broadcast(stands)  # MANY rows at most
         rows.append(found.join(stands, ["field", "term"]).withColumns(blank).select(*APPENDED["tokens"].names, "part"))
     evidence = reduce(DataFrame.unionByName, rows)
