@@ -1,11 +1,17 @@
-"""Token sequences of bounded length, packed by best fit in bulk.
-
-Documents (cut into pieces only where they are too long) are range-sorted by length, so each has a
-rank in its length class. Lengths and gaps are whole numbers up to ``max_tokens``; equal gaps form
-one class. The matching itself is made on the driver, from the numbers of pieces of each length and of
-sequences of each gap: a class of pieces takes the smallest gaps that hold it, in the order of ranks.
-That is exact best fit, and what the driver holds is bounded by ``max_tokens``. Executors look up their
-ranges of ranks in the matches.
+"""Token sequences of bounded length, packed by best fit in bulk-synchronous supersteps.
+
+Documents (cut into pieces only where they are too long) are range-sorted by length. A piece longer than half
+a sequence opens one. The others follow in bands of lengths, long ones first, and a band in supersteps, each of which
+
+1. range-sorts the gaps that sequences have left; one may count as several places, if it surely holds them;
+2. sweeps pieces and places from long to short: a piece is matched as long as a place is left that holds it, so the
+   longest ones are; then from short to long: each matched piece takes the smallest place that holds it, and where
+   several want the same, the one of the lowest rank gets it and the others move on to the next ones;
+3. joins pieces and places, writes where the pieces are and what is left of the gaps, and begins again.
+
+New sequences are opened when the longest piece left fits nowhere, as many as the pieces left need at least.
+Lengths and gaps are whole numbers up to ``max_tokens``, so a sweep is running sums and maxima of as many classes;
+pieces and gaps themselves are rows that are sorted, ranked and joined by Spark.
 """
 
 from __future__ import annotations
@@ -13,16 +19,20 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.staging import on_executors, shuffle_partitions, slices, staged
+from lodeseek.llm.staging import on_executors, slices, staged
 from lodeseek.llm.tokenizing import encoder, sent
 
+SHORT = 8  # lengths up to here are one band
+
 IDS = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -75,7 +85,9 @@ def token_pieces(
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Matches of length classes with sequences: ``length, rank, rank_end, sequence, offset, each``.
+    """Best fit one by one, from numbers of pieces alone: what ``pack`` is measured by.
+
+    Matches of length classes with sequences: ``length, rank, rank_end, sequence, offset, each``.
 
     Pieces of ranks from ``rank`` on go to the sequences from ``sequence`` on, ``each`` to a sequence, one
     after the other from ``offset``.
@@ -123,60 +135,136 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return matches
 
 
-def _placed(firsts, matches):
-    """Sequence and offset of range-sorted pieces from the matches of their ranks."""
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices_of, lengths_of, base = firsts.value
-        keys = slices_of << 32 | lengths_of
-        length_of, start, sequence_of, offset_of, each_of = matches.value
-        marks = length_of << 40 | start
-        for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            row = batch.column("row").to_numpy(zero_copy_only=False)
-            at = np.searchsorted(keys, (row >> 33) << 32 | length)
-            rank = (row & ((1 << 33) - 1)) + base[at]
-            run = np.searchsorted(marks, length << 40 | rank, "right") - 1
-            k = rank - start[run]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(sequence_of[run] + k // each_of[run]),
-                 pa.array(offset_of[run] + k % each_of[run] * length)],
-                [*batch.schema.names, "sequence_id", "offset"],
-            )
-    return place
-
-
-def pack(pieces: DataFrame, max_tokens: int = 1024) -> DataFrame:
+def _ranked(df: DataFrame, keys: list[str], row: str) -> tuple[DataFrame, dict[int, int]]:
+    """``df`` range-sorted by ``keys`` with ``row``, unique, and ``place``, the rank among equal values of the first key.
+
+    Also the number of rows of each value. What the driver holds has a row for each value and each range.
+    """
+    value = keys[0]
+    held = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(row, F.monotonically_increasing_id()))
+    slice_of, at = F.shiftright(row, 33), F.col(row).bitwiseAND((1 << 33) - 1)
+    table = held.groupBy(slice_of.alias("slice"), value).agg(
+        F.count("*").alias("n"), F.min(at).alias("first")).orderBy("slice", value).toPandas()
+    table["base"] = table.groupby(value).n.cumsum() - table.n - table["first"]
+    bases = _small(df.sparkSession, **{"slice": table["slice"], value: table[value], "base": table.base})
+    ranked = held.withColumn("slice", slice_of).join(F.broadcast(bases), ["slice", value])
+    counts = table.groupby(value).n.sum()
+    return ranked.withColumn("place", at + F.col("base")).drop("slice", "base"), {int(k): int(v) for k, v in counts.items()}
+
+
+def _small(spark: SparkSession, **columns: Sequence[int] | np.ndarray) -> DataFrame:
+    """A table of whole numbers that the driver knows."""
+    arrays = {name: pa.array(np.asarray(values, np.int64)) for name, values in columns.items()}
+    return spark.createDataFrame(pa.table(arrays), ", ".join(f"`{name}` long" for name in arrays))
+
+
+@dataclass(frozen=True)
+class Sweep:
+    """How many pieces of each length find a place, and which: the k-th of a length has place ``first`` + k."""
+
+    matched: np.ndarray
+    first: np.ndarray
+    slots: np.ndarray  # of each gap value: places of one gap
+    slot_base: np.ndarray  # and the number of its first place
+
+    @property
+    def last(self) -> int:
+        return int((self.first + self.matched)[self.matched > 0].max()) - 1
+
+
+def sweep(lengths: np.ndarray, left: np.ndarray, values: np.ndarray, counts: np.ndarray) -> Sweep:
+    """Matches classes of pieces (ascending lengths) with classes of gaps (ascending values)."""
+    slots = np.maximum(1, values // lengths[-1])
+    ends = np.cumsum(counts * slots)
+    base = np.r_[0, ends]
+    smaller = base[np.searchsorted(values, lengths)]  # places that are too small
+    # Long to short: pieces so far, less the places that hold them, are the ones that find none.
+    over = np.cumsum(left[::-1]) - (base[-1] - smaller[::-1])
+    without = np.maximum(np.maximum.accumulate(over), 0)
+    matched = left - np.diff(np.r_[0, without])[::-1]
+    # Short to long: a rank's place is not before the first that holds it, nor before the one after its forerunner's.
+    rank = np.cumsum(matched) - matched
+    moved = np.maximum.accumulate(np.where(matched > 0, smaller - rank, 0))
+    return Sweep(matched, rank + moved, slots, base[:-1])
+
+
+def needed(lengths: np.ndarray, left: np.ndarray, values: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """New sequences for pieces that are left: none while the longest has a place, else as many as they need at least."""
+    if len(values) and values[-1] >= lengths[-1]:
+        return 0
+    shortest = lengths[0]
+    tokens = int((lengths * left).sum()) - int((values * counts).sum())
+    pieces = int(left.sum()) - int((values // shortest * counts).sum())
+    return max(1, -(-tokens // capacity), -(-pieces // int(capacity // shortest)))
+
+
+def pack(pieces: DataFrame, max_tokens: int = 1024, ratio: float = 1.25) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` (long), packed into few sequences of ``max_tokens``.
 
-    ``pieces`` has ``doc_id``, ``piece`` and ``length`` from 1 to ``max_tokens`` (others raise
-    ``ValueError``). Each sequence is filled from 0 without gaps. Ties of length go by ``doc_id`` and
-    ``piece``; rows that are alike take any order. No pieces, no sequences.
+    ``pieces`` has ``doc_id``, ``piece`` and ``length`` from 1 to ``max_tokens`` (others, null included, raise
+    ``ValueError``); columns ``sequence_id`` and ``offset`` that it has are replaced, others carried along. Each
+    sequence is filled from 0 without gaps. Ties of length go by ``doc_id`` and ``piece``; rows that are alike take
+    any order. No pieces, no sequences. A band reaches from a length down to a ``ratio``-th of it: narrower bands
+    need more supersteps and come nearer to packing one by one.
 
-    What the driver holds are counts by length and range (at most ranges + ``max_tokens`` rows) and the
-    matches of classes; their number depends on ``max_tokens`` and not on the pieces.
+    The driver holds numbers of pieces and gaps by value and range (ranges + ``max_tokens`` rows).
     """
     spark = pieces.sparkSession
-    on_executors(spark)
-    order = [F.col("length").desc(), F.col("doc_id"), F.col("piece")]
-    # Ranges are found in a pass of their own, which should not cut the texts again.
-    held = staged(
-        staged(pieces).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-        .withColumn("row", F.monotonically_increasing_id()))
-    table = (
-        held.groupBy(F.shiftright("row", 33).alias("slice"), "length")
-        .agg(F.count("*").alias("n"), F.min(F.col("row").bitwiseAND((1 << 33) - 1)).alias("first"))
-        .orderBy("slice", "length").toPandas()
-    )
-    if len(table) and not (table.length.min() >= 1 and table.length.max() <= max_tokens):
+    pieces = pieces.drop("sequence_id", "offset")
+    row = next(name for k in range(len(pieces.columns) + 1) if (name := f"row{k}") not in pieces.columns)
+    whole = staged(pieces.withColumn(row, F.monotonically_increasing_id()))
+    ranked, counts = _ranked(whole.select(F.col("length").cast("long").alias("length"), "doc_id", "piece", F.col(row).alias("id")),
+                             ["length", "doc_id", "piece"], "at")
+    if any(not 1 <= n <= max_tokens for n in counts) or sum(counts.values()) != whole.count():
         raise ValueError(f"a piece is empty or longer than {max_tokens}")
-    before = table.groupby("length").n.cumsum() - table.n
-    firsts = spark.sparkContext.broadcast((
-        table.slice.to_numpy(np.int64), table.length.to_numpy(np.int64), (before - table["first"]).to_numpy(np.int64)))
-    matches = sorted(best_fit({int(k): int(v) for k, v in table.groupby("length").n.sum().items()}, max_tokens))
-    columns = np.array(matches, np.int64).reshape(-1, 6).T
-    sent_matches = spark.sparkContext.broadcast(tuple(columns[k] for k in (0, 1, 3, 4, 5)))
-    schema = ", ".join(f"`{c}` {t}" for c, t in held.dtypes) + ", sequence_id long, offset long"
-    return held.mapInArrow(_placed(firsts, sent_matches), schema).drop("row")
+    items = staged(ranked.select("id", "length", "place"))
+    done = np.zeros(max_tokens + 1, np.int64)
+    total = np.array([counts.get(n, 0) for n in range(max_tokens + 1)], np.int64)
+    half = max_tokens // 2
+    opened = np.cumsum(total * (np.arange(max_tokens + 1) > half)) - total
+    starts = _small(spark, length=np.arange(half + 1, max_tokens + 1), start=opened[half + 1:])
+    alone = items.filter(F.col("length") > half).join(F.broadcast(starts), "length").select(
+        "id", (F.col("start") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "length")
+    placed = [alone.drop("length")]
+    gaps = alone.filter(F.col("length") < max_tokens).select("sequence_id", (max_tokens - F.col("length")).alias("gap"))
+    used, high = int(total[half + 1:].sum()), half
+    while high > 0:
+        low = int(high / ratio) if high > SHORT else 0
+        while (lengths := low + 1 + np.flatnonzero((total - done)[low + 1:high + 1])).size:
+            left = (total - done)[lengths]
+            ordered, widths = _ranked(gaps, ["gap", "sequence_id"], "at")
+            values = np.array(sorted(v for v in widths if v >= lengths[0]), np.int64)
+            numbers = np.array([widths[v] for v in values.tolist()], np.int64)
+            fresh = needed(lengths, left, values, numbers, max_tokens)
+            if fresh:
+                new = spark.range(used, used + fresh).select(
+                    F.col("id").alias("sequence_id"), F.lit(max_tokens).cast("long").alias("gap"), (F.col("id") - used).alias("place"))
+                ordered = ordered.select(new.columns).union(new)
+                values, numbers, used = np.r_[values, max_tokens], np.r_[numbers, fresh], used + fresh
+            found = sweep(lengths, left, values, numbers)
+            shape = _small(spark, gap=values, slots=found.slots, base=found.slot_base)
+            first = F.col("base") + F.col("place") * F.col("slots")
+            last = F.greatest(first, F.least(first + F.col("slots") - 1, F.lit(found.last)))
+            slots = ordered.join(F.broadcast(shape), "gap").select(
+                "sequence_id", "gap", first.alias("first"), F.explode(F.sequence(first, last)).alias("slot"))
+            wanted = _small(spark, length=lengths, done=done[lengths], matched=found.matched, base=found.first)
+            turn = F.col("place") - F.col("done")
+            takers = items.filter(F.col("length").between(int(lengths[0]), int(lengths[-1]))).join(F.broadcast(wanted), "length")
+            takers = takers.filter((turn >= 0) & (turn < F.col("matched"))).select("id", "length", (F.col("base") + turn).alias("slot"))
+            # At most ``slots`` rows of a sequence.
+            mine = Window.partitionBy("sequence_id")
+            size = F.coalesce("length", F.lit(0))
+            step = staged(slots.join(takers, "slot", "left").select(
+                "sequence_id", "id", (F.col("slot") == F.col("first")).alias("one"),
+                (max_tokens - F.col("gap") + F.sum(size).over(mine.orderBy("slot")) - size).alias("offset"),
+                (F.col("gap") - F.sum(size).over(mine)).alias("gap")))
+            placed.append(step.filter("id is not null").select("id", "sequence_id", "offset"))
+            kept = ordered.filter(F.col("gap") < int(lengths[0])).select("sequence_id", "gap")
+            gaps = step.filter(F.col("one") & F.col("gap").between(1, max_tokens - 1)).select("sequence_id", "gap").union(kept)
+            done[lengths] += found.matched
+        high = low
+    places = reduce(DataFrame.union, placed).withColumnRenamed("id", row)
+    return whole.join(places, row).select(*pieces.columns, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -639,6 +639,55 @@ def test_pack_of_nothing_and_of_bad_lengths(spark):
         pack(spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long"), 8)
 
 
+def test_a_sweep_matches_the_longest_pieces_with_places_that_hold_them():
+    import numpy as np
+
+    from lodeseek.llm.packing import sweep
+
+    rng = random.Random(5)
+    for _ in range(500):
+        lengths = sorted(rng.sample(range(1, 30), rng.randrange(1, 6)))
+        values = sorted(rng.sample(range(1, 60), rng.randrange(1, 6)))
+        left = [rng.randrange(1, 6) for _ in lengths]
+        counts = [rng.randrange(1, 6) for _ in values]
+        found = sweep(*(np.array(x, np.int64) for x in (lengths, left, values, counts)))
+        places = [v for v, n in zip(values, counts, strict=True) for _ in range(n * max(1, v // lengths[-1]))]
+        free, matched = list(places), Counter()
+        for n, k in list(zip(lengths, left, strict=True))[::-1]:  # one by one, the longest first
+            for _ in range(k):
+                if (fit := next((p for p in free if p >= n), None)) is not None:
+                    free.remove(fit)
+                    matched[n] += 1
+        assert found.matched.tolist() == [matched[n] for n in lengths]
+        taken = [f + k for f, m in zip(found.first.tolist(), found.matched.tolist(), strict=True) for k in range(m)]
+        assert len(set(taken)) == len(taken)
+        for n, f, m in zip(lengths, found.first.tolist(), found.matched.tolist(), strict=True):
+            assert all(places[f + k] >= n for k in range(m))
+
+
+@pytest.mark.parametrize("lengths", [
+    [random.Random(k).randrange(1, 65) for k in range(700)],
+    [random.Random(k).randrange(12, 32) for k in range(500)],
+    [25] * 400 + [random.Random(k).randrange(1, 65) for k in range(300)],
+    [7] * 100, [64] * 50, [1] * 200,
+])
+def test_pack_needs_hardly_more_sequences_than_one_by_one(spark, lengths):
+    from lodeseek.llm.packing import best_fit, pack
+
+    pieces = spark.createDataFrame([(None if k % 7 == 0 else k // 2, 0, n, "x", k) for k, n in enumerate(lengths)],
+                                   "doc_id long, piece int, length long, offset string, row0 int")
+    by, seen = defaultdict(list), Counter()
+    for r in pack(pieces, 64).collect():
+        by[r.sequence_id].append((r.offset, r.length))
+        seen[r.row0, r.length] += 1
+    assert seen == Counter(enumerate(lengths))
+    for places in by.values():
+        ends = [0, *(offset + n for offset, n in sorted(places))]
+        assert [offset for offset, _ in sorted(places)] == ends[:-1] and ends[-1] <= 64
+    least = max(s - (-(end - rank) // each) for _, rank, end, s, _, each in best_fit(Counter(lengths), 64))
+    assert len(by) <= least + max(1, least // 50)
+
+
 def test_best_fit_is_what_one_by_one_gives():
     from lodeseek.llm.packing import best_fit
 
