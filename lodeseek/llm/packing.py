@@ -198,7 +198,7 @@ def needed(lengths: np.ndarray, left: np.ndarray, values: np.ndarray, counts: np
     return max(1, -(-tokens // capacity), -(-pieces // int(capacity // shortest)))
 
 
-def pack(pieces: DataFrame, max_tokens: int = 1024, ratio: float = 1.25) -> DataFrame:
+def pack(pieces: DataFrame, max_tokens: int = 1024, ratio: float = 2.0) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` (long), packed into few sequences of ``max_tokens``.
 
     ``pieces`` has ``doc_id``, ``piece`` and ``length`` from 1 to ``max_tokens`` (others, null included, raise
@@ -242,9 +242,9 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, ratio: float = 1.25) -> Data
                 ordered = ordered.select(new.columns).union(new)
                 values, numbers, used = np.r_[values, max_tokens], np.r_[numbers, fresh], used + fresh
             found = sweep(lengths, left, values, numbers)
-            shape = _small(spark, gap=values, slots=found.slots, base=found.slot_base)
+            shape = _small(spark, gap=values, slots=found.slots, base=found.slot_base, last=np.full(len(values), found.last))
             first = F.col("base") + F.col("place") * F.col("slots")
-            last = F.greatest(first, F.least(first + F.col("slots") - 1, F.lit(found.last)))
+            last = F.greatest(first, F.least(first + F.col("slots") - 1, F.col("last")))
             slots = ordered.join(F.broadcast(shape), "gap").select(
                 "sequence_id", "gap", first.alias("first"), F.explode(F.sequence(first, last)).alias("slot"))
             wanted = _small(spark, length=lengths, done=done[lengths], matched=found.matched, base=found.first)
