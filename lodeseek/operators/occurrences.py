@@ -2,15 +2,19 @@
 
 Four tables, appended to when documents are added and never rewritten:
 
-- ``tokens``: one row for each word of a field of a document, with its positions and the field's length.
+- ``occurrences``: one row for each word of a field of a document, with its positions and the field's length. The
+  document is named by the 20 bytes of its id's SHA-1, the digest that tells blobs and commits apart.
 - ``words``: signed numbers of documents by field and word. Added documents count up, removed ones down, so
   the sum over all rows is the document frequency of now.
 - ``rotations``: every rotation of a distinct word behind an end mark, so that a pattern with stars becomes one
-  range of rows; words beyond ``LONG`` characters have one row and are tested one by one.
+  range of rows, and a row is the word itself; words beyond ``LONG`` characters have one row and are tested one by one.
 - ``deletions``: every distinct word by the strings that are left when up to two of its first characters are
   deleted. Two words within two edits share such a string, so only those that do are measured.
 
-Rows of removed documents stay in ``tokens`` and find nothing, as hits are joined with the documents; a
+Values of ``exact`` fields, such as hashes, are as many as documents and have neither rotations nor deletions, which
+would be some forty rows each: the start of a pattern is a range of ``words``, everything else is tested on them.
+
+Rows of removed documents stay in ``occurrences`` and find nothing, as hits are joined with the documents; a
 document that comes back has the same rows again, which count once. Everything is sorted by what it is read
 by, so Parquet's statistics skip all other row groups.
 """
@@ -44,7 +48,7 @@ Part = tuple[DataFrame, Sequence[Field]]
 class TokenIndex:
     """The four tables."""
 
-    tokens: DataFrame
+    occurrences: DataFrame
     words: DataFrame
     rotations: DataFrame
     deletions: DataFrame
@@ -54,28 +58,41 @@ class TokenIndex:
         return self.words.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
 
 
+def key_of(doc_id: Column | str = "doc_id") -> Column:
+    """What stands for a document in token rows."""
+    return F.unhex(F.sha1(doc_id))
+
+
 def token_rows(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """(field, term, doc_id, positions, length) of every distinct word of a document's fields."""
+    """(field, term, doc, positions, length) of every distinct word of a document's fields."""
     def of(f: Field) -> DataFrame:
-        cut = df.select("doc_id", f.tokens.alias("t"))
-        return cut.select(F.lit(f.name).alias("field"), "doc_id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "term"))
+        cut = df.select(key_of().alias("doc"), f.tokens.alias("t"))
+        return cut.select(F.lit(f.name).alias("field"), "doc", F.size("t").alias("length"), F.posexplode("t").alias("pos", "term"))
 
     rows = reduce(DataFrame.unionByName, [of(f) for f in fields])
-    # One shuffle: a range of (field, term, doc_id) is both what is grouped and what a file holds.
-    dealt = rows.repartitionByRange("field", "term", "doc_id")
-    grouped = dealt.groupBy("field", "term", "doc_id").agg(
+    # One shuffle: a range of (field, term, doc) is both what is grouped and what a file holds.
+    dealt = rows.repartitionByRange("field", "term", "doc")
+    grouped = dealt.groupBy("field", "term", "doc").agg(
         F.array_sort(F.collect_set("pos")).alias("positions"), F.max("length").alias("length"))
-    return grouped.sortWithinPartitions("field", "term", "doc_id")
+    return grouped.sortWithinPartitions("field", "term", "doc")
 
 
 def rotation_rows(words: DataFrame) -> DataFrame:
     """(field, rotated, term, long) of distinct (field, term)."""
     marked = F.concat("term", F.lit(END))
     turn = lambda i: F.concat(F.substr(marked, i), F.substr(marked, F.lit(1), i - 1))
-    long = F.char_length("term") > LONG
+    # A word that has the end mark itself could not be told from its rotations.
+    long = (F.char_length("term") > LONG) | F.contains("term", F.lit(END))
     turns = F.when(long, F.array(F.col("term"))).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(marked)), turn))
-    rows = words.select("field", "term", long.alias("long"), F.explode(turns).alias("rotated"))
-    return rows.select("field", "rotated", "term", "long").repartitionByRange("field", "rotated").sortWithinPartitions("field", "rotated")
+    rows = words.select("field", long.alias("long"), F.explode(turns).alias("rotated"))
+    dealt = rows.repartitionByRange("field", "rotated").sortWithinPartitions("field", "rotated")
+    return dealt.select("field", "rotated", turned_back().alias("term"), "long")
+
+
+def turned_back() -> Column:
+    """The word of a row of ``rotations``."""
+    return F.when(F.col("long"), F.col("rotated")).otherwise(
+        F.concat(F.substring_index("rotated", END, -1), F.substring_index("rotated", END, 1)))
 
 
 def _one_less(text: Column) -> Column:
@@ -102,7 +119,7 @@ def deletions_of(word: str) -> list[str]:
 
 def append_rows(put: Callable[[str, DataFrame], DataFrame], added: Sequence[Part], removed: Sequence[Part] = ()) -> None:
     """Writes what documents that come and go add to the tables. ``put`` writes a table and returns it as written."""
-    written = put("tokens", reduce(DataFrame.unionByName, [token_rows(df, fields) for df, fields in added]))
+    written = put("occurrences", reduce(DataFrame.unionByName, [token_rows(df, fields) for df, fields in added]))
     signed = written.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     for df, fields in removed:
         for f in fields:
@@ -111,7 +128,8 @@ def append_rows(put: Callable[[str, DataFrame], DataFrame], added: Sequence[Part
     summed = signed.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
     words = put("words", summed.repartitionByRange("field", "term").sortWithinPartitions("field", "term"))
     # A word that is no more frequent than before was there before.
-    more = words.filter("df > 0")
+    exact = sorted({f.name for _, fields in [*added, *removed] for f in fields if f.analyzer == "exact"})
+    more = words.filter(F.col("df") > 0).filter(~F.col("field").isin(exact))
     put("rotations", rotation_rows(more))
     put("deletions", deletion_rows(more))
 
@@ -121,7 +139,7 @@ def write_index(folder: str, parts: Sequence[Part]) -> TokenIndex:
     spark = parts[0][0].sparkSession
 
     def put(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        df.select(*APPENDED[name].names).write.parquet(f"{folder}/{name}")
         return spark.read.schema(APPENDED[name]).parquet(f"{folder}/{name}")
 
     append_rows(put, parts)
@@ -146,15 +164,20 @@ def expanded(index: TokenIndex, leaf: Condition, f: Field) -> DataFrame:
     if test is None:
         return index.words.filter(F.lit(False)).select("term")
     words = index.words.filter(here)
-    if isinstance(leaf, Wildcard):
+    if isinstance(leaf, Wildcard) and f.analyzer == "exact":
+        words = words.filter(F.col("term").startswith(re.split(r"[?*]", leaf.pattern.lower())[0]))
+    elif isinstance(leaf, Wildcard):
         start = turned(leaf.pattern.lower())
         if start:
-            rows = index.rotations.filter(here)
+            rows = index.rotations.filter(here).withColumn("term", turned_back())
             words = rows.filter(~F.col("long") & F.col("rotated").startswith(start)).unionByName(rows.filter("long"))
     elif isinstance(leaf, Fuzzy):
         word = leaf.wanted(f)
         limit = default_edits(word) if leaf.edits is None else leaf.edits
-        words = index.deletions.filter(here & F.col("left").isin(deletions_of(word))) if limit else words.filter(F.col("term") == word)
+        if not limit:
+            words = words.filter(F.col("term") == word)
+        elif f.analyzer != "exact":
+            words = index.deletions.filter(here & F.col("left").isin(deletions_of(word)))
     elif isinstance(leaf, TermRange):  # once more, as the bounds that are pushed down
         for bound, beyond in ((leaf.low, F.col("term") >= (leaf.low or "").lower()), (leaf.high, F.col("term") <= (leaf.high or "").lower())):
             words = words if bound is None else words.filter(beyond)
@@ -287,7 +310,7 @@ def _seeds(index: TokenIndex, condition: Condition, fields: Sequence[Field]) ->
     df = {(r["field"], r["term"]): r["df"] for r in rows}
     rarest = [[min((df.get((name, t), 0), name, t) for t in words) for name, words in choice] for choice in choices if choice]
     best = min(rarest, key=lambda found: sum(n for n, _, _ in found))
-    seeds = index.tokens.filter(_named([(name, t) for _, name, t in best])).select("doc_id").distinct()
+    seeds = index.occurrences.filter(_named([(name, t) for _, name, t in best])).select("doc").distinct()
     return F.broadcast(seeds) if sum(n for n, _, _ in best) <= SEEDS else seeds
 
 
@@ -314,13 +337,13 @@ def with_evidence(docs: DataFrame, index: TokenIndex, condition: Condition, fiel
     blank = {"positions": F.lit(None).cast("array<int>"), "length": F.lit(None).cast("int")}
     rows = []
     if pairs:
-        rows.append(index.tokens.filter(_named(pairs)).withColumn("part", F.lit(-1)))
+        rows.append(index.occurrences.filter(_named(pairs)).withColumn("part", F.lit(-1)))
     if parts:
         stands = reduce(DataFrame.unionByName, [
             expanded(index, leaf, f).select(F.lit(f.name).alias("field"), "term", F.lit(k).alias("part"))
             for k, (f, leaf) in enumerate(parts)])
         few = stands.limit(MANY + 1).toArrow()  # an Arrow table goes back as a local relation, without Python rows
-        found = index.tokens.select("field", "term", "doc_id")
+        found = index.occurrences.select("field", "term", "doc")
         if few.num_rows <= MANY:
             stands = docs.sparkSession.createDataFrame(few, stands.schema)
             named = few.to_pylist()
@@ -328,13 +351,14 @@ def with_evidence(docs: DataFrame, index: TokenIndex, condition: Condition, fiel
                 (F.col("field") == name) & F.col("term").isin(sorted({r["term"] for r in named if r["field"] == name}))
                 for name in sorted({r["field"] for r in named})))
             stands = F.broadcast(stands)  # MANY rows at most
-        rows.append(found.join(stands, ["field", "term"]).withColumns(blank).select(*APPENDED["tokens"].names, "part"))
+        rows.append(found.join(stands, ["field", "term"]).withColumns(blank).select(*APPENDED["occurrences"].names, "part"))
     evidence = reduce(DataFrame.unionByName, rows)
     seeds = _seeds(index, condition, fields)
     if seeds is not None:
-        evidence = evidence.join(seeds, "doc_id", "left_semi")
-    holds = evidence.groupBy("doc_id").agg(
+        evidence = evidence.join(seeds, "doc", "left_semi")
+    holds = evidence.groupBy("doc").agg(
         *[F.max(F.when((F.col("part") < 0) & _named([pair]), F.col("positions"))).alias(c) for pair, c in at.items()],
         *[F.max(F.when(F.col("part") == k, F.lit(True))).alias(flag[f.name, repr(leaf)]) for k, (f, leaf) in enumerate(parts)],
         *[F.max(F.when(F.col("field") == f.name, F.col("length"))).alias(f"length{k}") for k, f in enumerate(fields)])
-    return docs.join(holds, "doc_id", "left" if without_words(condition) else "inner"), stored
+    found = docs.withColumn("doc", key_of()).join(holds, "doc", "left" if without_words(condition) else "inner")
+    return found.drop("doc"), stored

@@ -41,9 +41,9 @@ TABLES = {"files": FILES, "commits": COMMITS, "checkpoints": CHECKPOINTS, "tree"
 # Tables that grow with every version and are never rewritten; a full build begins them anew.
 _B, _L = T.BooleanType(), T.LongType()
 APPENDED = {
-    "tokens": _struct(field=_S, term=_S, doc_id=_S, positions=T.ArrayType(_I), length=_I),
+    "occurrences": _struct(field=_S, term=_S, doc=T.BinaryType(), positions=T.ArrayType(_I), length=_I),
     "words": _struct(field=_S, term=_S, df=_L),
-    "rotations": _struct(field=_S, rotated=_S, term=_S, long=_B),
+    "rotations": _struct(field=_S, rotated=_S, long=_B),
     "deletions": _struct(field=_S, left=_S, term=_S),
 }
 # What tells rows of one repository apart.

@@ -129,7 +129,7 @@ class DocumentStore:
 
     def has_tokens(self, version: int | None = None) -> bool:
         version = self.latest() if version is None else version
-        return any(table in APPENDED for table, _, _ in self._manifest(version))
+        return set(APPENDED) <= {table for table, _, _ in self._manifest(version)}  # an older layout has other tables
 
     def written_buckets(self, table: str) -> list[int]:
         try:
@@ -191,7 +191,7 @@ class DocumentStore:
         kept = {r for v in versions if v >= oldest for r in self._manifest(v)}
         old = [v for v in versions if v < oldest]
         gone = {r for v in old for r in self._manifest(v)} - kept
-        folders = {f"{t}/attempt={w}" + ("" if t in APPENDED else f"/bucket={b}") for t, b, w in gone if t != _HEADER}
+        folders = {f"{t}/attempt={w}" + ("" if b < 0 else f"/bucket={b}") for t, b, w in gone if t != _HEADER}
         folders |= {f"staging/attempt={w}" for t, _, w in gone if t == _HEADER}
         folders |= {f"vocabulary/version={v}" for v in old}
         # The manifests go first: a version without one does not exist, whatever files are left.

@@ -263,3 +263,30 @@ def test_a_page_from_token_rows_reads_no_text(spark, tmp_path):
 def test_patterns_are_ranges_of_rows(spark, index, leaf, pushed):
     text = explain(occurrences.expanded(index, leaf, Field("contents", "code")))
     assert pushed in text
+
+
+def test_hashes_are_found_without_rows_for_their_parts(spark, tmp_path):
+    rows = [(f"c{k}", f"{k * 7919:08x}ab", "fix the build", f"beta {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id string, hash string, subject string, body string")
+    fields = plan.commit_fields(LIMITS)
+    index = occurrences.write_index(str(tmp_path / "t"), [(docs, fields)])
+    for table in (index.rotations, index.deletions):
+        assert {r["field"] for r in table.select("field").distinct().collect()} == {"subject", "body"}
+    one = rows[11][1]
+    for leaf in (Wildcard(one[:7] + "*"), Wildcard("*" + one[5:]), Wildcard("0*f?ab"), Wildcard("*"), Fuzzy(one), Fuzzy(one[1:]),
+                 Fuzzy(one, edits=0), Regex("0+1.*b"), TermRange(one, None), Wildcard("b*a"), Fuzzy("bulid")):
+        rest, stored = occurrences.with_evidence(docs, index, leaf, fields)
+        wanted = ids(docs.filter(leaf.test(fields)))
+        assert wanted and ids(rest.filter(leaf.test(stored))) == wanted, leaf
+    assert "StringStartsWith(term,000" in explain(occurrences.expanded(index, Wildcard("000*"), fields[1]))
+
+
+def test_stored_token_rows_hold_neither_document_ids_nor_words_twice(spark, index):
+    assert "doc_id" not in index.occurrences.columns and "term" not in index.rotations.columns
+    assert {len(r["doc"]) for r in index.occurrences.select("doc").distinct().collect()} == {20}
+
+
+def test_a_word_with_the_end_mark_is_its_own_rotation(spark):
+    words = spark.createDataFrame([("path", "a\0b"), ("path", "ab")], "field string, term string")
+    rows = sorted((r["term"], r["rotated"], r["long"]) for r in occurrences.rotation_rows(words).collect())
+    assert rows == [("a\0b", "a\0b", True), ("ab", "\0ab", False), ("ab", "ab\0", False), ("ab", "b\0a", False)]
