@@ -129,7 +129,8 @@ def append_rows(put: Callable[[str, DataFrame], DataFrame], added: Sequence[Part
     words = put("words", summed.repartitionByRange("field", "term").sortWithinPartitions("field", "term"))
     # A word that is no more frequent than before was there before.
     exact = sorted({f.name for _, fields in [*added, *removed] for f in fields if f.analyzer == "exact"})
-    more = words.filter(F.col("df") > 0).filter(~F.col("field").isin(exact))
+    # The others lie in few of the sorted files, so they are dealt out before each becomes many rows.
+    more = words.filter(F.col("df") > 0).filter(~F.col("field").isin(exact)).repartition("field", "term")
     put("rotations", rotation_rows(more))
     put("deletions", deletion_rows(more))
 
