@@ -158,6 +158,10 @@ def grants(spark: SparkSession, folder: str) -> DataFrame:
     return repositories(spark, folder).select(number.cast("string").alias("user_id"), "project", "repository")
 
 
+SNAPSHOT = ("project", "repository", "refs", "path", "contents")
+_EDITED = "project = 'de'"
+
+
 def _old_documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         F.col("doc_id"), F.col("lang").alias("project"), F.col("source").alias("repository"),
@@ -167,17 +171,16 @@ def _old_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def _new_documents(spark: SparkSession, folder: str) -> DataFrame:
     toxic = table(spark, folder, "labels").filter("toxic = 1").select("doc_id")
-    changed = F.when(F.col("project") == "de", F.concat("contents", F.lit(" x"))).otherwise(F.col("contents"))
+    changed = F.when(F.expr(_EDITED), F.concat("contents", F.lit(" x"))).otherwise(F.col("contents"))
     moved = F.when(F.col("project") == "es", F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
     kept = _old_documents(spark, folder).join(toxic, "doc_id", "left_anti")
     return kept.select("project", "repository", "refs", moved.alias("path"), changed.alias("contents"))
 
 
 def _snapshot(spark: SparkSession, folder: str, tip: str) -> DataFrame:
-    columns = ("project", "repository", "refs", "path", "contents")
     if tip == OLD_TIP:
-        return _old_documents(spark, folder).select(*columns)
-    return _new_documents(spark, folder).unionByName(page_files(spark, folder).select(*columns))
+        return _old_documents(spark, folder).select(*SNAPSHOT)
+    return _new_documents(spark, folder).unionByName(page_files(spark, folder).select(*SNAPSHOT))
 
 
 def tree(spark: SparkSession, folder: str, tip: str) -> DataFrame:
@@ -190,7 +193,9 @@ def tree(spark: SparkSession, folder: str, tip: str) -> DataFrame:
 
 def blobs(spark: SparkSession, folder: str) -> DataFrame:
     """Contents of both tips, once per blob."""
-    both = _snapshot(spark, folder, OLD_TIP).unionByName(_snapshot(spark, folder, NEW_TIP))
+    # What the new tip has unchanged is read from the old one.
+    new = _new_documents(spark, folder).filter(_EDITED).unionByName(page_files(spark, folder).select(*SNAPSHOT))
+    both = _snapshot(spark, folder, OLD_TIP).unionByName(new)
     content = both.select(F.encode("contents", "UTF-8").alias("content"))
     return content.groupBy(F.sha1("content").alias("blob")).agg(F.first("content").alias("content")).select(
         "blob", F.octet_length("content").alias("size"), "content"

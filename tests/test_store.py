@@ -11,8 +11,10 @@ from lodeseek import schemas
 from lodeseek.functions.keys import Buckets
 from lodeseek.plans import indexing
 from lodeseek.settings import Limits
+from lodeseek.sources import adapters as src
 from lodeseek.sources.store import DocumentStore
 from lodeseek.streaming.updates import apply_events, run_updates
+from test_plans import explain
 
 LIMITS = Limits(indexing_enabled=True)
 
@@ -279,3 +281,13 @@ def test_a_new_branch_on_known_files_reads_no_blob(spark, store, monkeypatch):
     monkeypatch.setattr(snapshots, "needed_blobs", lambda b, missing, size: b.limit(0) if missing.isEmpty() else 1 / 0)
     indexing.update_all(store, world.sources(spark), LIMITS)
     check(store, world)
+
+
+def test_blobs_of_both_tips_are_read_from_what_differs(spark):
+    folder = "/root/testdata/sf0.001"
+    both = src._snapshot(spark, folder, src.OLD_TIP).unionByName(src._snapshot(spark, folder, src.NEW_TIP))
+    found = src.blobs(spark, folder)
+    wanted = {(r["b"], r["contents"]) for r in both.select(F.sha1("contents").alias("b"), "contents").distinct().collect()}
+    rows = found.select("blob", F.decode("content", "UTF-8").alias("contents")).collect()
+    assert {(r["blob"], r["contents"]) for r in rows} == wanted and len(rows) == len(wanted)
+    assert "EqualTo(lang,de)" in explain(found)  # the new tip's unchanged contents are not read a second time
