@@ -34,9 +34,10 @@ from lodeseek.operators.match import (
     AnyOf, All, Condition, Everything, Field, Fuzzy, Not, NumberRange, Phrase, Term, TermRange, Wildcard, default_edits,
 )
 from lodeseek.schemas import APPENDED
+from lodeseek.session import lean_writes
 
 LONG = 64  # characters of a word that is rotated
-HEAD, EDITS = 8, 2  # first characters of a word that deletions are made from, and how many go
+HEAD, EDITS = 6, 2  # first characters of a word that deletions are made from, and how many go
 MANY = 1000  # expanded words that are named in a filter; more are joined
 SEEDS = 1_000_000  # documents of the rarest word that are broadcast; more are joined by a shuffle
 END = "\0"
@@ -63,18 +64,45 @@ def key_of(doc_id: Column | str = "doc_id") -> Column:
     return F.unhex(F.sha1(doc_id))
 
 
+def _groups(rows: Column, key: Callable[[Column], Column], group: Callable[[Column, Column], Column]) -> Column:
+    """``group(key, rows)`` of each run of equal keys in an array."""
+    def runs(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda e, i: F.when((i == 0) | (key(F.get(s, i - 1)) != key(e)), i)))
+        return let(starts, lambda b: F.transform(b, lambda start, k: group(key(F.get(s, start)), F.transform(
+            F.sequence(start, F.coalesce(F.get(b, k + 1), F.size(s)) - 1), lambda j: F.get(s, j)))))
+
+    return let(rows, runs)
+
+
+def lead(term: Column | str) -> Column:
+    """What rows are dealt out by: a word's first character."""
+    return F.left(F.col(term) if isinstance(term, str) else term, F.lit(1))
+
+
+def grouped_words(words: Column) -> Column:
+    """(lead, words of (term, positions)) of the distinct words of an array, inside the row."""
+    rows = F.array_sort(F.transform(words, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    once = _groups(rows, lambda e: e["term"], lambda term, run: F.struct(term.alias("term"), run["pos"].alias("positions")))
+    return _groups(once, lambda e: lead(e["term"]), lambda first, run: F.struct(first.alias("lead"), run.alias("words")))
+
+
 def token_rows(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """(field, term, doc, positions, length) of every distinct word of a document's fields."""
     def of(f: Field) -> DataFrame:
         cut = df.select(key_of().alias("doc"), f.tokens.alias("t"))
-        return cut.select(F.lit(f.name).alias("field"), "doc", F.size("t").alias("length"), F.posexplode("t").alias("pos", "term"))
+        rows = cut.select(F.lit(f.name).alias("field"), "doc", F.size("t").alias("length"), F.explode(grouped_words(F.col("t"))).alias("g"))
+        return rows.select("field", "g.lead", "doc", "length", "g.words")
 
     rows = reduce(DataFrame.unionByName, [of(f) for f in fields])
-    # One shuffle: a range of (field, term, doc) is both what is grouped and what a file holds.
-    dealt = rows.repartitionByRange("field", "term", "doc")
-    grouped = dealt.groupBy("field", "term", "doc").agg(
-        F.array_sort(F.collect_set("pos")).alias("positions"), F.max("length").alias("length"))
-    return grouped.sortWithinPartitions("field", "term", "doc")
+    # One shuffle, where a document is named once for all its words of a first character: a range of (field, lead, doc)
+    # is both what is grouped and what a file holds, and a frequent word is still spread out. Rows of one document
+    # id meet there, also if it was given with several texts. Sorted by lead and term is sorted by term.
+    dealt = rows.repartitionByRange("field", "lead", "doc")
+    words = dealt.select("field", "lead", "doc", "length", F.explode("words").alias("w"))
+    order = ["field", "lead", "term", "doc"]
+    grouped = words.select("field", "lead", "w.term", "doc", "w.positions", "length").groupBy(*order).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"), F.max("length").alias("length"))
+    return grouped.sortWithinPartitions(*order).drop("lead")
 
 
 def rotation_rows(words: DataFrame) -> DataFrame:
@@ -101,13 +129,24 @@ def _one_less(text: Column) -> Column:
         F.sequence(F.lit(1), F.char_length(text)), lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1))))
 
 
+def _deletions_behind(head: Column, gone: int) -> Column:
+    """What is left of a head whose first ``gone`` characters are deleted and whose next one stays."""
+    rest = [F.array(F.substr(head, F.lit(gone + 2)))]
+    for _ in range(EDITS - gone):
+        rest.append(F.flatten(F.transform(rest[-1], _one_less)))
+    return F.transform(F.concat(*rest), lambda r: F.concat(F.substr(head, F.lit(gone + 1), F.lit(1)), r))
+
+
 def deletion_rows(words: DataFrame) -> DataFrame:
     """(field, left, term) of distinct (field, term)."""
-    heads = [F.array(F.left(F.col("term"), F.lit(HEAD)))]
-    for _ in range(EDITS):
-        heads.append(F.flatten(F.transform(heads[-1], _one_less)))
-    rows = words.select("field", "term", F.explode(F.array_distinct(F.concat(*heads))).alias("left"))
-    return rows.select("field", "left", "term").repartitionByRange("field", "left").sortWithinPartitions("field", "left")
+    head = F.left(F.col("term"), F.lit(HEAD))
+    # What is left begins with one of the first characters. Words are dealt out by these and become many rows behind the shuffle.
+    firsts = [F.substr(head, F.lit(gone + 1), F.lit(1)) for gone in range(EDITS + 1)]
+    dealt = words.select("field", "term", F.explode(F.array_distinct(F.array(*firsts))).alias("lead")).repartitionByRange("field", "lead", "term")
+    none = F.array().cast("array<string>")
+    left = [F.when(first == F.col("lead"), _deletions_behind(head, gone)).otherwise(none) for gone, first in enumerate(firsts)]
+    rows = dealt.select("field", F.explode(F.array_distinct(F.concat(*left))).alias("left"), "term")
+    return rows.sortWithinPartitions("field", "left")
 
 
 def deletions_of(word: str) -> list[str]:
@@ -140,7 +179,8 @@ def write_index(folder: str, parts: Sequence[Part]) -> TokenIndex:
     spark = parts[0][0].sparkSession
 
     def put(name: str, df: DataFrame) -> DataFrame:
-        df.select(*APPENDED[name].names).write.parquet(f"{folder}/{name}")
+        with lean_writes(spark):
+            df.select(*APPENDED[name].names).write.parquet(f"{folder}/{name}", compression="zstd")
         return spark.read.schema(APPENDED[name]).parquet(f"{folder}/{name}")
 
     append_rows(put, parts)

@@ -23,6 +23,7 @@ from pyspark.sql.utils import AnalysisException
 from lodeseek.functions.keys import Buckets
 from lodeseek.operators.filters import bucket_filter, one_repository
 from lodeseek.schemas import APPENDED, TABLES, UNITS
+from lodeseek.session import lean_writes
 
 _MANIFEST = "table string, bucket int, written string, groups int, slices int"
 _HEADER = ""  # in the place of a table: names the attempt of the version itself
@@ -116,7 +117,8 @@ class DocumentStore:
     def append(self, table: str, df: DataFrame) -> DataFrame:
         """Writes what the attempt begun last adds to an appended table, and reads that back."""
         folder = f"{self.root}/{table}/attempt={self._attempt}"
-        df.select(*APPENDED[table].names).write.mode("errorifexists").parquet(folder)
+        with lean_writes(self.spark):
+            df.select(*APPENDED[table].names).write.mode("errorifexists").parquet(folder, compression="zstd")
         return self.spark.read.schema(APPENDED[table]).parquet(folder)
 
     def read_appended(self, table: str, version: int | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from lodeseek.operators.match import (
 from lodeseek.operators.ranking import term_statistics, vocabulary_statistics, with_score
 from lodeseek.operators.postings import vocabulary
 from lodeseek.plans import indexing, search as plan
+from lodeseek.session import lean_writes
 from lodeseek.settings import Limits
 from lodeseek.sources.store import DocumentStore
 from test_plans import explain
@@ -290,3 +291,34 @@ def test_a_word_with_the_end_mark_is_its_own_rotation(spark):
     words = spark.createDataFrame([("path", "a\0b"), ("path", "ab")], "field string, term string")
     rows = sorted((r["term"], r["rotated"], r["long"]) for r in occurrences.rotation_rows(words).collect())
     assert rows == [("a\0b", "a\0b", True), ("ab", "\0ab", False), ("ab", "ab\0", False), ("ab", "b\0a", False)]
+
+
+def test_token_rows_are_shuffled_by_document_and_first_character_and_sorted_once(spark, docs):
+    with lean_writes(spark):
+        rows = occurrences.token_rows(docs.localCheckpoint(), FIELDS)
+        text = explain(rows)
+    assert text.count("rangepartitioning(field") == 1 and "ObjectHashAggregate" not in text
+    assert len(re.findall(r"\bSort\b \(", text.split("== Initial Plan ==")[0])) == 1
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == "true"
+    for part in rows.rdd.glom().collect():
+        keys = [(r["field"], r["term"].encode(), r["doc"]) for r in part]
+        assert keys == sorted(keys, key=lambda k: (k[0], k[1], k[2] is not None, bytes(k[2] or b"")))
+
+
+def test_a_document_given_twice_has_the_positions_of_both_texts(spark):
+    twice = spark.createDataFrame([("d", "a b a", "x"), ("d", "b ba a", "x"), ("e", None, None), (None, "a", "y")],
+                                  "doc_id string, contents string, path string")
+    rows = occurrences.token_rows(twice, FIELDS).collect()
+    found = {(r["field"], r["term"], r["doc"] and bytes(r["doc"]).hex()): (r["positions"], r["length"]) for r in rows}
+    d = "3c363836cf4e16666669a25da280a1865c2d2874"
+    assert found == {
+        ("contents", "a", d): ([0, 2], 3), ("contents", "b", d): ([0, 1], 3), ("contents", "ba", d): ([1], 3), ("path", "x", d): ([0], 1),
+        ("contents", "a", None): ([0], 1), ("path", "y", None): ([0], 1),
+    } and len(rows) == len(found)
+
+
+def test_words_become_deletions_behind_the_shuffle(spark):
+    words = spark.createDataFrame([("f", "reading")], "field string, term string")
+    text = explain(occurrences.deletion_rows(words))
+    assert "rangepartitioning(field" in text and "lead" in text
+    assert len(occurrences.deletion_rows(words).collect()) == len(occurrences.deletions_of("reading")) <= 22
