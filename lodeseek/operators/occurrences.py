@@ -15,8 +15,9 @@ Values of ``exact`` fields, such as hashes, are as many as documents and have ne
 would be some forty rows each: the start of a pattern is a range of ``words``, everything else is tested on them.
 
 Rows of removed documents stay in ``occurrences`` and find nothing, as hits are joined with the documents; a
-document that comes back has the same rows again, which count once. Everything is sorted by what it is read
-by, so Parquet's statistics skip all other row groups.
+document that comes back has the same rows again, which count once. Every file is sorted by what it is read
+by, so Parquet's statistics skip all its other pages. A file of ``occurrences`` holds all words of a range of
+documents, one of ``rotations`` all rotations of some words.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.functions.columns import all_of, any_of, let
+from lodeseek.functions.text import tokens
 from lodeseek.operators.match import (
     AnyOf, All, Condition, Everything, Field, Fuzzy, Not, NumberRange, Phrase, Term, TermRange, Wildcard, default_edits,
 )
 from lodeseek.schemas import APPENDED
-from lodeseek.session import lean_writes
+from lodeseek.session import write_sorted
 
 LONG = 64  # characters of a word that is rotated
 HEAD, EDITS = 6, 2  # first characters of a word that deletions are made from, and how many go
@@ -74,35 +76,27 @@ def _groups(rows: Column, key: Callable[[Column], Column], group: Callable[[Colu
     return let(rows, runs)
 
 
-def lead(term: Column | str) -> Column:
-    """What rows are dealt out by: a word's first character."""
-    return F.left(F.col(term) if isinstance(term, str) else term, F.lit(1))
-
-
 def grouped_words(words: Column) -> Column:
-    """(lead, words of (term, positions)) of the distinct words of an array, inside the row."""
+    """(term, positions) of the distinct words of an array, inside the row."""
     rows = F.array_sort(F.transform(words, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    once = _groups(rows, lambda e: e["term"], lambda term, run: F.struct(term.alias("term"), run["pos"].alias("positions")))
-    return _groups(once, lambda e: lead(e["term"]), lambda first, run: F.struct(first.alias("lead"), run.alias("words")))
+    return _groups(rows, lambda e: e["term"], lambda term, run: F.struct(term.alias("term"), run["pos"].alias("positions")))
 
 
 def token_rows(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """(field, term, doc, positions, length) of every distinct word of a document's fields."""
-    def of(f: Field) -> DataFrame:
-        cut = df.select(key_of().alias("doc"), f.tokens.alias("t"))
-        rows = cut.select(F.lit(f.name).alias("field"), "doc", F.size("t").alias("length"), F.explode(grouped_words(F.col("t"))).alias("g"))
-        return rows.select("field", "g.lead", "doc", "length", "g.words")
-
-    rows = reduce(DataFrame.unionByName, [of(f) for f in fields])
-    # One shuffle, where a document is named once for all its words of a first character: a range of (field, lead, doc)
-    # is both what is grouped and what a file holds, and a frequent word is still spread out. Rows of one document
-    # id meet there, also if it was given with several texts. Sorted by lead and term is sorted by term.
-    dealt = rows.repartitionByRange("field", "lead", "doc")
-    words = dealt.select("field", "lead", "doc", "length", F.explode("words").alias("w"))
-    order = ["field", "lead", "term", "doc"]
-    grouped = words.select("field", "lead", "w.term", "doc", "w.positions", "length").groupBy(*order).agg(
+    # One shuffle, of texts: they take less room than their words with positions. A part is a range of documents, so
+    # its file names each of them once, in a dictionary, and a frequent word is spread out. Rows of one document id
+    # meet there, also if it was given with several texts.
+    texts = reduce(DataFrame.unionByName, [
+        df.select(F.lit(f.name).alias("field"), key_of().alias("doc"), F.col(f.name).alias("text")) for f in fields])
+    dealt = texts.filter("text <> ''").repartitionByRange("field", "doc")
+    cut = F.coalesce(*[F.when(F.col("field") == f.name, tokens("text", f.analyzer)) for f in fields])
+    rows = dealt.select("field", "doc", cut.alias("t"))
+    words = rows.select("field", "doc", F.size("t").alias("length"), F.explode(grouped_words(F.col("t"))).alias("w"))
+    order = ["field", "term", "doc"]
+    grouped = words.select("field", "w.term", "doc", "w.positions", "length").groupBy(*order).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"), F.max("length").alias("length"))
-    return grouped.sortWithinPartitions(*order).drop("lead")
+    return grouped.sortWithinPartitions(*order)
 
 
 def rotation_rows(words: DataFrame) -> DataFrame:
@@ -113,8 +107,8 @@ def rotation_rows(words: DataFrame) -> DataFrame:
     long = (F.char_length("term") > LONG) | F.contains("term", F.lit(END))
     turns = F.when(long, F.array(F.col("term"))).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(marked)), turn))
     rows = words.select("field", long.alias("long"), F.explode(turns).alias("rotated"))
-    dealt = rows.repartitionByRange("field", "rotated").sortWithinPartitions("field", "rotated")
-    return dealt.select("field", "rotated", turned_back().alias("term"), "long")
+    # Each file holds the whole range of some words: rotations are not shuffled, which would be many times the words.
+    return rows.sortWithinPartitions("field", "rotated").select("field", "rotated", turned_back().alias("term"), "long")
 
 
 def turned_back() -> Column:
@@ -146,7 +140,7 @@ def deletion_rows(words: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     left = [F.when(first == F.col("lead"), _deletions_behind(head, gone)).otherwise(none) for gone, first in enumerate(firsts)]
     rows = dealt.select("field", F.explode(F.array_distinct(F.concat(*left))).alias("left"), "term")
-    return rows.sortWithinPartitions("field", "left")
+    return rows.sortWithinPartitions("field", "left", "term")  # words of one string begin alike
 
 
 def deletions_of(word: str) -> list[str]:
@@ -156,9 +150,12 @@ def deletions_of(word: str) -> list[str]:
     return sorted(found)
 
 
-def append_rows(put: Callable[[str, DataFrame], DataFrame], added: Sequence[Part], removed: Sequence[Part] = ()) -> None:
-    """Writes what documents that come and go add to the tables. ``put`` writes a table and returns it as written."""
-    written = put("occurrences", reduce(DataFrame.unionByName, [token_rows(df, fields) for df, fields in added]))
+def append_rows(put: Callable[..., DataFrame], added: Sequence[Part], removed: Sequence[Part] = ()) -> None:
+    """Writes what documents that come and go add to the tables.
+
+    ``put(name, *parts)`` writes the parts of a table one after the other and returns it as written.
+    """
+    written = put("occurrences", *[token_rows(df, fields) for df, fields in added])
     signed = written.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     for df, fields in removed:
         for f in fields:
@@ -178,10 +175,8 @@ def write_index(folder: str, parts: Sequence[Part]) -> TokenIndex:
     """Token tables of some documents in a new folder."""
     spark = parts[0][0].sparkSession
 
-    def put(name: str, df: DataFrame) -> DataFrame:
-        with lean_writes(spark):
-            df.select(*APPENDED[name].names).write.parquet(f"{folder}/{name}", compression="zstd")
-        return spark.read.schema(APPENDED[name]).parquet(f"{folder}/{name}")
+    def put(name: str, *dfs: DataFrame) -> DataFrame:
+        return write_sorted(f"{folder}/{name}", APPENDED[name], *dfs)
 
     append_rows(put, parts)
     return TokenIndex(**{name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in APPENDED.items()})

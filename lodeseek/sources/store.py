@@ -23,7 +23,7 @@ from pyspark.sql.utils import AnalysisException
 from lodeseek.functions.keys import Buckets
 from lodeseek.operators.filters import bucket_filter, one_repository
 from lodeseek.schemas import APPENDED, TABLES, UNITS
-from lodeseek.session import lean_writes
+from lodeseek.session import write_sorted
 
 _MANIFEST = "table string, bucket int, written string, groups int, slices int"
 _HEADER = ""  # in the place of a table: names the attempt of the version itself
@@ -114,12 +114,9 @@ class DocumentStore:
         """What the attempt begun last wrote of a table."""
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/attempt={self._attempt}")
 
-    def append(self, table: str, df: DataFrame) -> DataFrame:
-        """Writes what the attempt begun last adds to an appended table, and reads that back."""
-        folder = f"{self.root}/{table}/attempt={self._attempt}"
-        with lean_writes(self.spark):
-            df.select(*APPENDED[table].names).write.mode("errorifexists").parquet(folder, compression="zstd")
-        return self.spark.read.schema(APPENDED[table]).parquet(folder)
+    def append(self, table: str, *dfs: DataFrame) -> DataFrame:
+        """Writes what the attempt begun last adds to an appended table, part by part, and reads that back."""
+        return write_sorted(f"{self.root}/{table}/attempt={self._attempt}", APPENDED[table], *dfs)
 
     def read_appended(self, table: str, version: int | None = None) -> DataFrame:
         """All rows that a version and those before it appended."""

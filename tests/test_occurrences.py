@@ -15,7 +15,8 @@ from lodeseek.operators.match import (
 from lodeseek.operators.ranking import term_statistics, vocabulary_statistics, with_score
 from lodeseek.operators.postings import vocabulary
 from lodeseek.plans import indexing, search as plan
-from lodeseek.session import lean_writes
+from lodeseek.schemas import APPENDED
+from lodeseek.session import lean_writes, write_sorted
 from lodeseek.settings import Limits
 from lodeseek.sources.store import DocumentStore
 from test_plans import explain
@@ -322,3 +323,45 @@ def test_words_become_deletions_behind_the_shuffle(spark):
     text = explain(occurrences.deletion_rows(words))
     assert "rangepartitioning(field" in text and "lead" in text
     assert len(occurrences.deletion_rows(words).collect()) == len(occurrences.deletions_of("reading")) <= 22
+
+
+def test_texts_are_shuffled_and_a_part_holds_whole_documents(spark, docs):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows are one part
+    try:
+        rows = occurrences.token_rows(docs, FIELDS)
+        parts = [{(r["field"], bytes(r["doc"])) for r in part} for part in rows.rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(map(bool, parts)) > 2
+    assert sum(map(len, parts)) == len(set().union(*parts)), "words of a document's field are in several parts"
+    plan_text = explain(rows)
+    assert plan_text.index("Exchange") < plan_text.index("Scan"), plan_text
+    behind = plan_text[:plan_text.index("Exchange")]
+    assert "Generate" in behind and plan_text.count("Generate (") == behind.count("Generate ("), "words are made before the shuffle"
+
+
+def test_rotations_are_not_shuffled(spark):
+    words = spark.createDataFrame([("f", "reading"), ("f", "eat")], "field string, term string")
+    rows = occurrences.rotation_rows(words)
+    assert "Exchange" not in explain(rows)
+    turned = [r["rotated"].encode() for part in rows.rdd.glom().collect() for r in part]
+    assert len(turned) == 8 + 4
+
+
+def test_parts_are_written_one_after_the_other_without_their_shuffles(spark, tmp_path):
+    def part(word):
+        return spark.createDataFrame([("d" + word, word + " b")], "doc_id string, contents string").withColumn("path", F.lit(None).cast("string"))
+
+    written = []
+
+    def put(name, *dfs):
+        written.append((name, len(dfs)))
+        return write_sorted(str(tmp_path / name), APPENDED[name], *dfs)
+
+    occurrences.append_rows(put, [(part("a"), FIELDS), (part("c"), FIELDS)])
+    assert written == [("occurrences", 2), ("words", 1), ("rotations", 1), ("deletions", 1)]
+    found = spark.read.parquet(str(tmp_path / "words")).collect()
+    assert {(r["term"], r["df"]) for r in found} == {("a", 1), ("b", 2), ("c", 1)}
+    with pytest.raises(Exception, match="already exists"):
+        write_sorted(str(tmp_path / "words"), APPENDED["words"], spark.read.parquet(str(tmp_path / "words")))
