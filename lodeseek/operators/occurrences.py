@@ -8,8 +8,9 @@ Four tables, appended to when documents are added and never rewritten:
   the sum over all rows is the document frequency of now.
 - ``rotations``: every rotation of a distinct word behind an end mark, so that a pattern with stars becomes one
   range of rows, and a row is the word itself; words beyond ``LONG`` characters have one row and are tested one by one.
-- ``deletions``: every distinct word by the strings that are left when up to two of its first characters are
-  deleted. Two words within two edits share such a string, so only those that do are measured.
+- ``deletions``: the first characters of every distinct word, by the strings that are left when up to two of them
+  are deleted. Two words within two edits share such a string, so of a field's words only those that begin like that
+  are measured. Words that begin alike share these rows, so the table does not grow with the words.
 
 Values of ``exact`` fields, such as hashes, are as many as documents and have neither rotations nor deletions, which
 would be some forty rows each: the start of a pattern is a range of ``words``, everything else is tested on them.
@@ -17,7 +18,7 @@ would be some forty rows each: the start of a pattern is a range of ``words``, e
 Rows of removed documents stay in ``occurrences`` and find nothing, as hits are joined with the documents; a
 document that comes back has the same rows again, which count once. Every file is sorted by what it is read
 by, so Parquet's statistics skip all its other pages. A file of ``occurrences`` holds all words of a range of
-documents, one of ``rotations`` all rotations of some words.
+documents, one of ``words`` some words of the whole range, one of ``rotations`` all rotations of some words.
 """
 
 from __future__ import annotations
@@ -85,18 +86,24 @@ def grouped_words(words: Column) -> Column:
 def token_rows(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
     """(field, term, doc, positions, length) of every distinct word of a document's fields."""
     # One shuffle, of texts: they take less room than their words with positions. A part is a range of documents, so
-    # its file names each of them once, in a dictionary, and a frequent word is spread out. Rows of one document id
-    # meet there, also if it was given with several texts.
+    # a frequent word is spread out. Rows of one document id meet there, also if it was given with several texts.
+    # Long texts go apart; a document's short ones are one row, which names it once.
+    groups = [g for g in ([f for f in fields if f.analyzer == "code"], [f for f in fields if f.analyzer != "code"]) if g]
+    none = F.lit(None).cast("string")
     texts = reduce(DataFrame.unionByName, [
-        df.select(F.lit(f.name).alias("field"), key_of().alias("doc"), F.col(f.name).alias("text")) for f in fields])
-    dealt = texts.filter("text <> ''").repartitionByRange("field", "doc")
-    cut = F.coalesce(*[F.when(F.col("field") == f.name, tokens("text", f.analyzer)) for f in fields])
-    rows = dealt.select("field", "doc", cut.alias("t"))
-    words = rows.select("field", "doc", F.size("t").alias("length"), F.explode(grouped_words(F.col("t"))).alias("w"))
+        df.filter(any_of(F.col(f.name) != "" for f in g)).select(
+            F.lit(" ".join(f.name for f in g)).alias("fields"), key_of().alias("doc"),
+            *[(F.col(f.name) if f in g else none).alias(f"text{k}") for k, f in enumerate(fields)])
+        for g in groups])
+    part = ["fields", "doc"] if len(groups) > 1 else ["doc"]
+    dealt = texts.repartitionByRange(*part)
+    cut = F.array(*[F.struct(F.lit(f.name).alias("field"), tokens(f"text{k}", f.analyzer).alias("t")) for k, f in enumerate(fields)])
+    rows = dealt.select(*part, F.inline(cut))
+    words = rows.select(*part, "field", F.size("t").alias("length"), F.explode(grouped_words(F.col("t"))).alias("w"))
     order = ["field", "term", "doc"]
-    grouped = words.select("field", "w.term", "doc", "w.positions", "length").groupBy(*order).agg(
+    grouped = words.select(*part, "field", "w.term", "w.positions", "length").groupBy(*order, *part[:-1]).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"), F.max("length").alias("length"))
-    return grouped.sortWithinPartitions(*order)
+    return grouped.select(*order, "positions", "length").sortWithinPartitions(*order)
 
 
 def rotation_rows(words: DataFrame) -> DataFrame:
@@ -117,6 +124,11 @@ def turned_back() -> Column:
         F.concat(F.substring_index("rotated", END, -1), F.substring_index("rotated", END, 1)))
 
 
+def _head(term: str) -> Column:
+    """The first characters of a word, which deletions are made from."""
+    return F.left(F.col(term), F.lit(HEAD))
+
+
 def _one_less(text: Column) -> Column:
     """The text without one character, for each of its characters."""
     return F.when(F.char_length(text) == 0, F.array().cast("array<string>")).otherwise(F.transform(
@@ -133,7 +145,7 @@ def _deletions_behind(head: Column, gone: int) -> Column:
 
 def deletion_rows(words: DataFrame) -> DataFrame:
     """(field, left, term) of distinct (field, term)."""
-    head = F.left(F.col("term"), F.lit(HEAD))
+    head = _head("term")
     # What is left begins with one of the first characters. Words are dealt out by these and become many rows behind the shuffle.
     firsts = [F.substr(head, F.lit(gone + 1), F.lit(1)) for gone in range(EDITS + 1)]
     dealt = words.select("field", "term", F.explode(F.array_distinct(F.array(*firsts))).alias("lead")).repartitionByRange("field", "lead", "term")
@@ -162,13 +174,15 @@ def append_rows(put: Callable[..., DataFrame], added: Sequence[Part], removed: S
             lost = df.select(F.lit(f.name).alias("field"), F.explode(F.array_distinct(f.tokens)).alias("term"))
             signed = signed.unionByName(lost.groupBy("field", "term").agg((-F.count(F.lit(1))).alias("df")))
     summed = signed.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df <> 0")
-    words = put("words", summed.repartitionByRange("field", "term").sortWithinPartitions("field", "term"))
+    # Words stay where they were summed: a file holds the whole range of some words, as one of rotations does.
+    words = put("words", summed.sortWithinPartitions("field", "term"))
     # A word that is no more frequent than before was there before.
     exact = sorted({f.name for _, fields in [*added, *removed] for f in fields if f.analyzer == "exact"})
-    # The others lie in few of the sorted files, so they are dealt out before each becomes many rows.
-    more = words.filter(F.col("df") > 0).filter(~F.col("field").isin(exact)).repartition("field", "term")
-    put("rotations", rotation_rows(more))
-    put("deletions", deletion_rows(more))
+    more = words.filter(F.col("df") > 0).filter(~F.col("field").isin(exact))
+    # They lie in few files, so they are dealt out before each becomes many rows.
+    put("rotations", rotation_rows(more.repartition("field", "term")))
+    # Words that begin alike have the same deletions, which are stored once.
+    put("deletions", deletion_rows(more.select("field", _head("term").alias("term")).distinct()))
 
 
 def write_index(folder: str, parts: Sequence[Part]) -> TokenIndex:
@@ -213,7 +227,8 @@ def expanded(index: TokenIndex, leaf: Condition, f: Field) -> DataFrame:
         if not limit:
             words = words.filter(F.col("term") == word)
         elif f.analyzer != "exact":
-            words = index.deletions.filter(here & F.col("left").isin(deletions_of(word)))
+            heads = index.deletions.filter(here & F.col("left").isin(deletions_of(word))).select(_head("term").alias("head"))
+            words = words.join(heads.distinct(), _head("term") == F.col("head"), "left_semi")
     elif isinstance(leaf, TermRange):  # once more, as the bounds that are pushed down
         for bound, beyond in ((leaf.low, F.col("term") >= (leaf.low or "").lower()), (leaf.high, F.col("term") <= (leaf.high or "").lower())):
             words = words if bound is None else words.filter(beyond)

@@ -365,3 +365,39 @@ def test_parts_are_written_one_after_the_other_without_their_shuffles(spark, tmp
     assert {(r["term"], r["df"]) for r in found} == {("a", 1), ("b", 2), ("c", 1)}
     with pytest.raises(Exception, match="already exists"):
         write_sorted(str(tmp_path / "words"), APPENDED["words"], spark.read.parquet(str(tmp_path / "words")))
+
+
+def test_words_that_begin_alike_share_their_deletions(spark, tmp_path):
+    def built(count):
+        docs = spark.createDataFrame([(f"d{k}", f"number{k} there{k % 7}") for k in range(count)], "doc_id string, contents string")
+        fields = [Field("contents", "code")]
+        return docs, fields, occurrences.write_index(str(tmp_path / f"t{count}"), [(docs, fields)])
+
+    docs, fields, index = built(40)
+    assert index.deletions.count() == built(10)[2].deletions.count() == len(set(occurrences.deletions_of("number"))) + 7 * len(occurrences.deletions_of("there0"))
+    for leaf in (Fuzzy("number7"), Fuzzy("nubmer1", edits=2), Fuzzy("umber39", edits=1), Fuzzy("three3"), Fuzzy("numb", edits=2)):
+        rows, stored = occurrences.with_evidence(docs, index, leaf, fields)
+        assert ids(rows.filter(leaf.test(stored))) == ids(docs.filter(leaf.test(fields))), leaf
+
+
+def test_a_documents_short_fields_are_one_row_of_the_shuffle(spark):
+    rows = [(f"c{k}", f"{k:08x}", "fix", f"beta {k}") for k in range(30)] + [("c0", "00000000", "mend", None), ("c31", "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, hash string, subject string, body string")
+    found = occurrences.token_rows(docs, plan.commit_fields(LIMITS))
+    text = explain(found)
+    assert "Union" not in text and text.count("rangepartitioning(doc") == 1 and len(re.findall(r"Exchange \(", text.split("== Initial Plan ==")[0])) == 1
+    terms = {(r["field"], r["term"]) for r in found.filter(occurrences.key_of(F.lit("c0")) == F.col("doc")).collect()}
+    assert terms == {("hash", "00000000"), ("subject", "fix"), ("subject", "mend"), ("body", "beta"), ("body", "0")}
+
+
+def test_words_are_shuffled_once(spark):
+    docs = spark.createDataFrame([("d", "b a c", "x")], "doc_id string, contents string, path string")
+    plans = {}
+
+    def put(name, *dfs):
+        plans[name] = explain(dfs[0])
+        return dfs[0].localCheckpoint()
+
+    occurrences.append_rows(put, [(docs, FIELDS)])
+    assert "rangepartitioning" not in plans["words"].split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Exchange \(", plans["words"].split("== Initial Plan ==")[0])) == 1
