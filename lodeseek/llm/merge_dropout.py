@@ -13,6 +13,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ from lodeseek.llm.words import mix
 SPACE = chr(0x2581)  # stands for a space in pieces
 _PART = re.compile(" *[^ ]+| +")
 _HELD = 1_000_000  # nodes of the segmentation trees that a worker keeps
+_OFTEN = 3  # occurrences of a batch that make a branch worth growing
 _LONG = 48  # characters; longer parts are segmented one by one and not kept
 _ALL = (1 << 64) - 1
 _NONE = 1 << 40  # no merge
+_LETTERS = 512  # different letters whose pairs are a table
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -37,7 +40,7 @@ class Codec:
     """``dropout`` is the share of candidate merges that are skipped; every occurrence of a part has a draw of its own.
 
     The segmentations of a part form a tree: a node is the next candidate that can be taken, its branches
-    are taking and skipping it, a leaf has the ids. Trees grow where several occurrences ask for a branch, up to ``held`` nodes.
+    are taking and skipping it, a leaf has the ids. Trees grow where ``_OFTEN`` occurrences ask for a branch, up to ``held`` nodes.
     """
 
     def __init__(self, path: str, dropout: float, seed: int, held: int = _HELD) -> None:
@@ -67,55 +70,53 @@ class Codec:
                     table[a << 32 | b] = (order, self.id_of[piece])
         self.pairs = np.array(sorted(table), np.int64)
         self.merges = np.array([table[k] for k in sorted(table)], np.int64).reshape(-1, 2)
+        self.by_order = np.array(by_score, np.int64)  # the id that a merge makes
 
     def _forget(self) -> None:
         self.roots: dict[str, int] = {}
         self.leaves: list[bytes | None] = []
-        self.nodes = np.zeros((1024, 3), np.int64)  # the candidate or -1 at a leaf, the next node if taken, if skipped
-
-    def _node(self, candidate: int, leaf: bytes | None) -> int:
-        k = len(self.leaves)
-        if k == len(self.nodes):
-            self.nodes = np.concatenate([self.nodes, np.zeros_like(self.nodes)])
-        self.nodes[k] = candidate, -1, -1
-        self.leaves.append(leaf)
-        return k
+        self.nodes = array("q")  # three of each: the candidate or -1 at a leaf, the next node if taken, if skipped
 
     def _grow(self, part: str, draw: int) -> None:
         """Adds what the tree of ``part`` lacks for this draw."""
         trail: list[tuple[int, bool]] = []
         ids = self.segment(part, draw, trail)
-        at = self.roots.get(part, -1)
+        nodes, leaves = self.nodes, self.leaves
+        at, deep, last = self.roots.get(part, -1), 0, len(trail)
         if at < 0:
-            at = self.roots[part] = self._node(trail[0][0], None) if trail else self._node(-1, ids)
-        for k, (_, skipped) in enumerate(trail):
-            after = int(self.nodes[at, 1 + skipped])
-            if after < 0:
-                after = self._node(trail[k + 1][0], None) if k + 1 < len(trail) else self._node(-1, ids)
-                self.nodes[at, 1 + skipped] = after
-            at = after
+            self.roots[part] = len(leaves)
+        else:
+            while deep < last:
+                branch = 3 * at + 1 + trail[deep][1]
+                at, deep = nodes[branch], deep + 1
+                if at < 0:
+                    nodes[branch] = len(leaves)
+                    break
+            else:
+                return
+        # The rest of the trail is a chain.
+        k = len(leaves)
+        for candidate, skipped in trail[deep:]:
+            k += 1
+            nodes.extend((candidate, -1, k) if skipped else (candidate, k, -1))
+        nodes.extend((-1, -1, -1))
+        leaves.extend([None] * (last - deep))
+        leaves.append(ids)
 
     def segment(self, part: str, draw: int, trail: list[tuple[int, bool]] | None = None) -> bytes:
         """The ids of one part; ``segments`` does the same for many. ``trail`` gets the candidates and which were skipped."""
-        rank, bound, key = self.rank, self.bound, (self.seed + draw * 0xD1B54A32D192ED03) & _ALL
+        order_of, bound, key = self.rank.get, self.bound, (self.seed + draw * 0xD1B54A32D192ED03) & _ALL
         # A literal SPACE must not be taken for a space; with a mark before it no piece has it.
-        held = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in part]
+        held: list[str | None] = (
+            list(part.replace(" ", SPACE)) if SPACE not in part else [SPACE if c == " " else "\0" + c if c == SPACE else c for c in part])
         n = len(held)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
-
-        def offer(i: int, j: int) -> None:
-            piece = held[i] + held[j]
-            order = rank.get(piece)
-            if order is None:
-                return
-            agenda.append((order, i, piece)) if start else heappush(agenda, (order, i, piece))
-
-        start = True
         for i in range(n - 1):
-            offer(i, i + 1)
+            piece = held[i] + held[i + 1]
+            if (order := order_of(piece)) is not None:
+                agenda.append((order, i, piece))
         heapify(agenda)
-        start = False
         while agenda:
             order, i, piece = heappop(agenda)
             j = right[i]
@@ -131,24 +132,31 @@ class Codec:
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                offer(i, k)
-            if left[i] >= 0:
-                offer(left[i], i)
-        out = array("I")
+                wider = piece + held[k]
+                if (order := order_of(wider)) is not None:
+                    heappush(agenda, (order, i, wider))
+            if (k := left[i]) >= 0:
+                wider = held[k] + piece
+                if (order := order_of(wider)) is not None:
+                    heappush(agenda, (order, k, wider))
+        out, id_of = array("I"), self.id_of
         for piece in held:
             if piece is not None:
-                known = self.id_of.get(piece)
+                known = id_of.get(piece)
                 out.extend([known] if known is not None else self._bytes(piece.removeprefix("\0") or piece))
         return out.tobytes()
 
     def _bytes(self, character: str) -> list[int]:
         return [self.byte_id[b] for b in character.encode("utf-8", "surrogatepass")]
 
-    def _offers(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The order of merging symbols ``a`` and ``b``, the first one at ``at``, or that there is no such merge."""
+    def _orders(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The order of merging symbols ``a`` and ``b``, or that there is no such merge."""
         pair = a << 32 | b
         place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        order = np.where(self.pairs[place] == pair, self.merges[place, 0], _NONE)
+        return np.where(self.pairs[place] == pair, self.merges[place, 0], _NONE)
+
+    def _offers(self, order: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """``order`` of merges whose first symbols are at ``at``, without those that are skipped."""
         order[self._skipped(keys, order << 20 | at)] = _NONE
         return order
 
@@ -170,11 +178,11 @@ class Codec:
         unknown = len(self.pieces)
         names = [SPACE if c == 32 else "" if chr(c) == SPACE else chr(c) for c in letters.tolist()]
         ids = np.array([self.id_of.get(c, unknown + k) for k, c in enumerate(names)], np.int64)
-        symbols = ids[which] if len(which) else np.empty(0, np.int64)
+        which = which.reshape(-1) if len(which) else np.empty(0, np.int64)
+        # Few letters: all their pairs are looked up once.
+        table = self._orders(ids[:, None], ids) if len(ids) <= _LETTERS else None
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         keys = self._keys(np.array(draws, np.uint64))
-        merged = self.merges[np.argsort(self.merges[:, 0]), 1]
-        orders = np.sort(self.merges[:, 0])
         empty = np.empty((0, 0), np.int64)
         who, now, at, best = np.empty(0, np.int64), empty, empty, empty
         for width in range(int(sizes.max(initial=0)), 0, -1):
@@ -182,9 +190,10 @@ class Codec:
             if not len(fresh) and not len(who):
                 continue
             if len(fresh):
-                own = symbols[starts[fresh][:, None] + np.arange(width)]
-                places = np.broadcast_to(np.arange(width), own.shape)
-                offers = self._offers(own[:, :-1], own[:, 1:], places[:, :-1], keys[fresh][:, None])
+                place = which[starts[fresh][:, None] + np.arange(width)]
+                own, places = ids[place], np.broadcast_to(np.arange(width), place.shape)
+                orders = self._orders(own[:, :-1], own[:, 1:]) if table is None else table[place[:, :-1], place[:, 1:]]
+                offers = self._offers(orders, places[:, :-1], keys[fresh][:, None])
                 if len(who):
                     who, now = np.r_[who, fresh], np.concatenate([now, own])
                     at, best = np.concatenate([at, places]), np.concatenate([best, offers])
@@ -204,17 +213,17 @@ class Codec:
             line = np.arange(len(who))
             keep = np.arange(width - 1) + (np.arange(width - 1) > first[:, None])
             now, at, best = now[go], at[go], best[go]
-            now[line, first] = merged[np.searchsorted(orders, order)]
+            now[line, first] = self.by_order[order]
             now, at = np.take_along_axis(now, keep, 1), np.take_along_axis(at, keep, 1)
             # Offers stand between symbols: the one taken goes, its neighbours are made anew.
             gone = np.arange(width - 2) + (np.arange(width - 2) >= first[:, None])
             best = np.take_along_axis(best, gone, 1)
             rows = np.flatnonzero(first < width - 2)
             f = first[rows]
-            best[rows, f] = self._offers(now[rows, f], now[rows, f + 1], at[rows, f], keys[who[rows]])
+            best[rows, f] = self._offers(self._orders(now[rows, f], now[rows, f + 1]), at[rows, f], keys[who[rows]])
             rows = np.flatnonzero(first > 0)
             f = first[rows]
-            best[rows, f - 1] = self._offers(now[rows, f - 1], now[rows, f], at[rows, f - 1], keys[who[rows]])
+            best[rows, f - 1] = self._offers(self._orders(now[rows, f - 1], now[rows, f]), at[rows, f - 1], keys[who[rows]])
         return out
 
     def _finish(self, out: list[bytes], who: np.ndarray, rows: np.ndarray, letters: np.ndarray) -> None:
@@ -246,26 +255,35 @@ class Codec:
             lo += len(parts)
         return out
 
+    def _seen(self) -> np.ndarray:
+        return np.frombuffer(self.nodes, np.int64).reshape(-1, 3)
+
     def _walked(self, parts: list[str], draws: np.ndarray) -> list[bytes]:
-        """The ids of each part: by its tree, which grows where two or more ask for a branch, or else by itself."""
+        """The ids of each part: by its tree, which grows where ``_OFTEN`` or more ask for a branch, or else by itself."""
         roots, often = self.roots, Counter(parts)
         for part, n in often.items():
-            if n > 1 and part not in roots and len(part) <= _LONG:
+            if n >= _OFTEN and part not in roots and len(part) <= _LONG:
                 self._grow(part, 0)
-        at = np.array([roots.get(part, -1) for part in parts], np.int64)
+        at = np.fromiter(map(roots.get, parts, repeat(-1)), np.int64, len(parts))
         keys = self._keys(draws)
         todo = np.flatnonzero(at >= 0)
         while len(todo):
-            todo = todo[self.nodes[at[todo], 0] >= 0]
+            nodes = self._seen()
+            candidates = nodes[at[todo], 0]
+            inner = candidates >= 0
+            todo, candidates = todo[inner], candidates[inner]
             now = at[todo]
-            side = 1 + self._skipped(keys[todo], self.nodes[now, 0])
-            lacking = np.flatnonzero(self.nodes[now, side] < 0)
+            side = 1 + self._skipped(keys[todo], candidates)
+            after = nodes[now, side]
+            lacking = np.flatnonzero(after < 0)
+            del nodes  # it can't grow while it is seen
             if len(lacking):
                 _, firsts, times = np.unique(2 * now[lacking] + side[lacking], return_index=True, return_counts=True)
-                for k in todo[lacking[firsts[times > 1]]].tolist():
+                for k in todo[lacking[firsts[times >= _OFTEN]]].tolist():
                     self._grow(parts[k], int(draws[k]))
-            at[todo] = self.nodes[now, side]
-            todo = todo[at[todo] >= 0]
+                after[lacking] = self._seen()[now[lacking], side[lacking]]
+            at[todo] = after
+            todo = todo[after >= 0]
         leaves = self.leaves
         out = [leaves[a] if a >= 0 else b"" for a in at.tolist()]
         alone = np.flatnonzero(at < 0).tolist()

@@ -769,6 +769,27 @@ def test_encode_is_what_each_occurrence_alone_gives():
                 assert ids == b"".join(model.segment(p, d) for p, d in zip(parts, draws, strict=True))
 
 
+def test_trees_grow_for_frequent_words_only_and_as_chains():
+    import numpy as np
+    import public_tokenizers
+
+    from lodeseek.llm.merge_dropout import _PART, Codec
+    from lodeseek.llm.words import mix
+
+    model = Codec(public_tokenizers.path("piece_bpe_32k.model"), 0.3, 4)
+    texts = ["understanding windows understanding", "often often often", "often " * 500 + "windows"]
+    for text in texts:
+        parts = _PART.findall(" " + text)
+        draws = mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(7), 41).tolist()
+        assert model.encode([text], [7]) == [b"".join(model.segment(p, d) for p, d in zip(parts, draws, strict=True))]
+    assert set(model.roots) == {" often"}
+    # Every branch that was grown ends in a leaf with ids.
+    nodes = [model.nodes[k:k + 3] for k in range(0, len(model.nodes), 3)]
+    assert len(nodes) == len(model.leaves) > 5
+    assert all((ids is not None) == (candidate < 0) for (candidate, _, _), ids in zip(nodes, model.leaves, strict=True))
+    assert sorted(k for n in nodes for k in n[1:] if k >= 0) == list(range(1, len(nodes)))
+
+
 def test_occurrences_of_a_word_are_not_segmented_in_a_few_ways_only(spark):
     import public_tokenizers
 
