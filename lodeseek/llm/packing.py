@@ -10,8 +10,8 @@ a sequence opens one. The others follow in bands of lengths, long ones first, an
 3. joins pieces and places, writes where the pieces are and what is left of the gaps, and begins again.
 
 New sequences are opened when the longest piece left fits nowhere, as many as the pieces left need at least.
-Lengths and gaps are whole numbers up to ``max_tokens``, so a sweep is running sums and maxima of as many classes;
-pieces and gaps themselves are rows that are sorted, ranked and joined by Spark.
+Lengths and gaps are whole numbers up to ``max_tokens``, so a sweep is running sums and maxima of as many classes,
+which a superstep's plan holds as constants; pieces and gaps themselves are rows that are sorted, ranked and joined by Spark.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.llm.staging import on_executors, slices, staged
@@ -144,7 +144,7 @@ def _ranked(df: DataFrame, keys: list[str], row: str) -> tuple[DataFrame, dict[i
     held = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(row, F.monotonically_increasing_id()))
     slice_of, at = F.shiftright(row, 33), F.col(row).bitwiseAND((1 << 33) - 1)
     table = held.groupBy(slice_of.alias("slice"), value).agg(
-        F.count("*").alias("n"), F.min(at).alias("first")).orderBy("slice", value).toPandas()
+        F.count("*").alias("n"), F.min(at).alias("first")).toPandas().sort_values(["slice", value], ignore_index=True)
     table["base"] = table.groupby(value).n.cumsum() - table.n - table["first"]
     bases = _small(df.sparkSession, **{"slice": table["slice"], value: table[value], "base": table.base})
     ranked = held.withColumn("slice", slice_of).join(F.broadcast(bases), ["slice", value])
@@ -158,6 +158,11 @@ def _small(spark: SparkSession, **columns: Sequence[int] | np.ndarray) -> DataFr
     return spark.createDataFrame(pa.table(arrays), ", ".join(f"`{name}` long" for name in arrays))
 
 
+def _of_class(numbers: np.ndarray, index: Column) -> Column:
+    """A number that the driver knows for each class: a constant of the plan, which needs no broadcast and no join."""
+    return F.get(F.split(F.lit(" ".join(map(str, numbers.tolist()))), " ").cast("array<long>"), index.cast("int"))
+
+
 @dataclass(frozen=True)
 class Sweep:
     """How many pieces of each length find a place, and which: the k-th of a length has place ``first`` + k."""
@@ -222,9 +227,9 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, ratio: float = 2.0) -> DataF
     total = np.array([counts.get(n, 0) for n in range(max_tokens + 1)], np.int64)
     half = max_tokens // 2
     opened = np.cumsum(total * (np.arange(max_tokens + 1) > half)) - total
-    starts = _small(spark, length=np.arange(half + 1, max_tokens + 1), start=opened[half + 1:])
-    alone = items.filter(F.col("length") > half).join(F.broadcast(starts), "length").select(
-        "id", (F.col("start") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "length")
+    start = _of_class(opened[half + 1:], F.col("length") - (half + 1))
+    alone = items.filter(F.col("length") > half).select(
+        "id", (start + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "length")
     placed = [alone.drop("length")]
     gaps = alone.filter(F.col("length") < max_tokens).select("sequence_id", (max_tokens - F.col("length")).alias("gap"))
     used, high = int(total[half + 1:].sum()), half
@@ -242,15 +247,21 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, ratio: float = 2.0) -> DataF
                 ordered = ordered.select(new.columns).union(new)
                 values, numbers, used = np.r_[values, max_tokens], np.r_[numbers, fresh], used + fresh
             found = sweep(lengths, left, values, numbers)
-            shape = _small(spark, gap=values, slots=found.slots, base=found.slot_base, last=np.full(len(values), found.last))
-            first = F.col("base") + F.col("place") * F.col("slots")
-            last = F.greatest(first, F.least(first + F.col("slots") - 1, F.col("last")))
-            slots = ordered.join(F.broadcast(shape), "gap").select(
-                "sequence_id", "gap", first.alias("first"), F.explode(F.sequence(first, last)).alias("slot"))
-            wanted = _small(spark, length=lengths, done=done[lengths], matched=found.matched, base=found.first)
-            turn = F.col("place") - F.col("done")
-            takers = items.filter(F.col("length").between(int(lengths[0]), int(lengths[-1]))).join(F.broadcast(wanted), "length")
-            takers = takers.filter((turn >= 0) & (turn < F.col("matched"))).select("id", "length", (F.col("base") + turn).alias("slot"))
+            shortest, longest = int(lengths[0]), int(lengths[-1])
+            each, base = np.zeros((2, int(values[-1]) - shortest + 1), np.int64)
+            each[values - shortest], base[values - shortest] = found.slots, found.slot_base
+            gap = F.col("gap") - shortest
+            places = ordered.filter(F.col("gap") >= shortest).withColumn("slots", _of_class(each, gap))
+            places = places.withColumn("first", _of_class(base, gap) + F.col("place") * F.col("slots"))
+            last = F.greatest("first", F.least(F.col("first") + F.col("slots") - 1, F.lit(found.last)))
+            slots = places.select("sequence_id", "gap", "first", F.explode(F.sequence("first", last)).alias("slot"))
+            matched, offset = np.zeros((2, longest - shortest + 1), np.int64)
+            matched[lengths - shortest], offset[lengths - shortest] = found.matched, found.first
+            length = F.col("length") - shortest
+            takers = items.filter(F.col("length").between(shortest, longest)).withColumn(
+                "turn", F.col("place") - _of_class(done[shortest:longest + 1], length))
+            takers = takers.filter((F.col("turn") >= 0) & (F.col("turn") < _of_class(matched, length))).select(
+                "id", "length", (_of_class(offset, length) + F.col("turn")).alias("slot"))
             # At most ``slots`` rows of a sequence.
             mine = Window.partitionBy("sequence_id")
             size = F.coalesce("length", F.lit(0))
@@ -259,12 +270,12 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, ratio: float = 2.0) -> DataF
                 (max_tokens - F.col("gap") + F.sum(size).over(mine.orderBy("slot")) - size).alias("offset"),
                 (F.col("gap") - F.sum(size).over(mine)).alias("gap")))
             placed.append(step.filter("id is not null").select("id", "sequence_id", "offset"))
-            kept = ordered.filter(F.col("gap") < int(lengths[0])).select("sequence_id", "gap")
+            kept = ordered.filter(F.col("gap") < shortest).select("sequence_id", "gap")
             gaps = step.filter(F.col("one") & F.col("gap").between(1, max_tokens - 1)).select("sequence_id", "gap").union(kept)
             done[lengths] += found.matched
         high = low
-    places = reduce(DataFrame.union, placed).withColumnRenamed("id", row)
-    return whole.join(places, row).select(*pieces.columns, "sequence_id", "offset")
+    where = reduce(DataFrame.union, placed).withColumnRenamed("id", row)
+    return whole.join(where, row).select(*pieces.columns, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

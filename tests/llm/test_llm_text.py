@@ -716,6 +716,37 @@ def test_best_fit_is_what_one_by_one_gives():
         assert sorted(capacity - sum(n for _, n in p) for p in used.values()) == sorted(gaps)
 
 
+def test_a_superstep_broadcasts_no_classes(spark, monkeypatch):
+    from lodeseek.llm import packing
+
+    seen, staged = [], packing.staged
+
+    def kept(df):
+        seen.append(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))
+        return staged(df)
+
+    monkeypatch.setattr(packing, "staged", kept)
+    lengths = [600, 400, 400, 300, 90, 90, 60, 5, 5, 1]
+    pieces = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else pieces as few as these are broadcast
+    try:
+        rows = packing.pack(pieces, 1000).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    steps = [text for text in seen if "Window" in text]
+    # Only the places of ranges, which may be many, are joined as a table.
+    assert len(steps) > 3 and all(text.count("BroadcastHashJoin") <= 1 for text in steps)
+    assert not any("Sort [slice" in text for text in seen)
+    held = defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+    assert len(held) == 2 and len(rows) == len(lengths)
+    for parts in held.values():
+        ends = [at + n for at, n in sorted(parts)]
+        assert [at for at, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 1000
+
+
 def test_merge_dropout(spark):
     import numpy as np
     import public_tokenizers
