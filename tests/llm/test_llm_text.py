@@ -716,6 +716,17 @@ def test_best_fit_is_what_one_by_one_gives():
         assert sorted(capacity - sum(n for _, n in p) for p in used.values()) == sorted(gaps)
 
 
+def test_texts_of_a_batch_are_measured_in_slices():
+    import pyarrow as pa
+
+    from lodeseek.llm.ngram_join import _measured
+
+    text = " ".join(f"w{k}" for k in range(150_000))  # more than 1 MB
+    batch = pa.record_batch({"doc_id": pa.array(range(4), pa.int64()), "text": pa.array([text] * 4)})
+    sizes = [b.num_rows - b.column("n").null_count for b in _measured(5)(iter([batch]))]
+    assert len(text) > 1 << 20 and max(sizes) == 1 and sum(sizes) == 4
+
+
 def test_a_superstep_broadcasts_no_classes(spark, monkeypatch):
     from lodeseek.llm import packing
 
